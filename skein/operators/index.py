@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import collapse_ws, page_text
 from skein.functions.urls import doc_key, site_key
 from skein.operators.analyze import index_terms
+from skein.operators.partitioning import spread_small_input
 
 
 def docs_from_documents(documents: DataFrame, site_col: str = "source",
@@ -23,15 +24,17 @@ def docs_from_documents(documents: DataFrame, site_col: str = "source",
     ``source`` (or the single ``site`` given), key = doc_id."""
     key = F.col("doc_id").cast("string")
     site_c = F.lit(site) if site is not None else F.col(site_col)
-    return documents.select(site_c.alias("site"), key.alias("doc_key"), key.alias("url"),
+    docs = documents.select(site_c.alias("site"), key.alias("doc_key"), key.alias("url"),
                             collapse_ws(F.col("text")).alias("text"))
+    return spread_small_input(docs, "site", "doc_key")
 
 
 def docs_from_pages(pages: DataFrame) -> DataFrame:
     """Fetched pages as index input: site = sha256(host), key = quoted URL."""
-    return pages.select(site_key(F.col("url")).alias("site"),
+    docs = pages.select(site_key(F.col("url")).alias("site"),
                         doc_key(F.col("url"), cut=False).alias("doc_key"),
                         F.col("url"), page_text(F.col("html")).alias("text"))
+    return spread_small_input(docs, "site", "doc_key")
 
 
 def term_freq(docs: DataFrame, stopwords="nltk") -> DataFrame:

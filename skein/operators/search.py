@@ -24,16 +24,20 @@ from pyspark.sql import functions as F
 
 from skein.functions.urls import unquote
 from skein.operators.analyze import query_terms
-from skein.operators.broadcast import broadcast_if_small
+from skein.operators.broadcast import (MAX_BROADCAST_ROWS, broadcast_if_small,
+                                       row_count_at_most)
 
 SCORE_DIGITS = 6
 
 
-def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame) -> DataFrame:
+def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
+                 small: bool | None = None) -> DataFrame:
     """(site, term, df, n, weight = n / coalesce(df, n)) for the terms
-    the queries use."""
+    the queries use.  ``small``: the query terms are known to be broadcastable."""
+    if small is None:
+        small = row_count_at_most(qterms, MAX_BROADCAST_ROWS)
     keys = qterms.select("site", "term").distinct()
-    keys = broadcast_if_small(keys)
+    keys = F.broadcast(keys) if small else keys
     dfq = doc_freq.join(keys, ["site", "term"], "inner")
     return (keys.join(dfq, ["site", "term"], "left")
                 .join(doc_count, "site", "inner")
@@ -54,10 +58,13 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
     """(query_id, site, doc_key, score) for every matched page, plus k
     zero-score candidates per query when ``k`` is given."""
     qt = qterms if qterms is not None else query_terms(queries, irregular)
-    weights = term_weights(index["doc_freq"], index["doc_count"], qt)
+    # the query side is bounded by the query table: size-check it there, not
+    # after joining the index statistics (which would run the index build)
+    small = row_count_at_most(qt, MAX_BROADCAST_ROWS)
+    weights = term_weights(index["doc_freq"], index["doc_count"], qt, small)
     qw = (qt.join(weights, ["site", "term"], "inner")
             .select("query_id", "site", "term", (F.col("qtf") * F.col("weight")).alias("qw")))
-    qw = broadcast_if_small(qw)
+    qw = F.broadcast(qw) if small else qw
     contrib = (index["postings"].join(qw, ["site", "term"], "inner")
                .select("query_id", "site", "doc_key", (F.col("tf") * F.col("qw")).alias("c")))
     if k is not None:
