@@ -93,42 +93,57 @@ def _dot_walk(path: Column, absolute: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """urljoin(base, href) for a base of the form 'scheme://netloc[?q][#f]'.
-
-    Empty or missing href -> base; another scheme -> href unchanged; '//x' and
-    'scheme://x' -> absolute; otherwise resolved against the host root."""
-    b_scheme = F.regexp_extract(base, r"^([a-z]+):", 1)
-    b_rest = F.regexp_extract(base, r"^[a-z]+://([^?#]*)", 1)          # netloc
-    b_query = F.regexp_extract(base, r"^[^?#]*\?([^#]*)", 1)
-    root = F.concat(b_scheme, F.lit("://"), b_rest)
-
-    h = F.regexp_replace(href, r"[\t\r\n]", "")
-    h = F.regexp_replace(h, r"^[\x{00}-\x{20}]+", "")
-    scheme = F.lower(F.regexp_extract(h, SCHEME_RE, 1))
-    has_scheme = scheme != ""
-    after_scheme = F.regexp_replace(h, SCHEME_RE, "")
-    rel = F.when(has_scheme, after_scheme).otherwise(h)   # same-scheme 'https:x' -> 'x'
-
-    path = F.regexp_extract(rel, r"^([^?#]*)", 1)
-    query = F.regexp_extract(rel, r"^[^?#]*\?([^#]*)", 1)
-    has_frag = rel.contains("#")
-    frag = F.regexp_extract(rel, r"#(.*)$", 1)
-    # an href with no path keeps the base's query unless it brings its own
-    query = F.when((path == "") & (query == ""), b_query).otherwise(query)
-    tail = F.concat(F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-                    F.when(has_frag & (frag != ""), F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
-
-    absolute = path.startswith("/")
-    needs_walk = path.rlike(r"(^|/)\.\.?(/|$)") | (~absolute & path.contains("//"))
-    simple = F.when(absolute, path).otherwise(F.concat(F.lit("/"), path))
-    resolved_path = F.when(needs_walk, _dot_walk(path, absolute)).otherwise(simple)
-    relative_join = F.when(path == "", F.concat(root, tail)) \
-                     .otherwise(F.concat(root, resolved_path, tail))
-
-    return (F.when(href.isNull() | (href == ""), base)
-             .when(base == "", href)
-             .when(has_scheme & (scheme != b_scheme), href)
-             .when(has_scheme & after_scheme.startswith("//"), F.concat(scheme, F.lit(":"), after_scheme))
-             .when(~has_scheme & h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
-             .otherwise(relative_join))
+def resolve_stages(base: str, href: str):
+    """U5 as stages of (column, expression); each stage reads only columns of
+    earlier stages, so no sub-expression is repeated.  Result in ``__link``."""
+    b, hr = F.col(base), F.col(href)
+    h, sch, aft, rel = F.col("__h"), F.col("__sch"), F.col("__aft"), F.col("__rel")
+    path, query, frag = F.col("__path"), F.col("__q"), F.col("__frag")
+    return [
+        [("__h", F.regexp_replace(F.regexp_replace(hr, r"[\t\r\n]", ""), r"^[\x{00}-\x{20}]+", "")),
+         ("__bsch", F.regexp_extract(b, r"^([a-z]+):", 1)),
+         ("__root", F.concat(F.regexp_extract(b, r"^([a-z]+):", 1), F.lit("://"),
+                             F.regexp_extract(b, r"^[a-z]+://([^?#]*)", 1))),
+         ("__bq", F.regexp_extract(b, r"^[^?#]*\?([^#]*)", 1))],
+        [("__sch", F.lower(F.regexp_extract(h, SCHEME_RE, 1))),
+         ("__aft", F.regexp_replace(h, SCHEME_RE, ""))],
+        [("__rel", F.when(sch != "", aft).otherwise(h))],
+        [("__path", F.regexp_extract(rel, r"^([^?#]*)", 1)),
+         ("__q", F.regexp_extract(rel, r"^[^?#]*\?([^#]*)", 1)),
+         ("__frag", F.when(rel.contains("#"), F.regexp_extract(rel, r"#(.*)$", 1)).otherwise(F.lit("")))],
+        [("__q", F.when((path == "") & (query == ""), F.col("__bq")).otherwise(query)),
+         ("__abs", path.startswith("/")),
+         ("__walk", path.rlike(r"(^|/)\.\.?(/|$)") | (~path.startswith("/") & path.contains("//")))],
+        [("__tail", F.concat(F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                             F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit("")))),
+         ("__rpath", F.when(F.col("__walk"), _dot_walk(path, F.col("__abs")))
+                      .when(F.col("__abs"), path).otherwise(F.concat(F.lit("/"), path)))],
+        [("__link",
+          F.when(hr.isNull() | (hr == ""), b)
+           .when(b == "", hr)
+           .when((sch != "") & (sch != F.col("__bsch")), hr)
+           .when((sch != "") & aft.startswith("//"), F.concat(sch, F.lit(":"), aft))
+           .when((sch == "") & h.startswith("//"), F.concat(F.col("__bsch"), F.lit(":"), h))
+           .when(path == "", F.concat(F.col("__root"), F.col("__tail")))
+           .otherwise(F.concat(F.col("__root"), F.col("__rpath"), F.col("__tail"))))],
+    ]
+
+
+_RESOLVE_TMP = ["__h", "__bsch", "__root", "__bq", "__sch", "__aft", "__rel", "__path",
+                "__q", "__frag", "__abs", "__walk", "__tail", "__rpath", "__link"]
+
+
+def with_resolved(df, base: str, href: str, out: str = "link"):
+    """U5 on a DataFrame: adds ``out`` = urljoin(base, href).
+
+    Python's urljoin for the bases this engine produces (scheme://netloc
+    with no path): empty or missing href -> base; another scheme -> href as
+    is; '//x' and 'scheme://x' -> absolute; otherwise resolved against the
+    host root, '.' and '..' segments walked only where present.  Ends with a
+    one-row Generate so later filters on the link are not inlined back into
+    the stages."""
+    cur = df
+    for stage in resolve_stages(base, href):
+        cur = cur.withColumns(dict(stage))
+    keep = [c for c in df.columns if c != out]
+    return cur.select(*keep, F.explode(F.array(F.col("__link"))).alias(out))

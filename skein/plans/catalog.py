@@ -15,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import urls
 from skein.functions.stem import with_stem
-from skein.functions.text import collapse_ws, strip_punct
-from skein.operators import analyze, index as ix, search
+from skein.functions.text import collapse_ws, page_text, strip_punct
+from skein.operators import analyze, frontier as fr, index as ix, links as lk, search
 from skein.sources import tables
 
 ALL_SITE = "all"
 SINGLE_QUERY = "the en in"
 K = 10
+LINK_PATTERN = "/t"        # pattern of the new_links key
+CRAWLED_PATH = "/the"      # base + this path is the crawled set of the link keys
+BATCH_N = 5                # URLs per site per round in the frontier keys
 
 
 # ---- shared inputs ---------------------------------------------------------
@@ -128,7 +132,129 @@ def q_search_batch(spark, sf_dir):
     return search.search_batch(idx, benchmark_queries(spark, sf_dir), K).drop("url")
 
 
+# ---- URL scalars and page text (pages) --------------------------------------
+def q_pages_scan(spark, sf_dir):
+    p = tables.pages(spark, sf_dir)
+    return p.select("page_id", "url", F.length("html").alias("n_html"))
+
+
+def q_url_base(spark, sf_dir):
+    return tables.pages(spark, sf_dir).select("page_id", urls.base_url(F.col("url")).alias("base"))
+
+
+def q_url_host(spark, sf_dir):
+    return tables.pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+def q_site_key(spark, sf_dir):
+    p = tables.pages(spark, sf_dir)
+    return p.select("page_id", urls.host(F.col("url")).alias("host"),
+                    urls.site_key(F.col("url")).alias("site"))
+
+
+def q_doc_key(spark, sf_dir):
+    return tables.pages(spark, sf_dir).select("page_id", urls.doc_key(F.col("url")).alias("doc_key"))
+
+
+def q_doc_key_decode(spark, sf_dir):
+    p = tables.pages(spark, sf_dir)
+    return p.select("page_id", urls.unquote(urls.doc_key(F.col("url"))).alias("url"))
+
+
+def q_page_text(spark, sf_dir):
+    p = tables.pages(spark, sf_dir)
+    t = page_text(F.col("html"))
+    return p.select("page_id", t.alias("text"), F.length(t).alias("n_chars"))
+
+
+# ---- links (pages) ------------------------------------------------------------
+def page_sites(spark, sf_dir) -> DataFrame:
+    return tables.pages(spark, sf_dir).select(
+        urls.site_key(F.col("url")).alias("site"), "page_id", "url", "html")
+
+
+def crawled_probe(spark, sf_dir) -> DataFrame:
+    """The crawled set of the link keys: base + '/the' for every page."""
+    return tables.pages(spark, sf_dir).select(
+        urls.site_key(F.col("url")).alias("site"),
+        F.concat(urls.base_url(F.col("url")), F.lit(CRAWLED_PATH)).alias("url")).distinct()
+
+
+def q_links_raw(spark, sf_dir):
+    return lk.anchors(tables.pages(spark, sf_dir)).drop("url")
+
+
+def q_links_resolved(spark, sf_dir):
+    return lk.resolved_links(tables.pages(spark, sf_dir)).select("page_id", "pos", "link")
+
+
+def q_link_filter(spark, sf_dir):
+    links = lk.resolved_links(tables.pages(spark, sf_dir))
+    return links.select("page_id", "pos", urls.is_crawlable(F.col("link")).alias("crawlable"))
+
+
+def q_new_links(spark, sf_dir):
+    return lk.new_links(page_sites(spark, sf_dir), crawled_probe(spark, sf_dir), LINK_PATTERN)
+
+
+def q_links_per_page(spark, sf_dir):
+    return lk.links_per_page(page_sites(spark, sf_dir), crawled_probe(spark, sf_dir), LINK_PATTERN)
+
+
+# ---- one crawl round (pages) ---------------------------------------------------
+def seed_frontier(spark, sf_dir) -> DataFrame:
+    """Round 0: every page URL; round 1: every in-scope link found on them
+    (most are not pages, so fetching them fails)."""
+    p = page_sites(spark, sf_dir)
+    pages0 = p.select("site", "url", F.lit(0).alias("round"))
+    found = (lk.in_scope(lk.resolved_links(p, keys=("site",)))
+               .select("site", F.col("link").alias("url"), F.lit(1).alias("round")))
+    return fr.union_urls(pages0, found).select("site", "url", F.col("round").cast("int"))
+
+
+def one_round(spark, sf_dir) -> dict:
+    return fr.crawl_round(seed_frontier(spark, sf_dir), fr.empty(spark),
+                          tables.pages(spark, sf_dir), BATCH_N, round_no=2)
+
+
+def q_frontier_batch(spark, sf_dir):
+    return fr.frontier_batch(seed_frontier(spark, sf_dir), BATCH_N)
+
+
+def q_crawl_round(spark, sf_dir):
+    return one_round(spark, sf_dir)["fetched"].drop("html")
+
+
+def q_frontier_next(spark, sf_dir):
+    return one_round(spark, sf_dir)["frontier"]
+
+
+def q_crawled_next(spark, sf_dir):
+    return one_round(spark, sf_dir)["crawled"]
+
+
+def q_crawl_status(spark, sf_dir):
+    return one_round(spark, sf_dir)["status"]
+
+
 QUERIES = {
+    "pages_scan": q_pages_scan,
+    "url_base": q_url_base,
+    "url_host": q_url_host,
+    "site_key": q_site_key,
+    "doc_key": q_doc_key,
+    "doc_key_decode": q_doc_key_decode,
+    "page_text": q_page_text,
+    "links_raw": q_links_raw,
+    "links_resolved": q_links_resolved,
+    "link_filter": q_link_filter,
+    "new_links": q_new_links,
+    "links_per_page": q_links_per_page,
+    "frontier_batch": q_frontier_batch,
+    "crawl_round": q_crawl_round,
+    "frontier_next": q_frontier_next,
+    "crawled_next": q_crawled_next,
+    "crawl_status": q_crawl_status,
     "text_normalized": q_text_normalized,
     "tokens": q_tokens,
     "alpha_tokens": q_alpha_tokens,

