@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from skein.functions import urls
 from skein.functions.stem import with_stem
 from skein.functions.text import collapse_ws, page_text, strip_punct
-from skein.operators import analyze, frontier as fr, index as ix, links as lk, search
+from skein.operators import analyze, frontier as fr, index as ix, links as lk, rag
+from skein.operators import registry as rg, search
 from skein.sources import tables
 
 ALL_SITE = "all"
@@ -237,7 +238,67 @@ def q_crawl_status(spark, sf_dir):
     return one_round(spark, sf_dir)["status"]
 
 
+# ---- site registry (pages; owner = 'user' || page_id % 5) ---------------------
+def registration(spark, sf_dir) -> DataFrame:
+    owner = F.concat(F.lit("user"), (F.col("page_id") % 5).cast("string"))
+    return rg.registration_events(tables.pages(spark, sf_dir), owner)
+
+
+def registry_sites(spark, sf_dir) -> DataFrame:
+    return rg.register(spark.createDataFrame([], "pageid string, owner string, url string, "
+                                                 "status string"), registration(spark, sf_dir))
+
+
+def registry_keys(spark, sf_dir) -> DataFrame:
+    ev = registration(spark, sf_dir).select(F.col("pageid").alias("hash"),
+                                            urls.host(F.col("url")).alias("host"), "seq")
+    return rg.upsert_site_keys(spark.createDataFrame([], "hash string, host string"), ev)
+
+
+def toggled_hosts(spark, sf_dir) -> DataFrame:
+    """Hosts of every page plus the same host with 'www.' added or removed
+    (those are mostly unregistered)."""
+    h = urls.host(F.col("url"))
+    other = F.when(h.startswith("www."), F.substring(h, 5, 1 << 20)).otherwise(F.concat(F.lit("www."), h))
+    p = tables.pages(spark, sf_dir)
+    return p.select(h.alias("host")).unionByName(p.select(other.alias("host"))).distinct()
+
+
+def q_site_registry(spark, sf_dir):
+    return registry_sites(spark, sf_dir)
+
+
+def q_site_hosts(spark, sf_dir):
+    hashes = toggled_hosts(spark, sf_dir).select(urls.site_hash(F.col("host")).alias("hash"))
+    return rg.host_of(hashes, registry_keys(spark, sf_dir))
+
+
+def q_site_status_update(spark, sf_dir):
+    st = one_round(spark, sf_dir)["status"].select(F.col("site").alias("pageid"), "status")
+    sites = rg.update_status(registry_sites(spark, sf_dir), st)
+    return rg.set_crawling(sites, sites.select("pageid"))
+
+
+def q_site_deleted(spark, sf_dir):
+    sites = registry_sites(spark, sf_dir)
+    return rg.delete_sites(sites, sites.where(F.col("owner") == "user0"))
+
+
+def q_site_is_indexed(spark, sf_dir):
+    return rg.is_indexed(toggled_hosts(spark, sf_dir), registry_sites(spark, sf_dir))
+
+
+def q_rag_prompts(spark, sf_dir):
+    return rag.rag_prompts(one_site_index(spark, sf_dir), benchmark_queries(spark, sf_dir))
+
+
 QUERIES = {
+    "site_registry": q_site_registry,
+    "site_hosts": q_site_hosts,
+    "site_status_update": q_site_status_update,
+    "site_deleted": q_site_deleted,
+    "site_is_indexed": q_site_is_indexed,
+    "rag_prompts": q_rag_prompts,
     "pages_scan": q_pages_scan,
     "url_base": q_url_base,
     "url_host": q_url_host,

@@ -16,6 +16,7 @@ from skein.functions.text import (COMMENT_RE, DECL_RE, HTML_ENTITIES, PUNCTUATIO
                                   RAW_BLOCK_RE, TAG_RE, WS_CLASS)
 from skein.functions.urls import BASE_RE, HOST_RE, SCHEME_RE
 from skein.operators.links import ANCHOR_RE, HREF_RE
+from skein.operators.rag import PROMPT_WEB
 
 ALL_SITE = "all"
 SINGLE_QUERY = "the en in"
@@ -305,6 +306,43 @@ def build() -> dict[str, str]:
                          "coalesce(r.remaining, 0) AS remaining, "
                          "format('{} crawled, {} remaining, Stopped.', coalesce(c.crawled, 0), "
                          "coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r ON c.site = r.site")
+
+    # site registry
+    reg = ("ev AS (SELECT " + site_sql("url") + " AS pageid, 'user' || CAST(page_id % 5 AS VARCHAR) "
+           "AS owner, url, 'Pending' AS status, page_id AS seq FROM pages), "
+           "sites AS (SELECT pageid, owner, url, status FROM (SELECT *, row_number() OVER "
+           "(PARTITION BY pageid, owner ORDER BY seq) AS rn FROM ev) WHERE rn = 1), "
+           "keys AS (SELECT hash, host FROM (SELECT pageid AS hash, " + host_sql("url") + " AS host, "
+           "row_number() OVER (PARTITION BY pageid ORDER BY seq DESC) AS rn FROM ev) WHERE rn = 1), "
+           "hosts AS (SELECT DISTINCT host FROM (SELECT " + host_sql("url") + " AS host FROM pages "
+           "UNION ALL SELECT CASE WHEN starts_with(" + host_sql("url") + ", 'www.') THEN substring("
+           + host_sql("url") + ", 5) ELSE 'www.' || " + host_sql("url") + " END FROM pages))")
+    q["site_registry"] = f"WITH {reg} SELECT * FROM sites"
+    q["site_hosts"] = (f"WITH {reg} SELECT h.hash, k.host FROM (SELECT sha256(host) AS hash FROM hosts) h "
+                       "LEFT JOIN keys k ON k.hash = h.hash")
+    q["site_deleted"] = f"WITH {reg} SELECT * FROM sites WHERE owner <> 'user0'"
+    q["site_is_indexed"] = (f"WITH {reg}, known AS (SELECT DISTINCT {host_sql('url')} AS h FROM sites) "
+                            "SELECT host, EXISTS (SELECT 1 FROM known WHERE h = host) AS indexed FROM hosts")
+    st_parts = "string_split(st, ',')"
+    q["site_status_update"] = (
+        f"WITH {round_ctes()}, {reg}, "
+        "c AS (SELECT site, count(*) AS crawled FROM crawled_next GROUP BY site), "
+        "r AS (SELECT site, count(*) AS remaining FROM frontier_next GROUP BY site), "
+        "stat AS (SELECT coalesce(c.site, r.site) AS site, format('{} crawled, {} remaining, Stopped.', "
+        "coalesce(c.crawled, 0), coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r "
+        "ON c.site = r.site), "
+        "upd AS (SELECT s.pageid, s.owner, s.url, coalesce(t.status, s.status) AS st FROM sites s "
+        "LEFT JOIN stat t ON t.site = s.pageid) "
+        f"SELECT pageid, owner, url, CASE WHEN len({st_parts}) >= 2 THEN {st_parts}[1] || ', ' || "
+        f"{st_parts}[2] || ', Crawling...' ELSE st END AS status FROM upd")
+    q["rag_prompts"] = (
+        f"WITH {scored_ctes(BENCH_QUERIES, True)}, {ranked}, "
+        f"dt AS (SELECT doc_key, {collapse('text')} AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_key, "
+        "text FROM documents)) "
+        f"SELECT r.query_id, r.doc_key AS url, {lit(PROMPT_WEB)} || ' Context: ' || "
+        "coalesce(CASE WHEN ends_with(r.doc_key, 'pdf') THEN '' ELSE d.text END, '') || chr(10) || "
+        "' Query: ' || b.query AS prompt FROM ranked r LEFT JOIN dt d ON d.doc_key = r.doc_key "
+        f"JOIN ({BENCH_QUERIES}) b ON b.query_id = r.query_id WHERE r.rank = 1")
     return q
 
 
