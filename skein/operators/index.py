@@ -29,9 +29,11 @@ def docs_from_documents(documents: DataFrame, site_col: str = "source",
     return spread_small_input(docs, "site", "doc_key")
 
 
-def docs_from_pages(pages: DataFrame) -> DataFrame:
-    """Fetched pages as index input: site = sha256(host), key = quoted URL."""
-    docs = pages.select(site_key(F.col("url")).alias("site"),
+def docs_from_pages(pages: DataFrame, site_col: str | None = None) -> DataFrame:
+    """Fetched pages as index input: site = sha256(host) (or the crawl's own
+    ``site_col``), key = the whole quoted URL."""
+    site = F.col(site_col) if site_col else site_key(F.col("url"))
+    docs = pages.select(site.alias("site"),
                         doc_key(F.col("url"), cut=False).alias("doc_key"),
                         F.col("url"), page_text(F.col("html")).alias("text"))
     return spread_small_input(docs, "site", "doc_key")

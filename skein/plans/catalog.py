@@ -292,7 +292,48 @@ def q_rag_prompts(spark, sf_dir):
     return rag.rag_prompts(one_site_index(spark, sf_dir), benchmark_queries(spark, sf_dir))
 
 
+# ---- index maintenance (documents) -------------------------------------------
+RESENT_LANG = "de"                  # pages of this language are re-crawled, changed
+ROUND1_LANGS = ["en", "de"]         # first crawl round; the others come in round 2
+
+
+def versioned_docs(spark, sf_dir) -> DataFrame:
+    """Version 1 of every document; version 2 (text with 'e' -> 'a') of the
+    re-sent ones."""
+    d = tables.documents(spark, sf_dir)
+    v1 = ix.docs_from_documents(d).withColumn("version", F.lit(1))
+    changed = d.where(F.col("lang") == RESENT_LANG).withColumn("text", F.replace("text", F.lit("e"), F.lit("a")))
+    v2 = ix.docs_from_documents(changed).withColumn("version", F.lit(2))
+    return v1.unionByName(v2)
+
+
+def q_latest_pages(spark, sf_dir):
+    latest = ix.latest_versions(versioned_docs(spark, sf_dir))
+    return latest.select("site", "doc_key", "version", F.length("text").alias("n_chars"))
+
+
+def q_doc_freq_merged(spark, sf_dir):
+    d = tables.documents(spark, sf_dir)
+    langs = d.select(F.col("source").alias("site"),
+                     F.col("doc_id").cast("string").alias("doc_key"), "lang")
+    v = versioned_docs(spark, sf_dir).join(langs, ["site", "doc_key"], "inner")
+    round1 = v.where((F.col("version") == 1) & F.col("lang").isin(ROUND1_LANGS))
+    round2 = ix.latest_versions(v.where((F.col("version") == 2) | ~F.col("lang").isin(ROUND1_LANGS)))
+    post1 = ix.term_freq(round1.drop("version", "lang"))
+    post2 = ix.term_freq(round2.drop("version", "lang"))
+    replaced = post1.join(round2.select("site", "doc_key"), ["site", "doc_key"], "left_semi")
+    return ix.merge_doc_freq(ix.doc_freq(post1), ix.doc_freq_delta(post2, replaced))
+
+
+def q_postings_json(spark, sf_dir):
+    post = ix.term_freq(docs_by_source(spark, sf_dir))
+    return ix.postings_map(post).select("site", "doc_key", F.to_json("terms").alias("json"))
+
+
 QUERIES = {
+    "latest_pages": q_latest_pages,
+    "doc_freq_merged": q_doc_freq_merged,
+    "postings_json": q_postings_json,
     "site_registry": q_site_registry,
     "site_hosts": q_site_hosts,
     "site_status_update": q_site_status_update,

@@ -42,10 +42,13 @@ def collapse(x: str) -> str:
 STOP_LIST = ", ".join(lit(w) for w in sorted(set(sw.NLTK_ENGLISH) | set(PUNCTUATION)))
 
 
-def docs_sql(one_site: bool) -> str:
+def docs_sql(one_site: bool, text: str = "text") -> str:
     site = lit(ALL_SITE) if one_site else "source"
     return (f"SELECT {site} AS site, CAST(doc_id AS VARCHAR) AS doc_key, "
-            f"{collapse('text')} AS text FROM documents")
+            f"{collapse(text)} AS text FROM documents")
+
+
+RESENT_TEXT = "CASE WHEN lang = 'de' THEN replace(text, 'e', 'a') ELSE text END"
 
 
 def tokens_sql(docs: str) -> str:
@@ -58,18 +61,18 @@ def words_sql(docs: str) -> str:
             f"WHERE regexp_matches(token, '^\\p{{L}}+$')")
 
 
-def terms_ctes(one_site: bool, stop: bool) -> str:
+def terms_ctes(one_site: bool, stop: bool, text: str = "text") -> str:
     """CTEs words, vocab, terms (site, doc_key, term) for the documents."""
     where = f" WHERE v.term NOT IN ({STOP_LIST})" if stop else ""
-    return (f"words AS ({words_sql(docs_sql(one_site))}), "
+    return (f"words AS ({words_sql(docs_sql(one_site, text))}), "
             f"vocab AS ({stem_sql('SELECT DISTINCT word FROM words', 'word')}), "
             f"terms AS (SELECT w.site, w.doc_key, v.term FROM words w JOIN vocab v "
             f"ON w.word = v.word{where})")
 
 
-def index_ctes(one_site: bool, stop: bool) -> str:
+def index_ctes(one_site: bool, stop: bool, text: str = "text") -> str:
     """+ post (site, doc_key, term, tf), dfreq (site, term, df), ndocs (site, n)."""
-    return (terms_ctes(one_site, stop) + ", "
+    return (terms_ctes(one_site, stop, text) + ", "
             "post AS (SELECT site, doc_key, term, count(*) AS tf FROM terms "
             "GROUP BY site, doc_key, term), "
             "dfreq AS (SELECT site, term, count(*) AS df FROM post GROUP BY site, term), "
@@ -307,6 +310,12 @@ def build() -> dict[str, str]:
                          "format('{} crawled, {} remaining, Stopped.', coalesce(c.crawled, 0), "
                          "coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r ON c.site = r.site")
 
+    # index maintenance: the merged DF equals a rebuild over the latest versions
+    q["doc_freq_merged"] = f"WITH {index_ctes(False, True, RESENT_TEXT)} SELECT site, term, df FROM dfreq"
+    q["latest_pages"] = (f"SELECT source AS site, CAST(doc_id AS VARCHAR) AS doc_key, "
+                         f"CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version, "
+                         f"CAST(length({collapse(RESENT_TEXT)}) AS INTEGER) AS n_chars FROM documents")
+
     # site registry
     reg = ("ev AS (SELECT " + site_sql("url") + " AS pageid, 'user' || CAST(page_id % 5 AS VARCHAR) "
            "AS owner, url, 'Pending' AS status, page_id AS seq FROM pages), "
