@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # The Porter stemmer fuses into one large generated method per stage; the
     # JVM otherwise leaves methods over 8000 bytes of bytecode uncompiled.
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",

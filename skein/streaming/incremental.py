@@ -45,13 +45,18 @@ def start_index_stream(spark: SparkSession, source_dir: str, out_root: str,
     observed = stream.observe("progress", F.count(F.lit(1)).alias("rows"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = _to_docs(batch, kind, site)
-        post = ix.term_freq(docs, stopwords)
-        for name, df in (("docs", docs), ("postings", post)):
-            (df.withColumn("version", F.lit(batch_id).cast("long"))
-               .write.mode("overwrite").partitionBy("version")
-               .option("partitionOverwriteMode", "dynamic")
-               .parquet(os.path.join(out_root, name)))
+        # two sinks read the batch: keep it in executor storage so it is read
+        # (and its progress observed) once
+        docs = _to_docs(batch, kind, site).persist()
+        try:
+            post = ix.term_freq(docs, stopwords)
+            for name, df in (("docs", docs), ("postings", post)):
+                (df.withColumn("version", F.lit(batch_id).cast("long"))
+                   .write.mode("overwrite").partitionBy("version")
+                   .option("partitionOverwriteMode", "dynamic")
+                   .parquet(os.path.join(out_root, name)))
+        finally:
+            docs.unpersist()
 
     ckpt = checkpoint or scratch_path(spark, "index-stream")
     return (observed.writeStream.foreachBatch(write_batch)
@@ -63,8 +68,13 @@ def run_index_stream(spark: SparkSession, source_dir: str, out_root: str, **kw)
     """Start, drain and stop; returns the observed progress of each batch."""
     q = start_index_stream(spark, source_dir, out_root, **kw)
     q.awaitTermination()
-    return [p.get("observedMetrics", {}).get("progress", {}) for p in q.recentProgress
-            if p.get("numInputRows", 0) > 0]
+    out = []
+    for p in q.recentProgress:
+        metrics = getattr(p, "observedMetrics", None) or {}
+        row = metrics.get("progress")
+        if row is not None and getattr(p, "numInputRows", 0) > 0:
+            out.append(row.asDict() if hasattr(row, "asDict") else dict(row))
+    return out
 
 
 def current_index(spark: SparkSession, out_root: str) -> dict:
