@@ -43,6 +43,34 @@ def write_index(index: dict, root: str, mode: str = "overwrite",
         w.parquet(os.path.join(root, name))
 
 
+def build_and_store(docs: DataFrame, root: str, stopwords="nltk",
+                    partition_by_site: bool = True) -> dict:
+    """Build the index of ``docs`` into ``root``, each table computed once.
+
+    docs are written first and read back, postings are computed from the
+    written docs, and DF / N from the written postings and docs, so the text
+    extraction and stemming run once and every later table starts from a
+    materialised one (which also bounds what a lost executor can cost)."""
+    from skein.operators import index as ix
+    spark = docs.sparkSession
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df = df.select(*TABLES[name].fieldNames())
+        if name in SORT_KEYS:
+            df = df.sortWithinPartitions(*SORT_KEYS[name])
+        w = df.write.mode("overwrite")
+        if partition_by_site and name != "doc_count":
+            w = w.partitionBy("site")
+        w.parquet(os.path.join(root, name))
+        return read_table(spark, root, name)
+
+    docs_w = put("docs", docs)
+    post_w = put("postings", ix.term_freq(docs_w, stopwords))
+    put("doc_freq", ix.doc_freq(post_w))
+    put("doc_count", ix.doc_count(docs_w))
+    return read_index(spark, root)
+
+
 def read_table(spark: SparkSession, root: str, name: str,
                site: str | None = None) -> DataFrame:
     """One index table; a missing table is an empty one (as a missing
