@@ -96,9 +96,10 @@ def _decode_numeric_refs(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     out = _decode_numeric_refs(c)
+    named = out
     for name, ch in HTML_ENTITIES:
-        out = F.regexp_replace(out, "&" + name + ";", ch.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+        named = F.replace(named, F.lit("&" + name + ";"), F.lit(ch))
+    return F.when(out.contains("&"), named).otherwise(out)
 
 
 def strip_markup(c: Column, keep_template: bool = False) -> Column:

@@ -38,7 +38,9 @@ def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
         small = row_count_at_most(qterms, MAX_BROADCAST_ROWS)
     keys = qterms.select("site", "term").distinct()
     keys = F.broadcast(keys) if small else keys
+    # at most one row per query term: as small as the keys it was cut to
     dfq = doc_freq.join(keys, ["site", "term"], "inner")
+    dfq = F.broadcast(dfq) if small else dfq
     return (keys.join(dfq, ["site", "term"], "left")
                 .join(doc_count, "site", "inner")
                 .select("site", "term", "df", "n",
