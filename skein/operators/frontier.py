@@ -25,8 +25,7 @@ are written to the shared checkpoint folder every round to cut lineage.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,9 +125,16 @@ def save_state(df: DataFrame, path: str) -> DataFrame:
 
 
 def load_urls(spark: SparkSession, path: str, site: str) -> DataFrame:
-    """One URL per line (crawled.txt / uncrawled.txt); missing -> empty."""
-    if not os.path.exists(path):
+    """One URL per line (crawled.txt / uncrawled.txt), trimmed and
+    de-duplicated; a missing file is an empty set."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
         return empty(spark)
-    lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url != ''")
-    return lines.distinct().select(F.lit(site).alias("site"), "url",
-                                   F.lit(0).cast("int").alias("round"))
+    urls = lines.select(F.trim("value").alias("url")).where("url != ''").distinct()
+    return urls.select(F.lit(site).alias("site"), "url", F.lit(0).cast("int").alias("round"))
+
+
+def save_urls(df: DataFrame, path: str) -> None:
+    """The URL column as text lines (the crawl-state file format)."""
+    df.select("url").write.mode("overwrite").text(path)

@@ -39,6 +39,13 @@ def docs_one_site(spark, sf_dir) -> DataFrame:
     return ix.docs_from_documents(tables.documents(spark, sf_dir), site=ALL_SITE)
 
 
+def conversation_queries(spark, sf_dir) -> DataFrame:
+    """User turns of ``conversations`` as queries: query_id = conv_id * 10000 + turn."""
+    c = tables.conversations(spark, sf_dir).where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 10000 + F.col("turn")).alias("query_id"),
+                    F.lit(ALL_SITE).alias("site"), F.col("text").alias("query"))
+
+
 def benchmark_queries(spark, sf_dir) -> DataFrame:
     return tables.benchmark(spark, sf_dir).select(
         F.col("item_id").alias("query_id"), F.lit(ALL_SITE).alias("site"),
@@ -128,6 +135,11 @@ def q_search_answer(spark, sf_dir):
     return search.search_answer(idx, ALL_SITE, SINGLE_QUERY, K)
 
 
+def q_search_conversations(spark, sf_dir):
+    idx = one_site_index(spark, sf_dir)
+    return search.search_batch(idx, conversation_queries(spark, sf_dir), K).drop("url")
+
+
 def q_search_batch(spark, sf_dir):
     idx = one_site_index(spark, sf_dir)
     return search.search_batch(idx, benchmark_queries(spark, sf_dir), K).drop("url")
@@ -279,6 +291,10 @@ def q_site_status_update(spark, sf_dir):
     return rg.set_crawling(sites, sites.select("pageid"))
 
 
+def q_sites_of_owner(spark, sf_dir):
+    return rg.sites_of_owner(registry_sites(spark, sf_dir), "user1")
+
+
 def q_site_deleted(spark, sf_dir):
     sites = registry_sites(spark, sf_dir)
     return rg.delete_sites(sites, sites.where(F.col("owner") == "user0"))
@@ -338,6 +354,7 @@ QUERIES = {
     "site_hosts": q_site_hosts,
     "site_status_update": q_site_status_update,
     "site_deleted": q_site_deleted,
+    "sites_of_owner": q_sites_of_owner,
     "site_is_indexed": q_site_is_indexed,
     "rag_prompts": q_rag_prompts,
     "pages_scan": q_pages_scan,
@@ -373,4 +390,5 @@ QUERIES = {
     "search_all_docs": q_search_all_docs,
     "search_answer": q_search_answer,
     "search_batch": q_search_batch,
+    "search_conversations": q_search_conversations,
 }

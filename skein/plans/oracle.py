@@ -90,6 +90,8 @@ def query_terms_cte(queries: str, name: str = "qt") -> str:
             f"JOIN {name}_stem s ON t.tok = s.tok GROUP BY t.query_id, t.site, s.term)")
 
 
+CONV_QUERIES = (f"SELECT conv_id * 10000 + turn AS query_id, {lit(ALL_SITE)} AS site, text AS query "
+                "FROM conversations WHERE role = 'user'")
 BENCH_QUERIES = f"SELECT item_id AS query_id, {lit(ALL_SITE)} AS site, text AS query FROM benchmark"
 ONE_QUERY = f"SELECT CAST(0 AS BIGINT) AS query_id, {lit(ALL_SITE)} AS site, {lit(SINGLE_QUERY)} AS query"
 
@@ -330,6 +332,7 @@ def build() -> dict[str, str]:
     q["site_hosts"] = (f"WITH {reg} SELECT h.hash, k.host FROM (SELECT sha256(host) AS hash FROM hosts) h "
                        "LEFT JOIN keys k ON k.hash = h.hash")
     q["site_deleted"] = f"WITH {reg} SELECT * FROM sites WHERE owner <> 'user0'"
+    q["sites_of_owner"] = f"WITH {reg} SELECT pageid AS id, status, url FROM sites WHERE owner = 'user1'"
     q["site_is_indexed"] = (f"WITH {reg}, known AS (SELECT DISTINCT {host_sql('url')} AS h FROM sites) "
                             "SELECT host, EXISTS (SELECT 1 FROM known WHERE h = host) AS indexed FROM hosts")
     st_parts = "string_split(st, ',')"
@@ -352,6 +355,10 @@ def build() -> dict[str, str]:
         "coalesce(CASE WHEN ends_with(r.doc_key, 'pdf') THEN '' ELSE d.text END, '') || chr(10) || "
         "' Query: ' || b.query AS prompt FROM ranked r LEFT JOIN dt d ON d.doc_key = r.doc_key "
         f"JOIN ({BENCH_QUERIES}) b ON b.query_id = r.query_id WHERE r.rank = 1")
+    q["search_conversations"] = (
+        f"WITH {scored_ctes(CONV_QUERIES, True)}, {ranked} "
+        "SELECT r.query_id, r.rank, r.doc_key, r.score, n.n AS no_of_docs "
+        f"FROM ranked r JOIN ndocs n ON r.site = n.site{cond.replace('rank', 'r.rank')}")
     return q
 
 

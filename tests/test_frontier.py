@@ -60,3 +60,15 @@ def test_multi_round_crawl_and_index(spark):
     assert idx["doc_count"].first().n == 3
     # frontier and crawled never overlap under the strict rule
     assert out["frontier"].join(out["crawled"], ["site", "url"]).count() == 0
+
+
+def test_crawl_state_files(spark, tmp_path):
+    # One URL per line, trimmed, duplicates dropped; missing -> empty
+    p = tmp_path / "crawled.txt"
+    p.write_text("https://h/a\n  https://h/b \n\nhttps://h/a\n")
+    got = fr.load_urls(spark, str(p), "h")
+    assert sorted(r.url for r in got.collect()) == ["https://h/a", "https://h/b"]
+    assert fr.load_urls(spark, str(tmp_path / "missing.txt"), "h").count() == 0
+    fr.save_urls(got, str(tmp_path / "out"))
+    back = fr.load_urls(spark, str(tmp_path / "out"), "h")
+    assert sorted(r.url for r in back.collect()) == ["https://h/a", "https://h/b"]

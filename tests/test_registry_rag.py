@@ -45,3 +45,18 @@ def test_f7_prompt(spark):
                                F.col("query")).alias("p")).collect()
     assert out[0].p == "You are an assistant providing answers based solely on context. Context: T\n Query: q"
     assert out[1].p == "You are an assistant providing answers based solely on context. Context: \n Query: q"
+
+
+def test_registry_snapshots(spark, tmp_path):
+    from skein.sources import registry_store
+    root = str(tmp_path / "reg")
+    empty = registry_store.load(spark, root)
+    assert empty["sites"].count() == 0 and empty["site_keys"].count() == 0
+    keys = spark.createDataFrame([("p", "h")], "hash string, host string")
+    registry_store.save(sites(spark), keys, root, 1)
+    upd = rg.set_crawling(sites(spark), spark.createDataFrame([("p",)], "pageid string"))
+    registry_store.save(upd, keys, root, 2)
+    cur = registry_store.load(spark, root)
+    assert {r.status for r in cur["sites"].where("pageid = 'p'").collect()} == {
+        "5 crawled,  2 remaining, Crawling..."}
+    assert cur["site_keys"].count() == 1
