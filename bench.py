@@ -61,10 +61,10 @@ def jobs(spark, sf_dir):
     def crawl_round_job():
         p = catalog.page_sites(spark, sf_dir)
         frontier = p.select("site", "url", F.lit(0).cast("int").alias("round"))
-        r = fr.crawl_round(frontier, fr.empty(spark), tables.pages(spark, sf_dir), 100, 1)
         base = scratch_path(spark, "bench-crawl")
-        fr.save_state(r["frontier"], os.path.join(base, "frontier"))
-        fr.save_state(r["crawled"], os.path.join(base, "crawled"))
+        r = fr.crawl_round(frontier, fr.empty(spark), tables.pages(spark, sf_dir), 100, 1,
+                           persist=lambda name, df: fr.save_state(df, os.path.join(base, name)))
+        fr.save_state(r["status"], os.path.join(base, "status"))
 
     return {"index_build": index_build, "search_batch": search_batch,
             "page_text": page_text_job, "new_links": new_links_job,

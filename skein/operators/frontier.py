@@ -94,24 +94,32 @@ def status(crawled: DataFrame, frontier: DataFrame) -> DataFrame:
 
 def crawl_round(frontier: DataFrame, crawled: DataFrame, corpus: DataFrame,
                 n: int, round_no: int, pattern: str = "", seeds: DataFrame | None = None,
-                strict: bool = True, same_host: bool = False) -> dict[str, DataFrame]:
-    """One crawl round; returns batch, fetched, links, crawled, frontier, status."""
+                strict: bool = True, same_host: bool = False,
+                persist=None) -> dict[str, DataFrame]:
+    """One crawl round; returns batch, fetched, links, crawled, frontier, status.
+
+    ``persist(name, df) -> df`` materialises an intermediate table (the crawl
+    job writes it to the shared folder and reads it back): the batch window
+    and the corpus scan of the fetch then run once per round, not once per
+    table that is written.  Without it the round is one lazy plan."""
+    keep = persist or (lambda name, df: df)
     pool = with_seeds(frontier, seeds)
-    batch = frontier_batch(pool, n)
-    fetched = fetch(batch, corpus)
+    batch = keep("batch", frontier_batch(pool, n))
+    fetched = keep("fetched", fetch(batch, corpus))
     pages = fetched.where("fetched").select("site", "url", "html")
     seen = crawled.select("site", "url")
     if strict:
         seen = seen.unionByName(batch.select("site", "url"))
-    found = (new_links(pages, seen, pattern, same_host, keys=("site",))
-             .select("site", F.col("link").alias("url"), F.lit(round_no).alias("round")))
-    crawled_next = union_urls(crawled, batch.select("site", "url", F.lit(round_no).alias("round")))
+    found = keep("links", new_links(pages, seen, pattern, same_host, keys=("site",))
+                 .select("site", F.col("link").alias("url"), F.lit(round_no).alias("round")))
+    crawled_next = keep("crawled", union_urls(
+        crawled, batch.select("site", "url", F.lit(round_no).alias("round"))))
     rest = frontier_rest(pool, batch)
     if not strict and seeds is not None:
         # the original rule leaves a used seed in the frontier
         used = batch.join(seeds.select("site", "url"), ["site", "url"], "left_semi")
         rest = rest.unionByName(used)
-    frontier_next = union_urls(rest, found)
+    frontier_next = keep("frontier", union_urls(rest, found))
     return {"batch": batch, "fetched": fetched, "links": found,
             "crawled": crawled_next, "frontier": frontier_next,
             "status": status(crawled_next, frontier_next)}

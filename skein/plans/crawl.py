@@ -31,17 +31,19 @@ def crawl(spark: SparkSession, corpus: DataFrame, seeds: DataFrame, rounds: int,
     crawled = crawled if crawled is not None else fr.empty(spark)
     fetched_dirs, status_dirs = [], []
     for r in range(1, rounds + 1):
-        out = fr.crawl_round(frontier, crawled, corpus, n, r, pattern, seeds, strict, same_host)
         base = os.path.join(root, f"round={r}")
-        frontier = fr.save_state(out["frontier"], os.path.join(base, "frontier"))
-        crawled = fr.save_state(out["crawled"], os.path.join(base, "crawled"))
-        fetched = out["fetched"].where("fetched").select("site", "url", "round", "html")
-        fr.save_state(fetched, os.path.join(base, "fetched"))
-        fr.save_state(out["status"].withColumn("round", F.lit(r)), os.path.join(base, "status"))
+
+        def persist(name, df, base=base):
+            return fr.save_state(df, os.path.join(base, name))
+
+        out = fr.crawl_round(frontier, crawled, corpus, n, r, pattern, seeds, strict,
+                             same_host, persist=persist)
+        frontier, crawled = out["frontier"], out["crawled"]
+        persist("status", out["status"].withColumn("round", F.lit(r)))
         fetched_dirs.append(os.path.join(base, "fetched"))
         status_dirs.append(os.path.join(base, "status"))
-    return {"frontier": frontier, "crawled": crawled,
-            "fetched": spark.read.parquet(*fetched_dirs),
+    fetched = spark.read.parquet(*fetched_dirs).where("fetched").select("site", "url", "round", "html")
+    return {"frontier": frontier, "crawled": crawled, "fetched": fetched,
             "status": spark.read.parquet(*status_dirs)}
 
 
