@@ -86,9 +86,14 @@ def postings_map(postings: DataFrame) -> DataFrame:
 
 def latest_versions(versions: DataFrame, order_col: str = "version") -> DataFrame:
     """Keep the newest version of every (site, doc_key) - the overwrite rule
-    of a re-crawled page."""
-    w = Window.partitionBy("site", "doc_key").orderBy(F.desc(order_col))
-    return versions.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    of a re-crawled page.  A max_by aggregation rather than a window: it
+    combines map-side, so a page re-sent a great many times is not sorted in
+    one task."""
+    rest = [c for c in versions.columns if c not in ("site", "doc_key")]
+    newest = (versions.groupBy("site", "doc_key")
+                      .agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_v")))
+    return newest.select(*[F.col(c) if c in ("site", "doc_key") else F.col("_v." + c).alias(c)
+                           for c in versions.columns])
 
 
 def doc_freq_delta(new_postings: DataFrame, replaced_postings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ change log of such batches (``skein.sources.registry_store``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.urls import host, site_hash
@@ -28,21 +28,23 @@ def registration_events(pages: DataFrame, owner: F.Column, status: str = "Pendin
 def register(sites: DataFrame, events: DataFrame) -> DataFrame:
     """R2: add (pageid, owner) rows not registered yet; among requests for the
     same pair the earliest (``seq``) wins."""
-    w = Window.partitionBy("pageid", "owner").orderBy("seq")
-    first = (events.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-                   .select("pageid", "owner", "url", "status"))
+    first = (events.groupBy("pageid", "owner")
+                   .agg(F.min_by(F.struct("url", "status"), F.col("seq")).alias("_e"))
+                   .select("pageid", "owner", "_e.url", "_e.status"))
     new = first.join(sites.select("pageid", "owner"), ["pageid", "owner"], "left_anti")
     return sites.select("pageid", "owner", "url", "status").unionByName(new)
 
 
 def upsert_site_keys(site_keys: DataFrame, events: DataFrame) -> DataFrame:
     """Merge (hash, host, seq) events into site_keys; the latest wins."""
-    old = site_keys.select("hash", "host", F.lit(None).cast("long").alias("seq"),
-                           F.lit(0).alias("_src"))
-    new = events.select("hash", "host", F.col("seq").cast("long"), F.lit(1).alias("_src"))
-    w = Window.partitionBy("hash").orderBy(F.desc("_src"), F.desc_nulls_last("seq"))
-    return (old.unionByName(new).withColumn("_rn", F.row_number().over(w))
-               .where("_rn = 1").select("hash", "host"))
+    old = site_keys.select("hash", "host", F.lit(0).alias("_src"),
+                           F.lit(None).cast("long").alias("seq"))
+    new = events.select("hash", "host", F.lit(1).alias("_src"), F.col("seq").cast("long"))
+    # newest = events over stored rows, then the highest seq; an aggregation,
+    # so a host with very many events combines map-side
+    order = F.struct("_src", F.coalesce(F.col("seq"), F.lit(-(1 << 62))))
+    return (old.unionByName(new).groupBy("hash")
+               .agg(F.max_by(F.col("host"), order).alias("host")))
 
 
 def update_status(sites: DataFrame, updates: DataFrame) -> DataFrame:
