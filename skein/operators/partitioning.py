@@ -1,12 +1,12 @@
 """Input parallelism for per-document work.
 
-A scan runs one task per file split, and a Parquet split holds whole row
-groups.  A small input written as one or a few row groups therefore feeds all
-tokenising and stemming into a few tasks.  When the input has fewer files than
-the cluster has task slots, spread the rows by key: one shuffle of a small
-input, and hash partitioning on (site, doc_key) also satisfies the per-page
-aggregation that follows, so the postings need no shuffle of their own.  A
-large input (many files) is left as scanned.
+A scan runs one task per input split.  A small input (a few megabytes, one
+row group) yields fewer splits than the cluster has task slots and feeds all
+tokenising and stemming into a few tasks.  When the planned scan has fewer
+splits than slots, spread the rows by key: one shuffle of a small input, and
+hash partitioning on (site, doc_key) also satisfies the per-page aggregation
+that follows, so the postings need no shuffle of their own.  A large input
+(many splits, whatever its file count) is left as scanned.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 
 
 def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    slots = sc.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys) if keys else df.repartition(slots)
