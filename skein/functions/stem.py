@@ -329,9 +329,10 @@ def porter_stages(o, word_col: str, nltk: bool = True, irregular: bool = False):
             suffix, repl = STEP2_PAPER_BLI
         step2.append((suffix, repl, _m_gt0(o, w, suffix)))
     if nltk:
-        step2.append(("fulli", "ful", _m_gt0(o, w, "fulli")))
-        # the l of -logi stays with the stem for the measure
-        step2.append(("logi", "log", _m_gt0(o, w, "ogi")))
+        for suffix, repl in STEP2_EXTENDED:
+            # the l of -logi stays with the stem for the measure
+            measured = "ogi" if suffix == "logi" else suffix
+            step2.append((suffix, repl, _m_gt0(o, w, measured)))
     stages.append([("__w", _rule_list(o, w, step2))])
 
     # step 3
