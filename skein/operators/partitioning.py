@@ -14,8 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def _planned_splits(df: DataFrame) -> int | None:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:   # no RDD API (e.g. a remote session): leave the input as is
+        return None
+
+
 def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:
+        return df
+    splits = _planned_splits(df)
+    if splits is None or splits >= slots:
         return df
     return df.repartition(slots, *keys) if keys else df.repartition(slots)
