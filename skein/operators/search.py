@@ -9,6 +9,8 @@ O2, W1, W3).
 Plan: the query side (query terms joined with their weights) is small and
 bounded by the query table, so it is broadcast after a size check and the
 postings stream past it with no shuffle; only matching postings survive.
+Beyond the bound the join is salted: a term's postings spread over SALTS
+tasks by document, and the query side is repeated once per salt.
 Scores aggregate on (query, doc), spread over all tasks even when one query
 matches a third of the corpus.  Top-k per query is a row_number window that
 Spark plans with a partial group limit before the shuffle, so at most k rows
@@ -28,6 +30,7 @@ from skein.operators.broadcast import (MAX_BROADCAST_ROWS, broadcast_if_small,
                                        row_count_at_most)
 
 SCORE_DIGITS = 6
+SALTS = 64   # spread of one term's postings when the query side is not broadcast
 
 
 def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
@@ -55,20 +58,34 @@ def first_keys(docs: DataFrame, k: int) -> DataFrame:
                 .where(F.col("_rn") <= k).drop("_rn"))
 
 
+def salted_join(postings: DataFrame, qw: DataFrame, salts: int) -> DataFrame:
+    """Postings x query side on (site, term) without a hot term in one task:
+    each posting gets salt = hash(doc_key) mod ``salts`` and every query-side
+    row is repeated once per salt, so a term's postings spread over ``salts``
+    tasks and each still meets every query row exactly once."""
+    p = postings.withColumn("_salt", F.pmod(F.hash("doc_key"), F.lit(salts)))
+    q = qw.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return p.join(q, ["site", "term", "_salt"], "inner").drop("_salt")
+
+
 def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
-                     irregular: bool = True, qterms: DataFrame | None = None) -> DataFrame:
+                     irregular: bool = True, qterms: DataFrame | None = None,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                     salts: int = SALTS) -> DataFrame:
     """(query_id, site, doc_key, score) for every matched page, plus k
     zero-score candidates per query when ``k`` is given."""
     qt = qterms if qterms is not None else query_terms(queries, irregular)
     # the query side is bounded by the query table: size-check it there, not
     # after joining the index statistics (which would run the index build)
-    small = row_count_at_most(qt, MAX_BROADCAST_ROWS)
+    small = row_count_at_most(qt, max_broadcast_rows)
     weights = term_weights(index["doc_freq"], index["doc_count"], qt, small)
     qw = (qt.join(weights, ["site", "term"], "inner")
             .select("query_id", "site", "term", (F.col("qtf") * F.col("weight")).alias("qw")))
-    qw = F.broadcast(qw) if small else qw
-    contrib = (index["postings"].join(qw, ["site", "term"], "inner")
-               .select("query_id", "site", "doc_key", (F.col("tf") * F.col("qw")).alias("c")))
+    if small:
+        joined = index["postings"].join(F.broadcast(qw), ["site", "term"], "inner")
+    else:
+        joined = salted_join(index["postings"], qw, salts)
+    contrib = joined.select("query_id", "site", "doc_key", (F.col("tf") * F.col("qw")).alias("c"))
     if k is not None:
         pads = broadcast_if_small(first_keys(index["docs"], k))
         pad = (queries.select("query_id", "site").distinct()
@@ -80,11 +97,12 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
 
 
 def search_batch(index: dict, queries: DataFrame, k: int = 10,
-                 irregular: bool = True) -> DataFrame:
+                 irregular: bool = True, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Top-k pages for every query of a query table (query_id, site, query).
 
     Returns (query_id, rank, doc_key, url, score, no_of_docs)."""
-    scores = score_candidates(index, queries, k, irregular)
+    scores = score_candidates(index, queries, k, irregular,
+                              max_broadcast_rows=max_broadcast_rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_key"))
     top = (scores.withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k))

@@ -66,3 +66,13 @@ def test_padding_many_docs(spark):
     q = spark.createDataFrame([(1, SITE, "zebra")], "query_id bigint, site string, query string")
     got = [r.doc_key for r in search.search_batch(idx, q, k=10).orderBy("rank").collect()]
     assert got == ["007", "021"] + [f"{i:03d}" for i in range(10) if i not in (7,)][:8]
+
+
+def test_salted_join_equals_broadcast(spark, f1_index):
+    qs = ["cats dog dog", "unknown running", "dog", "", "thi this"]
+    table = spark.createDataFrame([(i, SITE, q) for i, q in enumerate(qs)],
+                                  "query_id bigint, site string, query string")
+    fast = search.search_batch(f1_index, table, k=3).collect()
+    salted = search.search_batch(f1_index, table, k=3, max_broadcast_rows=0).collect()
+    key = lambda r: (r.query_id, r.rank, r.doc_key, r.score)
+    assert sorted(map(key, fast)) == sorted(map(key, salted))
