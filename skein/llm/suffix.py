@@ -12,12 +12,13 @@ equality only (no chance is involved):
 2. Where the whole context of an anchor (all windows that it owns together)
    occurs twice, all its windows repeat and nothing is left to sort.
 3. What remains are contexts at the rim of a repeat.  Each window start there
-   is a suffix, its leading tokens being two 64-bit words that stand for its
-   LENGTH bytes.  Splitters sampled by Spark range-partition the suffixes by
-   these tokens (and, among equal ones, by place, so that one very frequent
-   passage spreads over many buckets); each bucket is sorted by multikey
-   quicksort and neighbours are compared; the first and last suffix of each
-   bucket are then compared across the boundaries.
+   is a suffix.  Its tokens are the hash of its anchor's gram and two 64-bit
+   words that stand for its LENGTH bytes.  Splitters sampled by Spark
+   range-partition the suffixes by these tokens (and, among equal ones, by
+   place, so that one very frequent passage spreads over many buckets); each
+   bucket is sorted by multikey quicksort and neighbours are compared; the
+   first and last suffix of each bucket are then compared across the
+   boundaries.
 """
 
 from __future__ import annotations
@@ -118,11 +119,11 @@ def anchor_column(text: Column, length: int) -> Column:
 
 
 def suffix_column(text: Column, places: Column, length: int) -> Column:
-    """The suffixes (t1, t2, suffix) of contexts ``places`` (id, p, w): two
-    leading tokens for the window's bytes; suffix = id * 512 + distance."""
-    @F.arrow_udf("array<struct<t1:bigint,t2:bigint,suffix:bigint>>")
+    """The suffixes (gram, t1, t2, suffix) of contexts ``places`` (id, gram, p,
+    w): three leading tokens, and suffix = id * 512 + distance."""
+    @F.arrow_udf("array<struct<gram:bigint,t1:bigint,t2:bigint,suffix:bigint>>")
     def udf(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        digests, ids, cut = [], [], [0]
+        digests, grams, ids, cut = [], [], [], [0]
         digest = xxhash.xxh3_128_digest
         for t, places in zip(texts, lists.to_pylist()):
             t = t.as_buffer().to_pybytes()
@@ -130,11 +131,13 @@ def suffix_column(text: Column, places: Column, length: int) -> Column:
                 p, n = x["p"], x["w"] + 1
                 digests += [digest(t[i:i + length]) for i in range(p, p + n)]
                 ids.append(np.arange(n) + x["id"] * 512)
+                grams.append(np.full(n, x["gram"]))
             cut.append(len(digests))
         tokens = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
         rows = pa.StructArray.from_arrays(
-            [pa.array(np.ascontiguousarray(tokens[:, 0])), pa.array(np.ascontiguousarray(tokens[:, 1])),
-             pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["t1", "t2", "suffix"])
+            [flat(grams), pa.array(np.ascontiguousarray(tokens[:, 0])), pa.array(np.ascontiguousarray(tokens[:, 1])),
+             flat(ids)], names=TOKENS + ["suffix"])
         return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rows)
     return udf(common.utf8(text), places)
 
@@ -162,7 +165,8 @@ def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-BUCKET = "edge int, t1 bigint, t2 bigint, suffix bigint, lo int, hi int"
+TOKENS = ["gram", "t1", "t2"]
+BUCKET = "edge int, gram bigint, t1 bigint, t2 bigint, suffix bigint, lo int, hi int"
 
 
 def _sort_bucket(batches):
@@ -172,10 +176,10 @@ def _sort_bucket(batches):
     if not got:
         return
     t = pa.Table.from_batches(got)
-    keys = [t[c].to_numpy() for c in ("t1", "t2", "suffix")]
+    keys = [t[c].to_numpy() for c in TOKENS + ["suffix"]]
     order = multikey_quicksort(keys)
-    a, b, s = (k[order] for k in keys)
-    eq = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    *tokens, s = (k[order] for k in keys)
+    eq = np.logical_and.reduce([k[1:] == k[:-1] for k in tokens])
     dup = np.append(eq, False) | np.append(False, eq)
     ids, off = np.divmod(s[dup], 512)
     by = np.argsort(ids, kind="stable")
@@ -185,22 +189,22 @@ def _sort_bucket(batches):
     hi = np.maximum.reduceat(off, first) if len(ids) else first
     n = len(first)
     cols = [np.concatenate([np.zeros(n, np.int32), [-1, 1]]).astype(np.int32),
-            np.concatenate([np.zeros(n, np.int64), a[[0, -1]]]), np.concatenate([np.zeros(n, np.int64), b[[0, -1]]]),
+            *[np.concatenate([np.zeros(n, np.int64), k[[0, -1]]]) for k in tokens],
             np.concatenate([ids[first], s[[0, -1]]]),
             np.concatenate([lo, [0, 0]]).astype(np.int32), np.concatenate([hi, [0, 0]]).astype(np.int32)]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols],
-                                     names=["edge", "t1", "t2", "suffix", "lo", "hi"])
+                                     names=["edge", *TOKENS, "suffix", "lo", "hi"])
 
 
 def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     """(id, lo, hi): for each context with a window that is found elsewhere,
     the least and greatest distance of such a window."""
-    buckets = suffixes.repartitionByRange("t1", "t2", "suffix").mapInArrow(_sort_bucket, BUCKET)
+    buckets = suffixes.repartitionByRange(*TOKENS, "suffix").mapInArrow(_sort_bucket, BUCKET)
     buckets = common.store(buckets, "suffix-buckets")
     inside = buckets.where("edge = 0").select(F.col("suffix").alias("id"), "lo", "hi")
     # two rows a bucket: equal tokens at both sides of a boundary
-    edges = buckets.where("edge <> 0").select("t1", "t2", "suffix").distinct()
-    both = edges.groupBy("t1", "t2").agg(F.collect_set("suffix").alias("s")).where(F.size("s") > 1)
+    edges = buckets.where("edge <> 0").select(*TOKENS, "suffix").distinct()
+    both = edges.groupBy(*TOKENS).agg(F.collect_set("suffix").alias("s")).where(F.size("s") > 1)
     across = both.select(F.explode("s").alias("s")).select(
         F.floor(F.col("s") / 512).cast("long").alias("id"), F.pmod("s", F.lit(512)).cast("int").alias("lo"),
         F.pmod("s", F.lit(512)).cast("int").alias("hi"))
@@ -229,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # contexts that occur once, beside others of the same gram: sort their suffixes
     rim = ctx.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("least = 1 and m > 1")
     rim = common.store(ctx.join(rim.select("gram"), "gram", "left_semi"), "suffix-rim")
-    places = rim.groupBy("own.key").agg(F.collect_list(F.struct("id", "own.p", "own.w")).alias("places"))
+    places = rim.groupBy("own.key").agg(F.collect_list(F.struct("id", "gram", "own.p", "own.w")).alias("places"))
     places = _maybe_broadcast(common.store(places, "suffix-places"))
     one = texts.join(places, "key").dropDuplicates(["key"])      # a text that several rows hold is read once
     rows = one.select(F.explode(suffix_column(F.col("text"), F.col("places"), length)).alias("x")).select("x.*")
