@@ -1,10 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's n-grams,
 and one pass over every window of the training text.
 
-Words are hashed once a document; the hash of each window of consecutive words
-is looked up in the hash set (a map-side hash join on one long: no shuffle of
-the corpus); windows that hit are verified word by word, so a collision cannot
-mark a clean text.  All built-in expressions.
+A window can only be in the set if it holds, at the right place, the longest
+word of some n-gram; so each word is first looked up in a broadcast gate of
+those words, and only windows that pass are hashed and looked up in the set
+(map-side hash joins: no shuffle of the corpus).  Windows that hit are verified
+word by word, so a collision cannot mark a clean text.  All built-in
+expressions.
 """
 
 from __future__ import annotations
@@ -38,59 +40,38 @@ def phrase(w: Column) -> Column:
     return common.ascii_lower(F.array_join(w, " "))
 
 
-def window_hashes(h: str, n: int) -> Column:
-    """The hashes of all windows of ``n`` words, from the word hashes ``h``."""
-    at = F.sequence(F.lit(0), F.size(h) - n)
-    return F.when(F.size(h) >= n, F.transform(
-        at, lambda i: F.xxhash64(*[F.get(F.col(h), i + k) for k in range(n)])))
-
-
 def ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Distinct windows (len, gram string, h word hashes, items array<bigint>);
-    an item of fewer than ``n`` words, but not none, is one window."""
+    """Distinct windows (len, gram string, hash, gate, off, items
+    array<bigint>); an item of fewer than ``n`` words, but not none, is one
+    window.  ``gate`` is the hash of its longest word, ``off`` its place."""
     w = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
     grams = w.select("item_id", "len", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - F.col("len") + 1),
         lambda i: F.slice(F.col("w"), i, F.col("len")))).alias("g"))
-    grams = grams.withColumns({"gram": phrase(F.col("g")), "h": F.transform("g", word_hash)})
-    return grams.groupBy("len", "gram", "h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-
-
-def hash_set(benchmark: DataFrame, n: int = N) -> tuple[DataFrame, list[int]]:
-    """The stored n-grams with their hash, and the window lengths in use."""
-    g = common.store(ngrams(benchmark, n), "decontam-grams")
-    lens = sorted(r["len"] for r in g.select("len").distinct().collect())     # n values at most
-    parts = []
-    for k in lens:
-        one = g.where(F.col("len") == k)
-        parts.append(one.select("len", "gram", "items", F.xxhash64(
-            *[F.get("h", F.lit(i)) for i in range(k)]).alias("hash")))
-    out = g.select("len", "gram", "items", F.lit(0).cast("long").alias("hash")).limit(0)
-    for p in parts:
-        out = out.unionByName(p)
-    return common.store(out, "decontam-set"), lens
+    grams = grams.groupBy("len", phrase(F.col("g")).alias("gram")).agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"))
+    each = F.transform(F.split("gram", " "), lambda x, i: F.struct(F.length(x).alias("n"), word_hash(x).alias("gate"), i.alias("off")))
+    best = F.array_max(each)
+    return grams.select("len", "gram", F.xxhash64("gram").alias("hash"), best["gate"].alias("gate"),
+                        best["off"].alias("off"), "items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int = N) -> DataFrame:
     """(keys, w0, len, items): every window of a document that is a window of
     the benchmark, at word ``w0``."""
-    grams, lens = hash_set(benchmark, n)
+    grams = common.store(ngrams(benchmark, n), "decontam-set")
     small = grams.count() <= MAX_BROADCAST
-    one = docs.select(*keys, words(F.col("text")).alias("w"))
-    one = one.withColumn("h", F.transform("w", word_hash))
-    found = None
-    for k in lens:
-        at = one.select(*keys, "w", F.posexplode(window_hashes("h", k)).alias("w0", "hash"))
-        side = grams.where(F.col("len") == k).select("hash", "len", "gram", "items")
-        hit = at.join(F.broadcast(side) if small else side, "hash")
-        hit = hit.where(phrase(F.slice("w", F.col("w0") + 1, k)) == F.col("gram"))
-        hit = hit.select(*keys, "w0", "len", "items")
-        found = hit if found is None else found.union(hit)
-    if found is None:      # a benchmark without a word
-        found = one.select(*keys, F.lit(0).alias("w0"), F.lit(0).alias("len"),
-                           F.lit(None).cast("array<bigint>").alias("items")).limit(0)
-    return found
+    send = lambda df: F.broadcast(df) if small else df
+    gates = grams.select("gate", "off", "len").distinct()
+    each = docs.select(*keys, words(F.col("text")).alias("w")).select(*keys, "w", F.posexplode("w").alias("i", "word"))
+    near = each.withColumn("gate", word_hash(F.col("word"))).join(send(gates), "gate")
+    near = near.withColumn("w0", F.col("i") - F.col("off")).where("w0 >= 0 and w0 + len <= size(w)")
+    near = near.select(*keys, "w0", "len", phrase(F.slice(
+        "w", F.greatest(F.col("w0") + 1, F.lit(1)), F.col("len"))).alias("text"))
+    near = near.withColumn("hash", F.xxhash64("text"))
+    found = near.join(send(grams.select("hash", "gram", F.col("len").alias("k"), "items")), "hash")
+    return found.where("gram = text and k = len").select(*keys, "w0", "len", "items")
 
 
 def text_key(text: Column) -> Column:
