@@ -46,8 +46,15 @@ V1 = "[aeiouy][aeiou]*"              # a vowel run that follows a consonant
 V0 = "(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])"   # prefix up to the first vowel
 M1 = V0 + "[aeiou]*[^aeiou]"         # prefix with m >= 1
 M2 = M1 + "[^aeiouy]*[aeiouy][aeiou]*[^aeiou]"  # prefix with m >= 2
-PC = "(?:" + C1 + "|[aeiou]+" + C1 + ")"        # prefix ending on a full consonant run
-ENDS_V = "(?:[aeiou]+|" + PC + "(?:" + V1 + C1 + ")*" + V1 + ")"  # prefix ending on a vowel
+
+# The class of a letter ``y`` follows from the run of ``y`` it ends: classes
+# alternate along the run, from a consonant after a vowel (or at the start)
+# and from a vowel after a consonant.  So the end of a word decides, and no
+# pattern repeats a group of varying length (the JVM recurses on those).
+Y_CONS = "(?:(?:^|[aeiou])y(?:yy)*|[^aeiouy](?:yy)+)"       # ends on a consonant y
+Y_VOWEL = "(?:(?:^|[aeiou])(?:yy)+|[^aeiouy]y(?:yy)*)"      # ends on a vowel y, after a consonant
+CVC = "(?:(?:[^aeiouy]|" + Y_CONS + ")[aeiou]|" + Y_VOWEL + ")[^aeiouwxy]"
+YY_CONS = "(?:(?:^|[aeiou])y(?:yy)+|[^aeiouy](?:yy)+)"      # ends on yy, the last a consonant
 
 # The irregular forms of the stemming library's extended mode
 # (stem <- surface forms).
@@ -238,7 +245,7 @@ def _has_vowel(o, w, suffix=""):
 
 
 def _ends_cvc(o, w, suffix, nltk):
-    cvc = o.rx(w, "^" + PC + "(?:" + V1 + C1 + ")*[aeiouy][^aeiouwxy]" + suffix + "$")
+    cvc = o.rx(w, CVC + suffix + "$")
     if nltk:
         return o.or_(cvc, o.rx(w, "^[aeiou][^aeiou]" + suffix + "$"))
     return cvc
@@ -247,7 +254,7 @@ def _ends_cvc(o, w, suffix, nltk):
 def _ends_double_consonant(o, w):
     return o.and_(o.ge(o.length(w), 2), o.last_two_equal(w),
                   o.or_(o.rx(w, "[^aeiouy]$"),
-                        o.rx(w, "^" + PC + "(?:" + V1 + C1 + ")*yy$")))
+                        o.rx(w, YY_CONS + "$")))
 
 
 def _rule_list(o, w, rules, default=None):
@@ -314,7 +321,7 @@ def porter_stages(o, word_col: str, nltk: bool = True, irregular: bool = False):
     # step 1c
     if nltk:
         y_to_i = o.and_(o.ends(w, "y"), o.gt(o.length(w), 2),
-                        o.or_(o.rx(w, "[^aeiouy]y$"), o.rx(w, "^" + ENDS_V + "yy$")))
+                        o.rx(w, Y_VOWEL + "$"))
     else:
         y_to_i = o.and_(o.ends(w, "y"), _has_vowel(o, w, "y"))
     stages.append([("__w", o.case([(y_to_i, o.cat(o.cut(w, 1), "i"))], w))])

@@ -65,11 +65,12 @@ def build_index(docs: DataFrame, stopwords="nltk") -> dict[str, DataFrame]:
             "doc_count": doc_count(docs)}
 
 
-def top_terms(postings: DataFrame, k: int = 5) -> DataFrame:
-    """O1: the k most frequent terms of each page (tf desc, term asc)."""
+def top_terms(postings: DataFrame, k: int | None = None) -> DataFrame:
+    """O1: the terms of each page in order (tf desc, term asc): all of them,
+    or the ``k`` first."""
     w = Window.partitionBy("site", "doc_key").orderBy(F.desc("tf"), F.asc("term"))
-    return (postings.withColumn("rank", F.row_number().over(w))
-                    .where(F.col("rank") <= k))
+    ranked = postings.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def postings_map(postings: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def q_doc_count(spark, sf_dir):
 
 
 def q_top_terms(spark, sf_dir):
-    return ix.top_terms(ix.term_freq(docs_by_source(spark, sf_dir)), k=5)
+    return ix.top_terms(ix.term_freq(docs_by_source(spark, sf_dir)))
 
 
 def q_term_weights(spark, sf_dir):
@@ -271,7 +271,7 @@ def toggled_hosts(spark, sf_dir) -> DataFrame:
     """Hosts of every page plus the same host with 'www.' added or removed
     (those are mostly unregistered)."""
     h = urls.host(F.col("url"))
-    other = F.when(h.startswith("www."), F.substring(h, 5, 1 << 20)).otherwise(F.concat(F.lit("www."), h))
+    other = F.when(h.startswith("www."), h.substr(F.lit(5), F.length(h))).otherwise(F.concat(F.lit("www."), h))
     p = tables.pages(spark, sf_dir)
     return p.select(h.alias("host")).unionByName(p.select(other.alias("host"))).distinct()
 

@@ -259,7 +259,7 @@ def build() -> dict[str, str]:
     q["doc_count"] = f"WITH {index_ctes(False, True)} SELECT site, n FROM ndocs"
     q["top_terms"] = (f"WITH {index_ctes(False, True)} SELECT * FROM (SELECT site, doc_key, term, tf, "
                       "CAST(row_number() OVER (PARTITION BY site, doc_key ORDER BY tf DESC, term) "
-                      "AS INTEGER) AS rank FROM post) WHERE rank <= 5")
+                      "AS INTEGER) AS rank FROM post)")
     q["term_weights"] = (
         f"WITH {index_ctes(True, True)}, {query_terms_cte(BENCH_QUERIES)} "
         "SELECT k.term, d.df, n.n, n.n / coalesce(d.df, n.n) AS weight "

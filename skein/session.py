@@ -48,7 +48,8 @@ def get_spark(master: str | None = None, app: str = "skein",
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master      # local-cluster has executors of its own
+    return master == "local" or master.startswith("local[")
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -10,20 +10,24 @@ postings (A2) - equal to a batch rebuild.
 
 Intake per trigger is bounded by ``maxFilesPerTrigger`` (T2) and
 ``trigger(availableNow=True)`` drains what is there and stops.  Progress
-counts (T3) ride along as observed metrics on every micro-batch.
+counts (T3) are written beside the batch, a row for each.
+
+The checkpoint lies below the output unless one is named, so a later run goes
+on where the last one stopped and its versions follow the earlier ones.  A
+page that comes twice in one batch counts once: the greatest text stays.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein import schemas
 from skein.operators import index as ix
-from skein.session import scratch_path
 
 SOURCES = {"pages": schemas.PAGES, "documents": schemas.DOCUMENTS}
 
@@ -34,6 +38,24 @@ def _to_docs(batch: DataFrame, kind: str, site: str | None) -> DataFrame:
     return ix.docs_from_documents(batch, site=site)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row a page, the one with the greatest text (then url)."""
+    best = docs.groupBy("site", "doc_key").agg(F.max(F.struct("text", "url")).alias("b"))
+    return best.select("site", "doc_key", "b.url", "b.text")
+
+
+def progress(spark: SparkSession, out_root: str) -> dict[int, int]:
+    """Rows of every batch so far, by version (a row a batch)."""
+    path = os.path.join(out_root, "progress")
+    try:
+        df = spark.read.schema("rows bigint, version bigint").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["version"]: r["rows"] for r in df.collect()}
+
+
 def start_index_stream(spark: SparkSession, source_dir: str, out_root: str,
                        kind: str = "pages", site: str | None = None,
                        max_files_per_trigger: int = 1, stopwords="nltk",
@@ -42,15 +64,15 @@ def start_index_stream(spark: SparkSession, source_dir: str, out_root: str,
     stream = (spark.readStream.schema(SOURCES[kind])
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    observed = stream.observe("progress", F.count(F.lit(1)).alias("rows"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # two sinks read the batch: keep it in executor storage so it is read
         # (and its progress observed) once
-        docs = _to_docs(batch, kind, site).persist()
+        docs = _once(_to_docs(batch, kind, site)).persist()
         try:
             post = ix.term_freq(docs, stopwords)
-            for name, df in (("docs", docs), ("postings", post)):
+            rows = batch.agg(F.count(F.lit(1)).alias("rows"))
+            for name, df in (("docs", docs), ("postings", post), ("progress", rows)):
                 (df.withColumn("version", F.lit(batch_id).cast("long"))
                    .write.mode("overwrite").partitionBy("version")
                    .option("partitionOverwriteMode", "dynamic")
@@ -58,23 +80,17 @@ def start_index_stream(spark: SparkSession, source_dir: str, out_root: str,
         finally:
             docs.unpersist()
 
-    ckpt = checkpoint or scratch_path(spark, "index-stream")
-    return (observed.writeStream.foreachBatch(write_batch)
+    ckpt = checkpoint or os.path.join(out_root, "_checkpoint")
+    return (stream.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
 
 
 def run_index_stream(spark: SparkSession, source_dir: str, out_root: str, **kw) -> list[dict]:
-    """Start, drain and stop; returns the observed progress of each batch."""
-    q = start_index_stream(spark, source_dir, out_root, **kw)
-    q.awaitTermination()
-    out = []
-    for p in q.recentProgress:
-        metrics = getattr(p, "observedMetrics", None) or {}
-        row = metrics.get("progress")
-        if row is not None and getattr(p, "numInputRows", 0) > 0:
-            out.append(row.asDict() if hasattr(row, "asDict") else dict(row))
-    return out
+    """Start, drain and stop; returns the progress of each batch of this run."""
+    before = progress(spark, out_root)
+    start_index_stream(spark, source_dir, out_root, **kw).awaitTermination()
+    return [{"rows": n} for v, n in sorted(progress(spark, out_root).items()) if v not in before]
 
 
 def current_index(spark: SparkSession, out_root: str) -> dict:

@@ -65,3 +65,25 @@ def test_stream_equals_batch(spark, tmp_path):
     expect = sorted((r.term, r.df) for r in ix.doc_freq(ix.term_freq(ix.docs_from_pages(final))).collect())
     assert got == expect
     assert cur["doc_count"].first().n == 2
+
+
+def test_stream_goes_on_and_counts_a_page_once(spark, tmp_path):
+    """A second run without a named checkpoint adds to the first; a page twice
+    in one batch counts once."""
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+
+    def put(name, rows):
+        d = tmp_path / name
+        spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(d))
+        for f in os.listdir(d):
+            if f.endswith(".parquet"):
+                os.link(d / f, src / f"{name}-{f}")
+
+    put("a", [(1, "https://h/a", "<p>alpha</p>"), (1, "https://h/a", "<p>alpha</p>"), (2, "https://h/b", "<p>beta</p>")])
+    assert incremental.run_index_stream(spark, str(src), out) == [{"rows": 3}]
+    put("b", [(3, "https://h/c", "<p>gamma</p>")])
+    assert incremental.run_index_stream(spark, str(src), out) == [{"rows": 1}]
+    cur = incremental.current_index(spark, out)
+    assert sorted((r.term, r.tf) for r in cur["postings"].collect()) == [("alpha", 1), ("beta", 1), ("gamma", 1)]
+    assert cur["doc_count"].first().n == 3

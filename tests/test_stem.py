@@ -60,3 +60,34 @@ def test_filter_on_stem_does_not_blow_up(spark):
     df = spark.createDataFrame([("running",), ("cats",)], "word string")
     out = with_stem(df, "word", "term").where(F.col("term").isNotNull() & (F.col("term") != "cat"))
     assert [r.term for r in out.collect()] == ["run"]
+
+
+def test_endings_equal_the_letter_classes():
+    """CVC, double consonant and -y rules against classes found letter by letter."""
+    import itertools
+    import re
+
+    from skein.functions import stem as st
+
+    def classes(w):
+        out = []
+        for c in w:
+            out.append("v" if c in "aeiou" or (c == "y" and out[-1:] == ["c"]) else "c")
+        return "".join(out)
+
+    for n in range(1, 8):
+        for letters in itertools.product("ayytw", repeat=n):
+            w = "".join(letters)
+            k = classes(w)
+            assert bool(re.search(st.CVC + "$", w)) == (k[-3:] == "cvc" and w[-1] not in "wxy"), w
+            assert bool(re.search(st.YY_CONS + "$", w)) == (w[-2:] == "yy" and k[-1] == "c"), w
+            if n > 2:
+                assert bool(re.search(st.Y_VOWEL + "$", w)) == (w[-1] == "y" and k[-2] == "c"), w
+
+
+def test_tokens_of_any_length(spark):
+    words = ["ba" * 200000 + "ay", "hey" * 200000, "la" * 200000 + "eeing", "y" * 300000 + "ed", "b" + "y" * 300001]
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    from skein.functions.stem import with_stem
+    got = [r[0] for r in with_stem(df, "token", "s").select("s").collect()]
+    assert len(got) == len(words) and all(len(g) > 200000 for g in got)
