@@ -47,7 +47,17 @@ ROUNDS = 40
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_words: dict[bytes, int] = {}
+
+
+class _WordHashes(dict):
+    """Hashes of the words that this worker has seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _WordHashes()
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -58,8 +68,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > MAX_CACHE:
         _words.clear()
-    digest = xxhash.xxh3_64_intdigest
-    a = np.fromiter((_words.get(w) or _words.setdefault(w, digest(w)) for w in words), np.uint64, len(words))
+    a = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)      # k: no short sequence equals a full shingle
     for i in range(k):
@@ -177,14 +186,14 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar(percent: int) -> Column:
-    return F.col("inter") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("inter"))
+    return (F.col("inter") > 0) & (F.col("inter") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("inter")))
 
 
 class Links:
     """Verified links and the component of every point that has one."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.docs, self.n, self.percent = docs, n, percent
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -211,8 +220,22 @@ class Links:
         p = self.label(self.label(pairs, "x", "lx"), "y", "ly")
         return p.where("lx <> ly").drop("lx", "ly")
 
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(x, s): the whole sets of the points in ``pairs``, read from their
+        documents."""
+        ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
+        ids = common.store(ids, "jaccard-need")
+        ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+        own = self.docs.join(ids, "doc_id", "left_semi").select(
+            F.col("doc_id").alias("x"), set_column(F.col("text"), self.n).alias("s"))
+        return common.store(own, "jaccard-sets")
+
     def verify(self, pairs: DataFrame) -> None:
-        got = overlaps(pairs.select("x", "y"), self.sets).where(similar(self.percent)).select("x", "y")
+        """Link the ``pairs`` that are similar."""
+        pairs = common.store(pairs.select("x", "y"), "jaccard-check")
+        if pairs.isEmpty():
+            return
+        got = overlaps(pairs, self.sets(pairs)).where(similar(self.percent)).select("x", "y")
         self.add(common.store(got, "jaccard-links"))
 
 
@@ -232,13 +255,12 @@ def regions(sigs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """(region, x, n, weight): points that share a first shingle with another
     in a neighbouring window of sizes.  ``sigs`` hold a row a document,
     ``points`` (x, a, b, n, weight) one a distinct set."""
-    first = sigs.where("n > 0").select(F.explode("first").alias("token"), "a", "b", "n")
+    first = sigs.select(F.explode("first").alias("token"), "a")
     # tokens of two points or more, told by the least and greatest digest
-    pt = F.struct("a", "b")
-    often = first.groupBy("token").agg(F.min(pt).alias("lo"), F.max(pt).alias("hi")).where("lo <> hi").select("token")
+    often = first.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token")
     often = common.store(often, "jaccard-tokens")
     held = first.join(often, "token", "left_semi").distinct()
-    held = held.join(points.select("x", "a", "b", "weight"), ["a", "b"])
+    held = held.join(points.select("x", "a", "n", "weight"), "a")
     at = size_window(F.col("n"), percent)
     held = held.select(F.explode(F.array(at, at + 1)).alias("win"), "token", "x", "n", "weight")
     held = held.select(F.xxhash64("token", "win").alias("region"), "x", "n", "weight")
@@ -261,10 +283,25 @@ def unsettled(members: DataFrame, links: Links) -> DataFrame:
     return lab.join(live, "region")
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within small regions."""
-    b = members.select("region", F.col("x").alias("y"), F.col("label").alias("ly"))
-    return members.join(b, "region").where("x < y and label <> ly").select("x", "y").distinct()
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components and of sizes that can match, within small
+    regions."""
+    b = members.select("region", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
+    fits = F.least("n", "ny") * 100 >= F.greatest("n", "ny") * percent
+    return members.join(b, "region").where("x < y and label <> ly").where(fits).select("x", "y").distinct()
+
+
+def families(members: DataFrame) -> DataFrame:
+    """Large regions that have points in common, as one region each: the
+    many first shingles that a family of near copies shares are then met
+    once."""
+    low = members.groupBy("region").agg(F.min("x").alias("b"))
+    edges = members.join(low, "region").select(F.col("x").alias("a"), "b")
+    fam = components_of(edges).union(edges.select(F.col("b").alias("x"), F.col("b").alias("label"))).groupBy("x").agg(
+        F.min("label").alias("region"))
+    fam = common.store(members.select("x", "n", "weight").distinct().join(fam, "x"), "jaccard-families")
+    size = fam.groupBy("region").agg(F.count("*").alias("m"))
+    return fam.join(size, "region").select("region", "x", "n", "weight", "m")
 
 
 def block_pairs(members: DataFrame, small: int) -> DataFrame:
@@ -274,18 +311,44 @@ def block_pairs(members: DataFrame, small: int) -> DataFrame:
     block = F.pmod(F.xxhash64("x", F.lit("block")), n)
     each = members.withColumn("blk", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return each.select(F.xxhash64("region", F.least("blk", "other"), F.greatest("blk", "other")).alias("region"),
-                       "x", "n", "weight")
-
-
-def voronoi(members: DataFrame, links: Links, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One recursion of large regions: links found, and the points in their
-    new regions (region, x, n, weight, m0: points of the region before)."""
+                       "x", "n", "weight", "label")
+
+
+def blocked(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components within each pair of blocks that the
+    bound does not rule out: a group has about two blocks of points."""
+    def one(t: pa.Table) -> pa.Table:
+        x, n, last, label = (t[c].to_numpy() for c in ("x", "n", "last", "label"))
+        sk = [np.frombuffer(b, np.uint16) for b in t["sk"].to_pylist()]
+        size = np.array([len(k) for k in sk])
+        flat, start = np.concatenate(sk), np.cumsum(size) - size
+        a, b = [], []
+        for i in range(len(x)):
+            shared = np.add.reduceat(np.isin(flat, sk[i]), start, dtype=np.int64)
+            rest = np.where(last < last[i], n - size, np.where(last > last[i], n[i] - size[i],
+                                                               np.maximum(n - size, n[i] - size[i])))
+            may = (100 + percent) * (shared + rest) >= percent * (n + n[i])
+            at = np.flatnonzero(may & (label != label[i]) & (x > x[i]) & (
+                100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            a.append(np.full(len(at), x[i]))
+            b.append(x[at])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())})
+    held = members.select("region", "x", "label").distinct().join(heads, "x")
+    return held.groupBy("region").applyInArrow(one, "x bigint, y bigint").distinct()
+
+
+def voronoi(members: DataFrame, links: Links, percent: int) -> DataFrame:
+    """One recursion of large regions (region, x, n, weight, m): links to
+    their pivots are added to ``links``; gives the points in their new regions
+    (region, x, n, weight, parent)."""
     k = F.ceil(F.sqrt("m")).cast("long")
-    drawn = members.where(F.pmod(F.xxhash64("x", "region"), k) == 0)
+    drawn = members.where(F.pmod(F.xxhash64("x", F.lit("pivot")), k) == 0)
     heavy = members.groupBy("region").agg(pivot_of())
     pivots = drawn.select("region", F.col("x").alias("y")).union(heavy).distinct()
-    met = members.select("region", "x", "n", "weight", "m").join(pivots, "region")
-    dist = overlaps(met.where("x <> y").select("x", "y").distinct(), links.sets)
+    met = members.select("region", "x", "n", "weight").join(pivots, "region")
+    ask = common.store(met.where("x <> y").select("x", "y").distinct(), "jaccard-ask")
+    dist = overlaps(ask, links.sets(ask))
     dist = common.store(dist.withColumn("d", 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))), "jaccard-dist")
     links.add(common.store(dist.where(similar(percent)).select("x", "y"), "jaccard-links"))
     met = met.join(dist.select("x", "y", "d"), ["x", "y"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
@@ -293,7 +356,7 @@ def voronoi(members: DataFrame, links: Links, percent: int) -> tuple[DataFrame,
     near = met.join(home, ["region", "x"]).where(F.col("d") <= F.col("home") + 2 * (1 - percent / 100) + 1e-9)
     # pairs with a pivot are done, so pivots need not come along
     near = near.join(pivots.select("region", F.col("y").alias("x")), ["region", "x"], "left_anti")
-    return near.select(F.xxhash64("region", "y").alias("region"), "x", "n", "weight", F.col("m").alias("m0"))
+    return near.select(F.xxhash64("region", "y").alias("region"), "x", "n", "weight", F.col("region").alias("parent"))
 
 
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
@@ -324,11 +387,7 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     heads = sigs.join(named.join(need, "x").select("a", "b", "x"), ["a", "b"])
     heads = heads.dropDuplicates(["a", "b"]).select("x", "n", fold_column(F.col("first")).alias("sk"), "last")
     heads = common.store(heads, "jaccard-heads")
-    ids = need.withColumnRenamed("x", "doc_id")
-    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    own = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), set_column(F.col("text"), n).alias("s"))
-    sets = common.store(own.where(F.octet_length("s") > 0), "jaccard-sets")
-    links = Links(sets, percent)
+    links = Links(docs, n, percent)
 
     # round 1: every point against the pivots of its regions, one of them first
     pivots = members.groupBy("region").agg(pivot_of())
@@ -342,25 +401,26 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     members = members.join(pivots.withColumnRenamed("y", "x"), ["region", "x"], "left_anti").select(
         "region", "x", "n", "weight")
     for _ in range(ROUNDS):
-        live = unsettled(members, links)
-        live = common.store(live, "jaccard-open")
+        live = common.store(unsettled(members, links), "jaccard-open")
         if live.isEmpty():
             break
-        few = bounded_pairs(small_pairs(live.where(F.col("m") <= small)), heads, percent)
-        few = common.store(few, "jaccard-pairs")
-        links.verify(links.open(few))
-        many = live.where(F.col("m") > small)
-        if many.isEmpty():
+        few = bounded_pairs(small_pairs(live.where(F.col("m") <= small), percent), heads, percent)
+        links.verify(links.open(common.store(few, "jaccard-pairs")))
+        large = live.where(F.col("m") > small)
+        if large.isEmpty():
             break
-        cells = common.store(voronoi(many.select("region", "x", "n", "weight", "m"), links, percent), "jaccard-cells")
-        live = unsettled(cells, links)
-        shrunk = F.col("m") <= 0.75 * F.col("m0")
-        live = common.store(live, "jaccard-open")
-        alike = block_pairs(live.where(~shrunk), small)
-        members = common.store(live.where(shrunk).select("region", "x", "n", "weight"), "jaccard-next")
-        if not alike.isEmpty():
-            rest = bounded_pairs(small_pairs(links.label(alike, "x", "label")), heads, percent)
-            links.verify(links.open(common.store(rest, "jaccard-blocks")))
+        large = common.store(families(large), "jaccard-large")
+        cells = common.store(voronoi(large, links, percent), "jaccard-cells")
+        # parents of one component are done; so are cells that became small enough to go on with
+        live = common.store(unsettled(large.select("region", "x", "n", "weight"), links), "jaccard-open")
+        most = cells.groupBy("parent", "region").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
+        shape = live.select("region", "m").distinct().join(most, F.col("region") == F.col("parent"), "left")
+        shape = common.store(shape.select("region", (F.coalesce("c", F.lit(0)) <= 0.75 * F.col("m")).alias("shrunk")), "jaccard-shape")
+        alike = block_pairs(live.join(shape.where(~F.col("shrunk")), "region", "left_semi"), small)
+        rest = common.store(blocked(alike, heads, percent), "jaccard-blocks")
+        links.verify(links.open(rest))
+        down = shape.where("shrunk").select(F.col("region").alias("parent"))
+        members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", "weight"), "jaccard-next")
     else:
         raise RuntimeError("regions did not settle")
     out = sigs.select("doc_id", "a", "b", F.col("n").alias("n_shingles"))
