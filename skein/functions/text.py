@@ -6,6 +6,9 @@ split), so it runs inside whole-stage codegen with no Python per row.
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ PUNCT_CHARS = r"[^\p{L}\p{N}_\s]"  # what re.sub(r'[^\w\s]', '') removes
 # Python's string.punctuation, the tokens dropped beside stopwords.
 PUNCTUATION = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
-# Named HTML character references decoded by the text extractor
-# (name, character).  "amp" is applied last so "&amp;lt;" stays "&lt;".
+# The named HTML character references that the DuckDB checks of
+# page text decode (name, character); the extractor knows all of them.  "amp"
+# is applied last so "&amp;lt;" stays "&lt;".
 HTML_ENTITIES = [
     ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
     ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"),
@@ -77,40 +81,62 @@ def _utf8_hex(cp: Column) -> Column:
                                 cont(12), cont(6), cont(0))))
 
 
-def _decode_numeric_refs(c: Column) -> Column:
-    """&#NNN; and &#xHH; -> the character (only evaluated when present)."""
-    def piece(p):
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        cp = F.when(dec != "", dec.cast("long")).otherwise(F.conv(hx, 16, 10).cast("long"))
-        ch = F.decode(F.unhex(_utf8_hex(cp)), "UTF-8")
-        valid = (dec != "") | (hx != "")
-        rest = F.regexp_replace(p, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
-        return F.when(valid & (cp > 0) & (cp <= 0x10FFFF), F.concat(ch, rest)) \
-                .otherwise(F.concat(F.lit("&#"), p))
-    parts = F.split(c, "&#")
-    decoded = F.concat(F.element_at(parts, 1),
-                       F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
-    return F.when(c.contains("&#"), decoded).otherwise(c)
+def _reference_table() -> Column:
+    """Map of names (with their ``;``) and of ``#n`` for the code points that
+    stand for another character or none, read from the Python standard library
+    when the plan is built; Catalyst folds it to one literal."""
+    table = {k: v for k, v in html5.items() if k.endswith(";")}
+    for cp in range(0xA0):
+        if unescape(f"&#{cp};") != chr(cp):
+            table[f"#{cp}"] = unescape(f"&#{cp};")
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+
+
+def _bare_names() -> str:
+    """Pattern of the names that need no ``;``, the longest first."""
+    names = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return "^(" + "|".join(names) + ")"
 
 
 def decode_entities(c: Column) -> Column:
-    out = _decode_numeric_refs(c)
-    named = out
-    for name, ch in HTML_ENTITIES:
-        named = F.replace(named, F.lit("&" + name + ";"), F.lit(ch))
-    return F.when(out.contains("&"), named).otherwise(out)
+    """Character references decoded in one pass from the left, as HTML has it:
+    named ones with or without ``;``, and numbers of any length."""
+    table = _reference_table()
+
+    def piece(p):                       # what follows an "&", up to the next
+        number = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        dec = F.regexp_extract(number, r"^#0*([0-9]*)", 1)
+        hx = F.regexp_extract(number, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+        is_hex = number.rlike("^#[xX]")
+        cp = F.when(F.length(F.when(is_hex, hx).otherwise(dec)) > 7, F.lit(0x110000)).otherwise(
+            F.coalesce(F.when(is_hex, F.conv(F.concat(F.lit("0"), hx), 16, 10)).otherwise(
+                F.concat(F.lit("0"), dec)).cast("int"), F.lit(0)))
+        none = cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(0xFFFE) == 0xFFFE)
+        char = (F.when((cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF), "\ufffd").when(none, "")
+                .otherwise(F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), cp.cast("string"))),
+                                      F.decode(F.unhex(_utf8_hex(cp)), "UTF-8"))))
+        name = F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};", 0)
+        full = F.try_element_at(table, name)
+        bare = F.regexp_extract(p, _bare_names(), 1)
+        after = lambda x: p.substr(F.length(x) + 1, F.length(p))
+        return (F.when(number != "", F.concat(char, after(number)))
+                .when(full.isNotNull(), F.concat(full, after(name)))
+                .when(bare != "", F.concat(F.try_element_at(table, F.concat(bare, F.lit(";"))), after(bare)))
+                .otherwise(F.concat(F.lit("&"), p)))
+    parts = F.split(c, "&")
+    decoded = F.concat(F.element_at(parts, 1),
+                       F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def strip_markup(c: Column, keep_template: bool = False) -> Column:
     """Drop comments, declarations and raw-text blocks (script, style and,
     unless ``keep_template``, template)."""
-    out = F.regexp_replace(c, COMMENT_RE, "")
-    out = F.regexp_replace(out, DECL_RE, "")
     blocks = ["script", "style"] + ([] if keep_template else ["template"])
-    for tag in blocks:
-        out = F.regexp_replace(out, RAW_BLOCK_RE.format(tag), "")
-    return out
+    # one pass: whichever opens first swallows the other
+    every = [COMMENT_RE, *(RAW_BLOCK_RE.format(tag) for tag in blocks), DECL_RE]
+    return F.regexp_replace(c, "|".join(f"(?:{r})" for r in every), "")
 
 
 def html_text(c: Column) -> Column:
