@@ -7,10 +7,13 @@ other.  So the Voronoi regions are seeded where documents can be near at all:
 
 1. Equal sets are one point (its weight: the number of its documents).
 2. A pair at the wanted similarity shares a shingle among the few first ones
-   of both sets, in any fixed order of all shingles (shingles known as common
-   from a sample come last; the order affects speed only).  Each such shingle
-   is a region, cut further by windows on the set size that replicate points
-   at a boundary into both neighbours.
+   of both sets, in any fixed order of all shingles (long ones first, as they
+   are rare; those known as common from a sample last; the order affects speed
+   only).  Each such shingle is a region, cut further by windows on the set
+   size that replicate points at a boundary into both neighbours.  The first
+   shingle that a pair shares stands so early in both sets that the rest can
+   make up the overlap: pairs for which a region's shingle cannot be that one
+   are left to another region.
 3. In each region the heaviest point is the pivot.  All others are measured
    against it; those in its ball are linked to it and so with each other: they
    form one component and need no comparison among themselves.
@@ -44,6 +47,9 @@ SMALL = 64                        # points of a region whose pairs are compared
 MAX_BROADCAST = 1_000_000         # ids that are sent to the tasks that read texts
 MAX_CACHE = 400_000               # words a worker remembers
 ROUNDS = 40
+WINDOW = 2                        # a window of sizes is this many steps of the similarity wide
+LENGTH_BITS = 6                   # of a shingle's hash, for the length of its words
+LENGTHS = 1 << LENGTH_BITS
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -62,7 +68,8 @@ _words = _WordHashes()
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct shingles of ``n`` words; of
-    fewer words the whole sequence is one; of none there are none."""
+    fewer words the whole sequence is one; of none there are none.  The top
+    LENGTH_BITS bits make long shingles sort first."""
     words = text.lower().split()      # bytes: A-Z, and the six white-space bytes
     if not words:
         return np.zeros(0, np.uint64)
@@ -70,12 +77,16 @@ def shingles(text: bytes, n: int) -> np.ndarray:
         _words.clear()
     a = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
+    size = np.cumsum(np.fromiter(map(len, [b""] + words), np.int64, len(words) + 1))
+    size = np.minimum(size[k:] - size[:-k], LENGTHS - 1)
     h = np.full(len(words) - k + 1, k, np.uint64)      # k: no short sequence equals a full shingle
     for i in range(k):
         h = (h ^ (h >> np.uint64(29))) * _MIX[i % len(_MIX)] + a[i:len(a) - k + 1 + i]
     h ^= h >> np.uint64(31)
     h *= _MIX[1]
     h ^= h >> np.uint64(29)
+    h >>= np.uint64(LENGTH_BITS)
+    h |= (LENGTHS - 1 - size).astype(np.uint64) << np.uint64(64 - LENGTH_BITS)
     return np.unique(h)
 
 
@@ -244,34 +255,45 @@ def components_of(edges: DataFrame) -> DataFrame:
 
 
 # ---- regions -----------------------------------------------------------------
-def size_window(n: Column, percent: int) -> Column:
-    """The window of a set size: sizes that can match lie in the same or in
-    neighbouring ones.  The small term keeps rounding on the safe side."""
+def size_windows(n: Column, percent: int) -> Column:
+    """The windows of a set size: its own, and the next if that holds sizes
+    that can match.  The small term keeps rounding on the safe side."""
     import math
-    return F.floor(F.log(n) / F.lit(-math.log(percent / 100) + 1e-9)).cast("long")
+    v = F.log(n) / F.lit(WINDOW * (-math.log(percent / 100) + 1e-9))
+    return F.array_distinct(F.array(F.floor(v), F.floor(v + 1 / WINDOW)))
+
+
+def can_be_first(n, pos, m, at, percent: int) -> Column:
+    """Whether the shingle at ``pos`` of a set of ``n`` and at ``at`` of one of
+    ``m`` can be the first that they share, if they are similar: what follows
+    must hold the overlap."""
+    n, pos, m, at = (F.col(c) for c in (n, pos, m, at))
+    return F.least(n - pos, m - at) * (100 + percent) >= (n + m) * percent
 
 
 def regions(sigs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(region, x, n, weight): points that share a first shingle with another
-    in a neighbouring window of sizes.  ``sigs`` hold a row a document,
-    ``points`` (x, a, b, n, weight) one a distinct set."""
-    first = sigs.select(F.explode("first").alias("token"), "a")
+    """(region, x, n, pos, weight): points that share a first shingle, at
+    ``pos`` in their order, with another in a window of sizes.  ``sigs`` hold
+    a row a document, ``points`` (x, a, b, n, weight) one a distinct set."""
+    first = sigs.select(F.posexplode("first").alias("pos", "token"), "a", "n").withColumn("pos", F.col("pos").cast("long"))
+    # the smaller set of a pair has the first shingle they share among these
+    early = F.max(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)).alias("early")
     # tokens of two points or more, told by the least and greatest digest
-    often = first.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token")
-    often = common.store(often, "jaccard-tokens")
-    held = first.join(often, "token", "left_semi").distinct()
+    often = first.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), early)
+    often = common.store(often.where("lo <> hi and early").select("token"), "jaccard-tokens")
+    held = first.join(often, "token", "left_semi").select("token", "a", "pos").distinct()
     held = held.join(points.select("x", "a", "n", "weight"), "a")
-    at = size_window(F.col("n"), percent)
-    held = held.select(F.explode(F.array(at, at + 1)).alias("win"), "token", "x", "n", "weight")
-    held = held.select(F.xxhash64("token", "win").alias("region"), "x", "n", "weight")
+    held = held.select(F.explode(size_windows(F.col("n"), percent)).alias("win"), "token", "x", "n", "pos", "weight")
+    held = held.select(F.xxhash64("token", "win").alias("region"), "x", "n", "pos", "weight")
     held = common.store(held, "jaccard-windows")
-    many = held.groupBy("region").agg(F.count("*").alias("m")).where("m > 1").select("region")
+    early = F.max(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)).alias("early")
+    many = held.groupBy("region").agg(F.count("*").alias("m"), early).where("m > 1 and early").select("region")
     return common.store(held.join(common.store(many, "jaccard-many"), "region", "left_semi"), "jaccard-regions")
 
 
 def pivot_of() -> Column:
     """The heaviest point, then the least."""
-    return F.max_by("x", F.struct("weight", -F.col("x"))).alias("y")
+    return F.max_by(F.struct("x", "n", "pos"), F.struct("weight", -F.col("x"))).alias("pivot")
 
 
 def unsettled(members: DataFrame, links: Links) -> DataFrame:
@@ -284,10 +306,11 @@ def unsettled(members: DataFrame, links: Links) -> DataFrame:
 
 
 def small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components and of sizes that can match, within small
-    regions."""
-    b = members.select("region", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-    fits = F.least("n", "ny") * 100 >= F.greatest("n", "ny") * percent
+    """Pairs of different components, within small regions, of sizes that can
+    match and whose first common shingle the region's can be."""
+    b = members.select("region", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("m2"),
+                       F.col("pos").alias("at"))
+    fits = can_be_first("n", "pos", "m2", "at", percent)
     return members.join(b, "region").where("x < y and label <> ly").where(fits).select("x", "y").distinct()
 
 
@@ -344,7 +367,7 @@ def voronoi(members: DataFrame, links: Links, percent: int) -> DataFrame:
     (region, x, n, weight, parent)."""
     k = F.ceil(F.sqrt("m")).cast("long")
     drawn = members.where(F.pmod(F.xxhash64("x", F.lit("pivot")), k) == 0)
-    heavy = members.groupBy("region").agg(pivot_of())
+    heavy = members.withColumn("pos", F.lit(0)).groupBy("region").agg(pivot_of()).select("region", "pivot.x")
     pivots = drawn.select("region", F.col("x").alias("y")).union(heavy).distinct()
     met = members.select("region", "x", "n", "weight").join(pivots, "region")
     ask = common.store(met.where("x <> y").select("x", "y").distinct(), "jaccard-ask")
@@ -390,16 +413,18 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     links = Links(docs, n, percent)
 
     # round 1: every point against the pivots of its regions, one of them first
-    pivots = members.groupBy("region").agg(pivot_of())
-    star = members.join(pivots, "region").where("x <> y").select("x", "y").distinct()
+    pivots = members.groupBy("region").agg(pivot_of()).select(
+        "region", F.col("pivot.x").alias("y"), F.col("pivot.n").alias("m"), F.col("pivot.pos").alias("at"))
+    star = members.join(pivots, "region").where("x <> y").where(can_be_first("n", "pos", "m", "at", percent))
+    star = star.select("x", "y").distinct()
     star = common.store(bounded_pairs(star, heads, percent), "jaccard-star")
     first = star.groupBy("x").agg(F.min("y").alias("y"))
     links.verify(first)
     links.verify(links.open(star.join(first, ["x", "y"], "left_anti")))
 
     # further rounds: regions of several components, without their pivot
-    members = members.join(pivots.withColumnRenamed("y", "x"), ["region", "x"], "left_anti").select(
-        "region", "x", "n", "weight")
+    members = members.join(pivots.select("region", F.col("y").alias("x")), ["region", "x"], "left_anti").select(
+        "region", "x", "n", "pos", "weight")
     for _ in range(ROUNDS):
         live = common.store(unsettled(members, links), "jaccard-open")
         if live.isEmpty():
@@ -420,7 +445,8 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
         rest = common.store(blocked(alike, heads, percent), "jaccard-blocks")
         links.verify(links.open(rest))
         down = shape.where("shrunk").select(F.col("region").alias("parent"))
-        members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", "weight"), "jaccard-next")
+        members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", F.lit(0).alias("pos"), "weight"),
+                               "jaccard-next")
     else:
         raise RuntimeError("regions did not settle")
     out = sigs.select("doc_id", "a", "b", F.col("n").alias("n_shingles"))
