@@ -56,9 +56,9 @@ def quote_all(u: Column) -> Column:
     return F.replace(enc, F.lit("%7E"), F.lit("~"))
 
 
-def doc_key(u: Column, cut: bool = True) -> Column:
-    """File-name key of a page: quoted URL, cut at 201 characters when
-    ``cut`` (the bundle layout); the native index keeps the whole key."""
+def doc_key(u: Column, cut: bool = False) -> Column:
+    """Key of a page: its quoted URL, whole; ``cut`` at 201 characters
+    gives the file name of the original bundle layout."""
     q = quote_all(u)
     return F.substring(q, 1, 201) if cut else q
 

@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein import schemas
+from skein.functions.text import WS_CLASS
 from skein.functions.urls import is_crawlable
 from skein.operators.broadcast import broadcast_if_small
 from skein.operators.links import new_links
+from skein.sources.tables import is_missing
 
 STATUS_FMT = "%d crawled, %d remaining, Stopped."
 
@@ -137,9 +139,11 @@ def load_urls(spark: SparkSession, path: str, site: str) -> DataFrame:
     de-duplicated; a missing file is an empty set."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return empty(spark)
-    urls = lines.select(F.trim("value").alias("url")).where("url != ''").distinct()
+    urls = lines.select(F.regexp_replace("value", f"^{WS_CLASS}+|{WS_CLASS}+$", "").alias("url")).where("url != ''").distinct()
     return urls.select(F.lit(site).alias("site"), "url", F.lit(0).cast("int").alias("round"))
 
 

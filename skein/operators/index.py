@@ -34,7 +34,7 @@ def docs_from_pages(pages: DataFrame, site_col: str | None = None) -> DataFrame:
     ``site_col``), key = the whole quoted URL."""
     site = F.col(site_col) if site_col else site_key(F.col("url"))
     docs = pages.select(site.alias("site"),
-                        doc_key(F.col("url"), cut=False).alias("doc_key"),
+                        doc_key(F.col("url")).alias("doc_key"),
                         F.col("url"), page_text(F.col("html")).alias("text"))
     return spread_small_input(docs, "site", "doc_key")
 

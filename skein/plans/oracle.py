@@ -132,7 +132,7 @@ def site_sql(u):
 
 
 def doc_key_sql(u):
-    return f"substring(url_encode({u}), 1, 201)"
+    return f"url_encode({u})"
 
 
 def unquote_sql(k):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.urls import unquote
-from skein.operators.index import postings_map
+from skein.operators.index import doc_freq as count_pages, postings_map
 
 
 def _key_from_file(col: str = "_metadata.file_name") -> F.Column:
@@ -32,7 +32,9 @@ def _key_from_file(col: str = "_metadata.file_name") -> F.Column:
 
 
 def import_bundle(spark: SparkSession, root: str, site: str) -> dict:
-    """Docs, postings, doc_freq and doc_count of one site from a bundle."""
+    """Docs, postings, doc_freq and doc_count of one site from a bundle.
+    DF is recounted from the postings: the stored file loses counts over
+    rounds, and holds a site's vocabulary in one row."""
     idx_files = (spark.read.option("wholetext", True).text(os.path.join(root, "index"))
                  .select(_key_from_file().alias("doc_key"), F.col("value")))
     data_files = (spark.read.option("wholetext", True).text(os.path.join(root, "data"))
@@ -42,9 +44,7 @@ def import_bundle(spark: SparkSession, root: str, site: str) -> dict:
     postings = (idx_files.select("doc_key", F.explode(F.from_json("value", "map<string,bigint>"))
                                  .alias("term", "tf"))
                 .select(F.lit(site).alias("site"), "doc_key", "term", "tf"))
-    df_file = spark.read.option("wholetext", True).text(os.path.join(root, "doc_freq"))
-    doc_freq = df_file.select(F.explode(F.from_json("value", "map<string,bigint>"))
-                              .alias("term", "df")).select(F.lit(site).alias("site"), "term", "df")
+    doc_freq = count_pages(postings)
     # N counts index files, so a page whose map is empty still counts
     doc_count = idx_files.groupBy().agg(F.count(F.lit(1)).alias("n")) \
                          .select(F.lit(site).alias("site"), "n")
@@ -67,3 +67,15 @@ def export_bundle(index: dict, site: str, root: str) -> None:
     """Write the export rows as JSON lines under ``root``."""
     for name, df in export_rows(index, site).items():
         df.write.mode("overwrite").json(os.path.join(root, name))
+
+
+def import_export(spark: SparkSession, root: str, site: str) -> dict:
+    """S7 for what ``export_bundle`` wrote: the same tables, DF recounted."""
+    read = lambda name, schema: spark.read.schema(schema).json(os.path.join(root, name))
+    pages = read("index", "doc_key string, json string")
+    docs = read("data", "doc_key string, text string").select(
+        F.lit(site).alias("site"), "doc_key", unquote(F.col("doc_key")).alias("url"), "text")
+    postings = pages.select(F.lit(site).alias("site"), "doc_key",
+                            F.explode(F.from_json("json", "map<string,bigint>")).alias("term", "tf"))
+    doc_count = pages.agg(F.count(F.lit(1)).alias("n")).select(F.lit(site).alias("site"), "n")
+    return {"docs": docs, "postings": postings, "doc_freq": count_pages(postings), "doc_count": doc_count}

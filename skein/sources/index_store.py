@@ -5,9 +5,8 @@
   <root>/doc_freq   (site, term, df)             partitioned by site, sorted by term
   <root>/doc_count  (site, n)
 
-Sorting each file by term gives row groups narrow term ranges, so a lookup of
-a few query terms skips most row groups via Parquet min/max statistics; the
-site partition directory lets a one-site search read only that site.
+The site partition directory lets a one-site search read only that site.
+Sorting by term packs the files better; query terms do not reach the scan yet.
 Sorting is within partitions only (no range shuffle), so a term that covers a
 third of all postings does not pile into one task.
 """
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
+from skein.sources.tables import is_missing
 
 TABLES = {
     "docs": schemas.DOCS,
@@ -78,7 +78,9 @@ def read_table(spark: SparkSession, root: str, name: str,
     schema = TABLES[name]
     try:
         df = spark.read.schema(schema).parquet(os.path.join(root, name))
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         df = spark.createDataFrame([], schema)
     df = df.select(*schema.fieldNames())
     return df.where(F.col("site") == site) if site is not None else df

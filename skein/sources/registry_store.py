@@ -1,6 +1,7 @@
 """Registry storage (S9): each change writes a new snapshot version of the
-``sites`` and ``site_keys`` tables; reads take the newest version.  A failed
-job leaves the previous version intact (nothing is overwritten in place)."""
+``sites`` and ``site_keys`` tables, then a marker in ``commits``; reads take
+the newest version that has its marker, so both tables come from one save and
+a half-failed one is not seen.  Saving a version again replaces it."""
 
 from __future__ import annotations
 
@@ -11,28 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
+from skein.sources.tables import is_missing
 
 
-def _versions(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+COMMITS = "version bigint, saved_at timestamp"
+
+
+def newest_version(spark: SparkSession, root: str) -> int | None:
     try:
-        return spark.read.parquet(os.path.join(root, name))
-    except AnalysisException:
+        commits = spark.read.schema(COMMITS).parquet(os.path.join(root, "commits"))
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return None
+    return commits.agg(F.max("version")).first()[0]
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    newest = newest_version(spark, root)
     out = {}
     for name, schema in (("sites", schemas.SITES), ("site_keys", schemas.SITE_KEYS)):
-        df = _versions(spark, root, name)
-        if df is None:
+        if newest is None:
             out[name] = spark.createDataFrame([], schema)
-            continue
-        newest = df.agg(F.max("version")).first()[0]
-        out[name] = df.where(F.col("version") == newest).select(*schema.fieldNames())
+        else:
+            out[name] = spark.read.schema(schema).parquet(os.path.join(root, name, f"version={newest}"))
     return out
 
 
 def save(sites: DataFrame, site_keys: DataFrame, root: str, version: int) -> None:
     for name, df in (("sites", sites), ("site_keys", site_keys)):
-        (df.withColumn("version", F.lit(version).cast("long"))
-           .write.mode("append").partitionBy("version").parquet(os.path.join(root, name)))
+        df.write.mode("overwrite").parquet(os.path.join(root, name, f"version={version}"))
+    marker = sites.sparkSession.range(1).select(F.current_timestamp().alias("saved_at"))
+    marker.write.mode("overwrite").parquet(os.path.join(root, "commits", f"version={version}"))

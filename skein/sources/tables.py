@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from skein import schemas
@@ -41,3 +42,9 @@ def benchmark(spark, sf_dir):
 
 def conversations(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations")
+
+
+def is_missing(e: AnalysisException) -> bool:
+    """Whether a read failed because nothing lies at the path; any other
+    failure must not pass for an empty table."""
+    return e.getCondition() == "PATH_NOT_FOUND"

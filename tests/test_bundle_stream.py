@@ -87,3 +87,16 @@ def test_stream_goes_on_and_counts_a_page_once(spark, tmp_path):
     cur = incremental.current_index(spark, out)
     assert sorted((r.term, r.tf) for r in cur["postings"].collect()) == [("alpha", 1), ("beta", 1), ("gamma", 1)]
     assert cur["doc_count"].first().n == 3
+
+
+def test_export_is_imported_again(spark, tmp_path):
+    docs = spark.createDataFrame([("s", "https%3A%2F%2Fh%2Fa", "https://h/a", "cats running cats"),
+                                  ("s", "https%3A%2F%2Fh%2Fb", "https://h/b", "dog cat"),
+                                  ("s", "https%3A%2F%2Fh%2Fc", "https://h/c", "")],
+                                 "site string, doc_key string, url string, text string")
+    idx = ix.build_index(docs)
+    bundle.export_bundle(idx, "s", str(tmp_path / "out"))
+    back = bundle.import_export(spark, str(tmp_path / "out"), "s")
+    for name, cols in index_store.TABLES.items():
+        want = [tuple(r) for r in idx[name].select(*cols.fieldNames()).collect()]
+        assert sorted(tuple(r) for r in back[name].select(*cols.fieldNames()).collect()) == sorted(want), name

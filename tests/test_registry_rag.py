@@ -60,3 +60,8 @@ def test_registry_snapshots(spark, tmp_path):
     assert {r.status for r in cur["sites"].where("pageid = 'p'").collect()} == {
         "5 crawled,  2 remaining, Crawling..."}
     assert cur["site_keys"].count() == 1
+    n = cur["sites"].count()
+    registry_store.save(upd, keys, root, 2)                  # a retry replaces its version
+    assert registry_store.load(spark, root)["sites"].count() == n
+    sites(spark).limit(0).write.parquet(f"{root}/sites/version=3")       # a save that failed half-way
+    assert registry_store.load(spark, root)["sites"].count() == n

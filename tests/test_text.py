@@ -1,6 +1,8 @@
+from html import unescape
+
 from pyspark.sql import functions as F
 
-from skein.functions.text import collapse_ws, fold_case, html_text, is_alpha, page_text
+from skein.functions.text import collapse_ws, decode_entities, fold_case, html_text, is_alpha, page_text
 
 
 def one(spark, expr, value):
@@ -37,3 +39,19 @@ def test_fold_case_is_upper_then_lower(spark):
 
 def test_page_text_collapses(spark):
     assert one(spark, page_text, "<p>a\n\n b</p>  <p>c</p>") == "a b c"
+
+
+def test_references_match_the_standard_library(spark):
+    vals = ["&#38;lt;b", "caf&eacute;", "&#146;", "&#233 x", "&lt b", "&#0000000233;", "&amp;lt;", "a&b&&c;", "&notin;",
+            "&notit;", "&#x1F600;z", "&#xD800;", "&#99999999999;", "&#0;", "&#x;", "&#;", "&", "x&amp", "&#1;q",
+            "&#xFFFE;", "&#xFDD0;", "&NotEqualTilde;", "&copy2", "&#13;", "&#x00000000000041", "&AMP", "&bogus;",
+            "&nbsp;x", "&#xfffffff;", "", "plain"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = {r.v: r.o for r in df.select("v", decode_entities(F.col("v")).alias("o")).collect()}
+    assert got == {v: unescape(v) for v in vals}
+
+
+def test_first_opener_of_comment_or_raw_block_wins(spark):
+    html = "<p>x<script>if(a<!--b)c</script>KEEP<!-- z -->T"
+    assert one(spark, html_text, html) == "xKEEPT"
+    assert one(spark, html_text, "<!-- <script> -->A<script>b</script>") == "A"
