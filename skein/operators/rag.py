@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.broadcast import MAX_BROADCAST_ROWS, row_count_at_most
 from skein.operators.search import search_batch
 
 # The two instruction texts that open a prompt.
@@ -37,10 +38,13 @@ def best_pages(index: dict, queries: DataFrame, irregular: bool = True) -> DataF
 def rag_prompts(index: dict, queries: DataFrame, instruction: str = PROMPT_WEB,
                 irregular: bool = True) -> DataFrame:
     """J9 + G1 + G2: (query_id, url, prompt) with the best page's stored text
-    as context; a site without pages gives no row."""
+    as context; a site without pages gives no row.  Every page found is a row
+    of the index's docs, and there is one a query: where the queries are few
+    enough the pages found are broadcast, and no text but theirs is moved."""
     best = best_pages(index, queries, irregular)
-    docs = index["docs"].select("site", "doc_key", "text")
-    ctx = best.join(docs, ["site", "doc_key"], "left")
+    if row_count_at_most(queries, MAX_BROADCAST_ROWS):
+        best = F.broadcast(best)
+    ctx = index["docs"].select("site", "doc_key", "text").join(best, ["site", "doc_key"])
     q = queries.select("query_id", "query")
     return (ctx.join(q, "query_id", "inner")
                .select("query_id", "url",
