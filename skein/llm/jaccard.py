@@ -24,9 +24,10 @@ other.  So the Voronoi regions are seeded where documents can be near at all:
    the radius of that; the new regions recur.  A region that this does not
    shrink (all distances alike) is compared in blocks.
 
-Distances are counted on whole shingle sets.  Before that a bound that the
-first shingles give rules out most pairs.  The result is the exact set of
-components of the link graph.
+Distances are counted on whole shingle sets.  Before that most pairs are ruled
+out by bitmaps: each shingle of a set flips one bit of its map, so two sets
+differ in at least as many shingles as their maps differ in bits.  The result
+is the exact set of components of the link graph.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ SEEN = 3                          # documents of the sample that hold a common s
 SMALL = 64                        # points of a region whose pairs are compared at once
 MAX_BROADCAST = 1_000_000         # ids that are sent to the tasks that read texts
 MAX_CACHE = 400_000               # words a worker remembers
+MAX_SETS = 1 << 21                # shingles of sets a worker remembers
+LEAST_BITS = 64                   # of a set's bitmap; larger ones have a power of two
+BUCKET = 4096                     # rows of small regions that a task looks at together, about
 ROUNDS = 40
 WINDOW = 2                        # a window of sizes is this many steps of the similarity wide
 LENGTH_BITS = 6                   # of a shingle's hash, for the length of its words
@@ -95,25 +99,46 @@ def prefix_length(size, percent: int):
     return size - (percent * size + 99) // 100 + 1
 
 
-def _order(s: np.ndarray, common_shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in their fixed order, and where each stands in it."""
+def _order(s: np.ndarray, common_shingles: np.ndarray) -> np.ndarray:
+    """The shingles in their fixed order."""
     if not len(common_shingles):
-        return s, (s >> np.uint64(2)).astype(np.int64)
+        return s
     at = np.minimum(np.searchsorted(common_shingles, s), len(common_shingles) - 1)
     late = common_shingles[at] == s
-    both = np.concatenate([s[~late], s[late]])
-    return both, ((both >> np.uint64(2)) | (np.sort(late).astype(np.uint64) << np.uint64(62))).astype(np.int64)
+    return np.concatenate([s[~late], s[late]])
 
 
-SIGNATURE = "struct<n:bigint,a:bigint,b:bigint,first:array<bigint>,last:bigint>"
+def bitmap(s: np.ndarray, percent: int) -> bytes:
+    """A bit for each place, told by the lowest bits of the hash: whether an
+    odd number of shingles fall there.  Of bits there are four times as many
+    as similar sets of this size can differ in, or more: unlike sets differ in
+    half of them.  XOR of the halves of a map is the map of half as many bits."""
+    bits = max(LEAST_BITS, 1 << (8 * len(s) * (100 - percent) // (100 + percent)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(v: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return v
+
+
+def least_difference(p: int, bits_p: int, q: int, bits_q: int) -> int:
+    """At least so many shingles are in one of two sets only, by their maps."""
+    to = min(bits_p, bits_q)
+    return (_fold(p, bits_p, to) ^ _fold(q, bits_q, to)).bit_count()
+
+
+SIGNATURE = "struct<n:bigint,a:bigint,b:bigint,first:array<bigint>,bits:binary>"
 
 
 def signature_column(text: Column, n: int, percent: int, common_shingles: np.ndarray) -> Column:
-    """Set size, 128-bit digest of the set, first shingles, and the place of
-    the last of those in the order."""
+    """Set size, 128-bit digest of the set, its first shingles, its bitmap."""
     @F.arrow_udf(SIGNATURE)
     def udf(texts: pa.Array) -> pa.Array:
-        size, a, b, first, last, cut = [], [], [], [], [], [0]
+        size, a, b, first, bits, cut = [], [], [], [], [], [0]
         for t in texts:
             s = shingles(t.as_buffer().to_pybytes(), n)
             d = xxhash.xxh3_128_digest(s.tobytes())
@@ -121,23 +146,14 @@ def signature_column(text: Column, n: int, percent: int, common_shingles: np.nda
             a.append(int.from_bytes(d[:8], "big", signed=True))
             b.append(int.from_bytes(d[8:], "big", signed=True))
             p = prefix_length(len(s), percent) if len(s) else 0
-            both, place = _order(s, common_shingles)
-            first.append(both[:p])
-            last.append(int(place[p - 1]) if p else 0)
+            first.append(_order(s, common_shingles)[:p])
+            bits.append(bitmap(s, percent))
             cut.append(cut[-1] + p)
         flat = (np.concatenate(first) if first else np.zeros(0, np.uint64)).view(np.int64)
         return pa.StructArray.from_arrays(
             [pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)), pa.array(last, pa.int64())],
-            names=["n", "a", "b", "first", "last"])
-    return udf(common.utf8(text))
-
-
-def set_column(text: Column, n: int) -> Column:
-    """The whole set, as bytes of sorted 64-bit numbers."""
-    @F.arrow_udf("binary")
-    def udf(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_buffer().to_pybytes(), n).tobytes() for t in texts], pa.binary())
+             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())],
+            names=["n", "a", "b", "first", "bits"])
     return udf(common.utf8(text))
 
 
@@ -160,40 +176,51 @@ def sample_column(text: Column, n: int) -> Column:
 
 
 # ---- pairs -------------------------------------------------------------------
-def _may_link(px, py, lx: int, ly: int, nx: int, ny: int, percent: int) -> bool:
-    """A bound on the overlap: what the first shingles share, and all of the
-    rest of the set whose first shingles end earlier in the order."""
-    rest = nx - len(px) if lx < ly else ny - len(py) if ly < lx else max(nx - len(px), ny - len(py))
-    most = int(np.isin(px, py).sum()) + rest
-    return (100 + percent) * most >= percent * (nx + ny)
-
-
 def bounded_pairs(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (x, y) that the bound does not rule out; ``heads`` are
-    (x, n, sk, last), sk the first shingles folded to 16 bits (which can only
-    raise the bound)."""
-    @F.arrow_udf("boolean")
+    """The ``pairs`` (x, y) whose bitmaps do not rule them out; ``heads`` are
+    (x, n, bits)."""
+    @F.arrow_udf("bigint")
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_may_link(np.frombuffer(p["sk"], np.uint16), np.frombuffer(q["sk"], np.uint16), p["last"],
-                                   q["last"], p["n"], q["n"], percent)
-                         for p, q in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
-    h = heads.select("x", F.struct("sk", "last", "n").alias("hx"))
-    g = heads.select(F.col("x").alias("y"), F.struct("sk", "last", "n").alias("hy"))
-    fits = (F.least("hx.n", "hy.n") * 100 >= F.greatest("hx.n", "hy.n") * percent)
-    return pairs.join(h, "x").join(g, "y").where(fits).where(udf("hx", "hy")).select("x", "y")
+        return pa.array([least_difference(int.from_bytes(p, "little"), 8 * len(p), int.from_bytes(q, "little"), 8 * len(q))
+                         for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+    h = heads.select("x", F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    g = heads.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    near = udf("bx", "by") * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    return pairs.join(h, "x").join(g, "y").where(fits).where(near).select("x", "y").distinct()
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, inter, nx, ny): the exact overlap of whole sets (x, s)."""
-    @F.arrow_udf("bigint")
+class _Sets(dict):
+    """Shingle sets of the texts that this worker has met last."""
+
+    held = 0
+
+    def of(self, text: bytes, n: int) -> np.ndarray:
+        s = self.get((n, text))
+        if s is None:
+            s = shingles(text, n)
+            if self.held + len(s) > MAX_SETS:
+                self.clear()
+                self.held = 0
+            self.held += len(s)
+            self[n, text] = s
+        return s
+
+
+_sets = _Sets()
+
+
+def overlap_column(x: Column, y: Column, n: int) -> Column:
+    """The exact overlap of the sets of two texts, and both sizes."""
+    @F.arrow_udf("struct<inter:bigint,nx:bigint,ny:bigint>")
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64),
-                                  assume_unique=True)) for p, q in zip(a, b)]
-        return pa.array(out, pa.int64())
-    p = pairs.join(sets, "x").withColumnRenamed("s", "sx")
-    p = p.join(sets.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y")
-    size = lambda c: (F.octet_length(c) / 8).cast("long")
-    return p.select("x", "y", udf("sx", "sy").alias("inter"), size("sx").alias("nx"), size("sy").alias("ny"))
+        out = []
+        for p, q in zip(a, b):
+            s, t = shingles(p.as_buffer().to_pybytes(), n), _sets.of(q.as_buffer().to_pybytes(), n)
+            out.append((len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
+        return pa.StructArray.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)],
+                                          names=["inter", "nx", "ny"])
+    return udf(common.utf8(x), common.utf8(y))
 
 
 def similar(percent: int) -> Column:
@@ -231,22 +258,26 @@ class Links:
         p = self.label(self.label(pairs, "x", "lx"), "y", "ly")
         return p.where("lx <> ly").drop("lx", "ly")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(x, s): the whole sets of the points in ``pairs``, read from their
-        documents."""
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """(x, y, inter, nx, ny) of the stored ``pairs``: the texts of x are
+        sent to those of y, once a pair (texts compress, sets of hashes do
+        not)."""
         ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        ids = common.store(ids, "jaccard-need")
-        ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-        own = self.docs.join(ids, "doc_id", "left_semi").select(
-            F.col("doc_id").alias("x"), set_column(F.col("text"), self.n).alias("s"))
-        return common.store(own, "jaccard-sets")
+        ids, few = common.store(ids, "jaccard-need"), pairs.count() <= MAX_BROADCAST
+        small = lambda df: F.broadcast(df) if few else df
+        own = self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
+        own = common.store(own, "jaccard-texts")
+        x = own.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")).join(small(pairs), "x")
+        y = own.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+        y = y.join(small(pairs.select("y").distinct()), "y", "left_semi")
+        return x.join(y, "y").select("x", "y", overlap_column(F.col("tx"), F.col("ty"), self.n).alias("o")).select("x", "y", "o.*")
 
     def verify(self, pairs: DataFrame) -> None:
         """Link the ``pairs`` that are similar."""
         pairs = common.store(pairs.select("x", "y"), "jaccard-check")
         if pairs.isEmpty():
             return
-        got = overlaps(pairs, self.sets(pairs)).where(similar(self.percent)).select("x", "y")
+        got = self.overlaps(pairs).where(similar(self.percent)).select("x", "y")
         self.add(common.store(got, "jaccard-links"))
 
 
@@ -305,13 +336,36 @@ def unsettled(members: DataFrame, links: Links) -> DataFrame:
     return lab.join(live, "region")
 
 
-def small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, within small regions, of sizes that can
-    match and whose first common shingle the region's can be."""
-    b = members.select("region", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("m2"),
-                       F.col("pos").alias("at"))
-    fits = can_be_first("n", "pos", "m2", "at", percent)
-    return members.join(b, "region").where("x < y and label <> ly").where(fits).select("x", "y").distinct()
+def near_pairs(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of different components within bounded regions, of
+    sizes that can match, whose first common shingle the region's can be
+    (``pos`` 0: any), and that the bitmaps do not rule out.  Regions are met
+    by the bucket, each row with those that follow it in its region."""
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("region")
+        region, x, n, label, pos = (t[c].to_numpy() for c in ("region", "x", "n", "label", "pos"))
+        raw = t["bits"].to_pylist()
+        maps, size = [int.from_bytes(r, "little") for r in raw], [8 * len(r) for r in raw]
+        a, b = [], []
+        for d in range(1, len(x)):
+            i = np.flatnonzero(region[d:] == region[:-d])
+            if not len(i):
+                break
+            j = i + d
+            total = n[i] + n[j]
+            fit = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            fit &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= total * percent
+            i, j, most = i[fit], j[fit], (total[fit] * (100 - percent)) // (100 + percent)
+            near = np.array([least_difference(maps[p], size[p], maps[q], size[q]) <= m
+                             for p, q, m in zip(i.tolist(), j.tolist(), most.tolist())], bool)
+            a.append(x[i[near]])
+            b.append(x[j[near]])
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        return pa.table({"x": pa.array(pairs[0], pa.int64()), "y": pa.array(pairs[1], pa.int64())})
+    buckets = members.count() // BUCKET + 1
+    held = members.select(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket"), "region", "x", "label", "pos").distinct()
+    return held.join(heads, "x").groupBy("bucket").applyInArrow(one, "x bigint, y bigint").distinct()
 
 
 def families(members: DataFrame) -> DataFrame:
@@ -334,31 +388,7 @@ def block_pairs(members: DataFrame, small: int) -> DataFrame:
     block = F.pmod(F.xxhash64("x", F.lit("block")), n)
     each = members.withColumn("blk", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return each.select(F.xxhash64("region", F.least("blk", "other"), F.greatest("blk", "other")).alias("region"),
-                       "x", "n", "weight", "label")
-
-
-def blocked(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components within each pair of blocks that the
-    bound does not rule out: a group has about two blocks of points."""
-    def one(t: pa.Table) -> pa.Table:
-        x, n, last, label = (t[c].to_numpy() for c in ("x", "n", "last", "label"))
-        sk = [np.frombuffer(b, np.uint16) for b in t["sk"].to_pylist()]
-        size = np.array([len(k) for k in sk])
-        flat, start = np.concatenate(sk), np.cumsum(size) - size
-        a, b = [], []
-        for i in range(len(x)):
-            shared = np.add.reduceat(np.isin(flat, sk[i]), start, dtype=np.int64)
-            rest = np.where(last < last[i], n - size, np.where(last > last[i], n[i] - size[i],
-                                                               np.maximum(n - size, n[i] - size[i])))
-            may = (100 + percent) * (shared + rest) >= percent * (n + n[i])
-            at = np.flatnonzero(may & (label != label[i]) & (x > x[i]) & (
-                100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            a.append(np.full(len(at), x[i]))
-            b.append(x[at])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())})
-    held = members.select("region", "x", "label").distinct().join(heads, "x")
-    return held.groupBy("region").applyInArrow(one, "x bigint, y bigint").distinct()
+                       "x", "label", F.lit(0).cast("long").alias("pos"))
 
 
 def voronoi(members: DataFrame, links: Links, percent: int) -> DataFrame:
@@ -371,7 +401,7 @@ def voronoi(members: DataFrame, links: Links, percent: int) -> DataFrame:
     pivots = drawn.select("region", F.col("x").alias("y")).union(heavy).distinct()
     met = members.select("region", "x", "n", "weight").join(pivots, "region")
     ask = common.store(met.where("x <> y").select("x", "y").distinct(), "jaccard-ask")
-    dist = overlaps(ask, links.sets(ask))
+    dist = links.overlaps(ask)
     dist = common.store(dist.withColumn("d", 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))), "jaccard-dist")
     links.add(common.store(dist.where(similar(percent)).select("x", "y"), "jaccard-links"))
     met = met.join(dist.select("x", "y", "d"), ["x", "y"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
@@ -407,9 +437,10 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     named = points.where("x is not null")
     members = regions(sigs, named, percent)
     need = common.store(members.select("x").distinct(), "jaccard-need")
-    heads = sigs.join(named.join(need, "x").select("a", "b", "x"), ["a", "b"])
-    heads = heads.dropDuplicates(["a", "b"]).select("x", "n", fold_column(F.col("first")).alias("sk"), "last")
-    heads = common.store(heads, "jaccard-heads")
+    # of equal sets, the row (or equal rows) of the least doc_id
+    named = named.join(need, "x").select("a", "b", "x")
+    heads = sigs.select("a", "b", F.col("doc_id").alias("x"), "n", "bits").join(named, ["a", "b", "x"])
+    heads = common.store(heads.select("x", "n", "bits").distinct(), "jaccard-heads")
     links = Links(docs, n, percent)
 
     # round 1: every point against the pivots of its regions, one of them first
@@ -429,7 +460,7 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
         live = common.store(unsettled(members, links), "jaccard-open")
         if live.isEmpty():
             break
-        few = bounded_pairs(small_pairs(live.where(F.col("m") <= small), percent), heads, percent)
+        few = near_pairs(common.store(live.where(F.col("m") <= small), "jaccard-small"), heads, percent)
         links.verify(links.open(common.store(few, "jaccard-pairs")))
         large = live.where(F.col("m") > small)
         if large.isEmpty():
@@ -442,10 +473,10 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
         shape = live.select("region", "m").distinct().join(most, F.col("region") == F.col("parent"), "left")
         shape = common.store(shape.select("region", (F.coalesce("c", F.lit(0)) <= 0.75 * F.col("m")).alias("shrunk")), "jaccard-shape")
         alike = block_pairs(live.join(shape.where(~F.col("shrunk")), "region", "left_semi"), small)
-        rest = common.store(blocked(alike, heads, percent), "jaccard-blocks")
+        rest = common.store(near_pairs(common.store(alike, "jaccard-alike"), heads, percent), "jaccard-blocks")
         links.verify(links.open(rest))
         down = shape.where("shrunk").select(F.col("region").alias("parent"))
-        members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", F.lit(0).alias("pos"), "weight"),
+        members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", F.lit(0).cast("long").alias("pos"), "weight"),
                                "jaccard-next")
     else:
         raise RuntimeError("regions did not settle")
@@ -456,17 +487,6 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
                       F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def fold_column(first: Column) -> Column:
-    """First shingles, folded to 16 bits each."""
-    @F.arrow_udf("binary")
-    def udf(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        low = (flat & np.uint64(0xFFFF)).astype(np.uint16)
-        return pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-    return udf(first)
-
-
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: the one with the least doc_id
     (of rows that share it, the one with the least MD5 of the text).
