@@ -3,7 +3,7 @@
 The text view sees hashed words of the text, the metadata view source,
 language, length and layout.  Each round fits both on the labelled documents
 and on the pseudo-labels that the other view was sure of, then labels anew the
-unlabelled pool.  Both are calibrated on a held-out fold of the labelled
+whole unlabelled pool.  Both are calibrated on a held-out fold of the labelled
 documents (Platt's logistic map of the margin), and the calibrated log-odds
 are added for the score of every document.
 
@@ -24,7 +24,6 @@ from skein.llm import common
 ROUNDS = 3
 SURE = 0.95               # probability from which a pseudo-label is handed over
 MAX_LABELLED = 20_000     # labelled documents a fit uses at most, about
-MAX_POOL = 20_000         # unlabelled documents that get pseudo-labels, about
 HOLDOUT = 5               # one in so many labelled documents calibrates
 TEXT_FEATURES = 1 << 14
 META_FEATURES = 1 << 8
@@ -108,43 +107,42 @@ def _calibrate(rows: DataFrame, view: str, model) -> tuple[float, float]:
     return float(fit.coefficients[0]), float(fit.intercept)
 
 
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED,
-             max_pool: int = MAX_POOL) -> CoTrained:
+def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS,
+             max_labelled: int = MAX_LABELLED) -> CoTrained:
     """Fit on ``labels`` (doc_id, y in 0/1) and ``docs`` (doc_id, text, lang,
     source).
 
-    At most about ``max_labelled`` labelled documents and ``max_pool`` others
-    take part, picked by a hash of doc_id (the sample the fit is bounded by;
-    scoring covers every document).  Labels that are null or contradict each
+    At most about ``max_labelled`` labelled documents take part, picked by a
+    hash of doc_id; they weigh as much as all labelled ones, so that their
+    balance with the pool does not depend on the size of the table.  The pool
+    is every document without a label: all are scored in each round, and every
+    sure pseudo-label is handed over.  Labels that are null or contradict each
     other, and ids that are null, are left out.  With labels of one class only
     there is nothing to tell apart: ValueError.
     """
     lab = (labels.where("doc_id is not null and y is not null").groupBy("doc_id")
            .agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("double")))
-    n, total = lab.count(), docs.count()
-    keep = lambda m, most: pick(F.col("doc_id"), 1 << 20) < F.lit(int(min(1.0, most / max(m, 1)) * (1 << 20)))
-    lab = lab.where(keep(n, max_labelled))
+    share = min(1.0, max_labelled / max(lab.count(), 1))
     some = docs.where("doc_id is not null").join(lab, "doc_id", "left")
-    some = some.where(F.col("y").isNotNull() | keep(total, max_pool))
+    some = some.where(F.col("y").isNull() | (pick(F.col("doc_id"), 1 << 20) < F.lit(int(share * (1 << 20)))))
     feats = common.store(features(some, ["doc_id", "y"]), "co-features")
-    held = F.col("y").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(HOLDOUT)) == 0)
-    train = feats.where(F.col("y").isNotNull() & ~held)
+    labelled = F.col("y").isNotNull()
+    held = labelled & (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(HOLDOUT)) == 0)
+    train = feats.where(labelled & ~held)
     tally = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}      # two rows
     if len(tally) < 2:
         raise ValueError("labels of both classes are needed")
-    weigh = lambda df: df.withColumn("w", F.when(F.col("y") == 1, 0.5 / tally[1.0]).otherwise(0.5 / tally[0.0]) * sum(tally.values()))
-    pool = feats.where(F.col("y").isNull()).drop("y")
-    given = {"text_view": None, "meta_view": None}
-    for r in range(rounds + 1):
-        models = {v: _fit(weigh(train if given[v] is None else train.unionByName(given[v])), v) for v in given}
-        if r == rounds:
-            break
-        scored = margin(models["meta_view"], margin(models["text_view"], pool, "text_view", "t"), "meta_view", "u")
-        scored = common.store(scored, "co-pool")
-        sure = F.lit(SURE / (1 - SURE))
-        for view, z in (("meta_view", "t"), ("text_view", "u")):       # each learns from the other
-            given[view] = scored.where(F.exp(F.abs(z)) >= sure).select(
-                "doc_id", (F.col(z) > 0).cast("double").alias("y"), "text_view", "meta_view")
+    weigh = lambda df, of=F.lit(1.0): df.withColumn("w", of * F.when(F.col("y") == 1, 0.5 / tally[1.0]).otherwise(0.5 / tally[0.0]) * sum(tally.values()))
+    sure = F.lit(SURE / (1 - SURE))
+    models = {v: _fit(weigh(train), v) for v in ("text_view", "meta_view")}
+    for _ in range(rounds):
+        given = {}
+        for view, other in (("meta_view", "text_view"), ("text_view", "meta_view")):   # each learns from the other
+            z = margin(models[other], feats.where(~held), other, "z").where(labelled | (F.exp(F.abs("z")) >= sure))
+            z = z.withColumn("of", F.when(labelled, 1 / share).otherwise(1.0))
+            z = z.withColumn("y", F.coalesce("y", (F.col("z") > 0).cast("double")))
+            given[view] = weigh(z, F.col("of"))
+        models = {v: _fit(given[v], v) for v in given}
     fold = weigh(feats.where(held))
     cal = [_calibrate(fold, v, models[v]) for v in ("text_view", "meta_view")]
     return CoTrained(models["text_view"], models["meta_view"], cal)

@@ -196,6 +196,22 @@ def test_classifier_held_out(spark):
     assert all(r[1] > 0.85 for r in right), right
 
 
+def test_classifier_learns_from_the_whole_pool(spark):
+    """Each of 40 rare words is in one unlabelled document of a large table."""
+    n = 30_000
+    rare = F.when(F.col("id") % 750 == 7, F.concat(F.lit("rare"), F.col("id"))).otherwise("plain")
+    d = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(F.col("id") % 2 == 1, "good fine").otherwise("bad poor"), rare).alias("text"),
+        F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 1, "a").otherwise("b").alias("source"))
+    lab = spark.range(0, n, 10).select(F.col("id").alias("doc_id"), F.lit(0).alias("y")).union(
+        spark.range(1, n, 10).select("id", F.lit(1)))
+    m = classifier.co_train(d, lab.where("doc_id % 750 <> 7"), rounds=1)
+    tf = classifier.HashingTF(numFeatures=classifier.TEXT_FEATURES)
+    usual = {tf.indexOf(w) for w in ("good", "fine", "bad", "poor", "plain")}
+    at = {tf.indexOf(f"rare{i}") for i in range(7, n, 750)} - usual
+    assert len(at) > 30 and all(m.text.coefficients[i] != 0 for i in at)
+
+
 # ---- 8 ------------------------------------------------------------------------
 @pytest.mark.parametrize("length", [40, 400])
 def test_suffix_dedup_brute(spark, length):
