@@ -136,5 +136,62 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
+def _crc_table() -> str:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (c & 1) * 0xEDB88320
+        out.append(c)
+    return f"{out}::BIGINT[]"
+
+
+OP11 = f"""
+WITH RECURSIVE s AS (
+  SELECT DISTINCT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key,
+         -1::BIGINT AS b, 0::BIGINT AS j FROM documents
+  UNION ALL
+  SELECT doc_id, k, j, floor((j + 1) * (2147483648::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM s WHERE j < 24)),
+g AS (SELECT doc_id, max(b)::INTEGER AS shard, max(CASE WHEN j = 24 THEN 24 ELSE b END)::INTEGER AS grown_shard FROM s GROUP BY 1),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, strlen(text) + 8 AS size,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                 lambda c, x: xor(c >> 8, ({_crc_table()})[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+      FROM t)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM c JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT doc_id, part,
+             CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END ||
+             CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END ||
+             CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails
+      FROM w),
+k AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+      FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+c AS (SELECT k.*, s.*, contains(fails, substr(filter_order, step, 1)) AS hit,
+             length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS before FROM k, s),
+r AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS x,
+             sum(n) FILTER (NOT hit AND NOT before) AS kept, sum(n) FILTER (hit AND NOT before) AS removed,
+             sum(n) FILTER (hit AND before) AS redundant, sum(n) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+             sum(good) FILTER (hit AND NOT before) AS good_lost, sum(toxic) FILTER (hit AND NOT before) AS toxic_lost
+      FROM c GROUP BY ALL),
+h AS (SELECT part, x, sum(removed) AS shapley FROM r GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(shapley, 0)::BIGINT AS shapley
+FROM r JOIN h USING (part, x)
+"""
+
 ORACLE_SQL = {"op1_quality_rules": OP1, "op2_url_filters": OP2, "op4_decontamination": OP4, "op5_line_dedup": OP5,
-              "op9_warc": OP9, "op10_jaccard_join": OP10}
+              "op9_warc": OP9, "op10_jaccard_join": OP10, "op11_sharding": OP11, "op12_filter_audit": OP12}

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm import (bpe_codec, classifier, common, decontam, jaccard, line_dedup, quality, suffix, token_count,
-                       url_filter, warc)
+from skein.llm import (bpe_codec, classifier, common, decontam, filter_audit, jaccard, line_dedup, quality, sharding,
+                       suffix, token_count, url_filter, warc, whitening)
 
 DOC = f"{common.ROW}.doc_id"
 
@@ -73,6 +73,21 @@ def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_sharding(spark, sf_dir: str) -> DataFrame:
+    a = sharding.assign(common.table(spark, sf_dir, "documents"), shards=24, key="doc_id", carry=["doc_id"])
+    return a.select(DOC, "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_filter_audit(spark, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark, sf_dir: str) -> DataFrame:
+    w = whitening.whiten(common.table(spark, sf_dir, "embeddings"), "embedding", k=16, carry=["vec_id"])
+    return w.select(f"{common.ROW}.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filters, op3_bpe_round_trip, op4_decontamination, op5_line_dedup,
-    op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_warc, op10_jaccard_join)}
+    op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_warc, op10_jaccard_join,
+    op11_sharding, op12_filter_audit, op13_whitening)}
