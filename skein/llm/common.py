@@ -57,6 +57,36 @@ def utf8(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, share: int = 512) -> DataFrame:
+    """The ``rows`` whose ``on`` are among the stored ``keys``; ``count`` says
+    how many rows hold a key.  Keys of more than 1 / ``share`` of these rows
+    are fewer than ``share``: they are sent to the rows, which stay where they
+    are; the other keys meet their rows by a shuffle, in which none is hot."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = store(keys.where(F.col(count) * share > F.lit(total)).select(*on), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(keys.select(*on), on, "left_semi")
+    hot = F.broadcast(hot)
+    rest = rows.join(hot, on, "left_anti").join(keys.select(*on).join(hot, on, "left_anti"), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(rest)
+
+
+def left_join(rows: DataFrame, side: DataFrame, on: str, share: int = 512, salts: int = 64) -> DataFrame:
+    """``rows`` left-joined with ``side`` (one row a key) by a shuffle in which
+    the rows of a hot key go to ``salts`` tasks: its row of ``side`` is
+    repeated so often.  Hot keys hold more than 1 / ``share`` of the rows, so
+    they are fewer than ``share``."""
+    counts = rows.groupBy(on).agg(F.count("*").alias("n"))
+    counts = store(counts.where(F.col("n") > 1), "key-counts")
+    total = rows.count()
+    hot = store(counts.where(F.col("n") * share > F.lit(total)).select(on, F.lit(salts).alias("__salts")), "hot-keys")
+    spread = lambda df: df.join(F.broadcast(hot), on, "left")
+    left = spread(rows).withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(
+        F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))).drop("__salts")
+    right = spread(side).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [on, "__salt"], "left").drop("__salt")
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b), as rows
     (node, component) with the smallest node reachable.

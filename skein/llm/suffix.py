@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,12 @@ from skein.llm import common
 
 LENGTH = 400
 GRAM_SHARE = 2           # a gram has LENGTH / GRAM_SHARE bytes
-#: Rows of (text, places) that are sent to the tasks that read the texts; more
-#: are joined by a shuffle of the texts.
-MAX_BROADCAST = 500_000
+#: Bytes of (text, places) or (text, spans) that are sent to the tasks that read
+#: the texts, as counted from the stored lists; more are joined by a shuffle.
+MAX_BROADCAST = 128 << 20
+BUCKET_ROWS = 1 << 19    # suffixes that one bucket sorts, about
+BLOCK = 1 << 20          # windows of a text that are hashed at once
+CHUNK = 1 << 18          # suffixes in one output batch
 SMALL = 2048             # segments that are sorted at once
 
 _BASE = 0x9E3779B97F4A7C15
@@ -79,17 +83,23 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, last window) of each anchor of a text."""
+    """(place, first window, last window) of each anchor of a text, which is
+    read in blocks: a window's anchor depends on its own bytes only."""
     k = max(1, length // GRAM_SHARE)
-    if len(text) < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    h = _gram_hashes(np.frombuffer(text, np.uint8), k)
-    # the hash's upper half, then the place: the leftmost of equal hashes
-    low = _sliding_min((h & _HIGH) | np.arange(len(h), dtype=np.uint64), length - k + 1)
-    at = (low & ~_HIGH).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[first], first, np.append(first[1:], len(at)) - 1
+    n = len(text) - length + 1          # windows
+    place, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    data = np.frombuffer(text, np.uint8)
+    for b in range(0, n, BLOCK):
+        h = _gram_hashes(data[b:min(b + BLOCK, n) + length - 1], k)
+        # the hash's upper half, then the place: the leftmost of equal hashes
+        low = _sliding_min((h & _HIGH) | np.arange(len(h), dtype=np.uint64), length - k + 1)
+        at = (low & ~_HIGH).astype(np.int64) + b
+        new = np.flatnonzero(np.append(not len(place[-1]) or place[-1][-1] != at[0], at[1:] != at[:-1]))
+        if len(new):
+            place.append(at[new])
+            first.append(new + b)
+    at, first = np.concatenate(place), np.concatenate(first)
+    return at, first, np.append(first[1:], n)[:len(first)] - 1
 
 
 ANCHORS = "array<struct<gram:bigint,context:bigint,p:int,w:int>>"
@@ -118,28 +128,35 @@ def anchor_column(text: Column, length: int) -> Column:
     return udf(common.utf8(text))
 
 
-def suffix_column(text: Column, places: Column, length: int) -> Column:
-    """The suffixes (gram, t1, t2, suffix) of contexts ``places`` (id, gram, p,
-    w): three leading tokens, and suffix = id * 512 + distance."""
-    @F.arrow_udf("array<struct<gram:bigint,t1:bigint,t2:bigint,suffix:bigint>>")
-    def udf(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        digests, grams, ids, cut = [], [], [], [0]
-        digest = xxhash.xxh3_128_digest
-        for t, places in zip(texts, lists.to_pylist()):
-            t = t.as_buffer().to_pybytes()
-            for x in places:
-                p, n = x["p"], x["w"] + 1
-                digests += [digest(t[i:i + length]) for i in range(p, p + n)]
-                ids.append(np.arange(n) + x["id"] * 512)
-                grams.append(np.full(n, x["gram"]))
-            cut.append(len(digests))
-        tokens = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        rows = pa.StructArray.from_arrays(
-            [flat(grams), pa.array(np.ascontiguousarray(tokens[:, 0])), pa.array(np.ascontiguousarray(tokens[:, 1])),
-             flat(ids)], names=TOKENS + ["suffix"])
-        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rows)
-    return udf(common.utf8(text), places)
+TOKENS = ["gram", "t1", "t2"]
+
+
+def suffixes(rows: DataFrame, length: int) -> DataFrame:
+    """The suffixes (gram, t1, t2, suffix) of ``rows`` (bytes, places), places
+    being contexts (id, gram, p, w): three leading tokens, and suffix =
+    id * 512 + distance."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, raw, ids, grams = xxhash.xxh3_128_digest, bytearray(), [], []
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.frombuffer(bytes(raw), ">i8").astype(np.int64).reshape(-1, 2)
+            cols = [np.concatenate(grams), np.ascontiguousarray(tokens[:, 0]), np.ascontiguousarray(tokens[:, 1]),
+                    np.concatenate(ids)]
+            raw.clear(), ids.clear(), grams.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=TOKENS + ["suffix"])
+        for batch in batches:
+            for text, places in zip(batch.column(0), batch.column(1)):
+                text = text.as_buffer().to_pybytes()
+                of = [places.values.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(4)]
+                for i, gram, p, w in zip(*of):
+                    raw += b"".join([digest(text[j:j + length]) for j in range(p, p + w + 1)])
+                    ids.append(np.arange(w + 1) + i * 512)
+                    grams.append(np.full(w + 1, gram))
+                    if len(raw) >= 16 * CHUNK:
+                        yield flush()
+        if raw:
+            yield flush()
+    return rows.mapInArrow(cut, "gram bigint, t1 bigint, t2 bigint, suffix bigint")
 
 
 def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +182,6 @@ def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-TOKENS = ["gram", "t1", "t2"]
 BUCKET = "edge int, gram bigint, t1 bigint, t2 bigint, suffix bigint, lo int, hi int"
 
 
@@ -196,10 +212,11 @@ def _sort_bucket(batches):
                                      names=["edge", *TOKENS, "suffix", "lo", "hi"])
 
 
-def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
+def repeated_suffixes(rows: DataFrame, n: int) -> DataFrame:
     """(id, lo, hi): for each context with a window that is found elsewhere,
-    the least and greatest distance of such a window."""
-    buckets = suffixes.repartitionByRange(*TOKENS, "suffix").mapInArrow(_sort_bucket, BUCKET)
+    the least and greatest distance of such a window.  ``n`` suffixes in
+    ``rows`` make as many buckets as keep each of a size that a task can hold."""
+    buckets = rows.repartitionByRange(1 + n // BUCKET_ROWS, *TOKENS, "suffix").mapInArrow(_sort_bucket, BUCKET)
     buckets = common.store(buckets, "suffix-buckets")
     inside = buckets.where("edge = 0").select(F.col("suffix").alias("id"), "lo", "hi")
     # two rows a bucket: equal tokens at both sides of a boundary
@@ -211,8 +228,10 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     return inside.union(across).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def fits(lists: DataFrame, column: str, each: int) -> bool:
+    """Whether the stored (key, ``column``) rows, lists of ``each`` bytes an
+    entry, may be sent to all tasks."""
+    return (lists.agg(F.sum(F.size(column) * each + 48)).first()[0] or 0) <= MAX_BROADCAST
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -223,21 +242,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select("text", text_key(F.col("text")).alias("key"))
     found = texts.select("key", F.explode(anchor_column(F.col("text"), length)).alias("a")).select("key", "a.*")
     found = common.store(found, "suffix-anchors")
-    often = common.store(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    found = common.store(found.join(often, "gram", "left_semi"), "suffix-often")
+    often = common.store(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    found = common.store(common.semi_join(found, often, ["gram"], "n"), "suffix-often")
     # distinct contexts, combined before the shuffle: copies cost a row each task
     ctx = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "w")).alias("own"))
     ctx = common.store(ctx.withColumn("id", F.monotonically_increasing_id()), "suffix-contexts")
-    whole = found.join(ctx.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select(
+    whole = common.semi_join(found, ctx.where("n > 1"), ["gram", "context"], "n").select(
         "key", F.col("p").alias("s"), (F.col("p") + F.col("w") + length).alias("e"))
     # contexts that occur once, beside others of the same gram: sort their suffixes
     rim = ctx.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("least = 1 and m > 1")
-    rim = common.store(ctx.join(rim.select("gram"), "gram", "left_semi"), "suffix-rim")
+    rim = common.store(common.semi_join(ctx, common.store(rim, "suffix-rims"), ["gram"], "m"), "suffix-rim")
     places = rim.groupBy("own.key").agg(F.collect_list(F.struct("id", "gram", "own.p", "own.w")).alias("places"))
-    places = _maybe_broadcast(common.store(places, "suffix-places"))
-    one = texts.join(places, "key").dropDuplicates(["key"])      # a text that several rows hold is read once
-    rows = one.select(F.explode(suffix_column(F.col("text"), F.col("places"), length)).alias("x")).select("x.*")
-    part = repeated_suffixes(rows).join(rim.where("n = 1").select("id", "own"), "id").select(
+    places = common.store(places, "suffix-places")
+    n = rim.agg(F.sum(F.col("own.w") + 1)).first()[0] or 0
+    # a text that several rows hold is read once
+    if fits(places, "places", 24):
+        one = texts.join(F.broadcast(places), "key").dropDuplicates(["key"])
+    else:
+        one = texts.dropDuplicates(["key"]).join(places, "key")
+    rows = suffixes(one.select(common.utf8(F.col("text")), "places"), length)
+    part = repeated_suffixes(rows, n).join(rim.where("n = 1").select("id", "own"), "id").select(
         "own.key", (F.col("own.p") + F.col("lo")).alias("s"), (F.col("own.p") + F.col("hi") + length).alias("e"))
     every = whole.union(part).groupBy("key", "s").agg(F.max("e").alias("e"))
     per = every.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
@@ -272,12 +296,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     A null text is empty.  Texts shorter than ``length`` bytes stay whole.
     Rows that repeat a text are occurrences of their own, so a repeated text
     of ``length`` bytes or more goes in all of them.  An empty table gives an
-    empty result.
+    empty result.  Very long texts are hashed in blocks and cut whole.
     """
     common.prepare(docs.sparkSession)
-    spans = _maybe_broadcast(repeated_spans(docs, length))
+    spans = repeated_spans(docs, length)
     rows = docs.select(common.pack(docs.select(carry or docs.columns)), common.utf8(F.col("text")).alias("bytes"),
-                       text_key(F.col("text")).alias("key")).join(spans, "key", "left")
+                       text_key(F.col("text")).alias("key"))
+    rows = rows.join(F.broadcast(spans), "key", "left") if fits(spans, "spans", 16) else common.left_join(rows, spans, "key")
 
     @F.arrow_udf("struct<kept:binary,n_removed:bigint,n_spans:bigint>")
     def udf(texts: pa.Array, lists: pa.Array) -> pa.Array:
