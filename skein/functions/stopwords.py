@@ -23,12 +23,6 @@ wouldn't
 """.split()
 
 
-def spark_english(spark) -> list[str]:
-    """Spark ML's built-in English list, as an alternative."""
-    from pyspark.ml.feature import StopWordsRemover
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def resolve(stopwords) -> list[str]:
     """None -> no filter; "nltk" -> NLTK_ENGLISH; else an explicit iterable."""
     if stopwords is None:

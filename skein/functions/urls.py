@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # lower-cased URL, without a dot, as the crawler does).
 SKIPPED_ENDINGS = ["jpg", "jpeg", "pdf", "png", "webp", "xls", "xlsx", "PDF"]
 
+# What counts as scheme and host of a URL, and as its host.
 BASE_RE = r"(https?://[^/]+)/"
 HOST_RE = r"https?://([^/]+)/"
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"

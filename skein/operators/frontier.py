@@ -12,7 +12,8 @@ round).  One round:
 4. crawled' = crawled + batch, fetched or not (L7);
 5. frontier'= (frontier - batch) + links, one row per URL, earliest round
               kept (L5, L6);
-6. status   = '<crawled> crawled, <frontier> remaining, Stopped.' (A7).
+6. status   = '<crawled> crawled, <frontier> remaining, Stopped.', with the
+              fetched and all pages of the batch (A7).
 
 ``strict=False`` reproduces the original rule instead: links are checked
 against the crawled set of the previous rounds only, and a seed used by the
@@ -34,8 +35,10 @@ from skein.functions.text import WS_CLASS
 from skein.functions.urls import is_crawlable
 from skein.operators.broadcast import broadcast_if_small
 from skein.operators.links import new_links
+from skein.sources.corpus import one_per_url
 from skein.sources.tables import is_missing
 
+# Fixed value: the status line of a site after a round.
 STATUS_FMT = "%d crawled, %d remaining, Stopped."
 
 
@@ -65,12 +68,19 @@ def frontier_rest(frontier: DataFrame, batch: DataFrame) -> DataFrame:
     return frontier.join(batch.select("site", "url"), ["site", "url"], "left_anti")
 
 
-def fetch(batch: DataFrame, corpus: DataFrame) -> DataFrame:
+def fetch(batch: DataFrame, corpus: DataFrame, stored: bool = False) -> DataFrame:
     """(site, url, round, html, fetched) for every batch URL; html is null
-    for a skipped ending or a URL missing from the corpus."""
-    want = broadcast_if_small(batch.select("url").distinct())
-    pages = (corpus.select("url", "html").join(want, "url", "inner")
-                   .groupBy("url").agg(F.min("html").alias("html")))
+    for a skipped ending or a URL missing from the corpus.
+
+    A ``stored`` corpus (``sources.corpus``: one row a URL, bucketed by it) is
+    joined inside its buckets, so only the batch is moved.  Of any other the
+    pages of the batch are picked first; with a batch small enough to be
+    broadcast only those are moved."""
+    if stored:
+        pages = corpus.select("url", "html")
+    else:
+        want = broadcast_if_small(batch.select("url").distinct())
+        pages = one_per_url(corpus.select("url", "html").join(want, "url", "left_semi"))
     out = batch.join(pages, "url", "left")
     html = F.when(is_crawlable(F.col("url")), F.col("html"))
     return out.select("site", "url", "round", html.alias("html"),
@@ -94,10 +104,18 @@ def status(crawled: DataFrame, frontier: DataFrame) -> DataFrame:
                       F.format_string(STATUS_FMT, "crawled", "remaining").alias("status"))
 
 
+def round_summary(fetched: DataFrame, status: DataFrame) -> DataFrame:
+    """A7 of a round: per site, fetched and total pages of the batch, crawled
+    and remaining URLs, and the status line."""
+    f = fetched.groupBy("site").agg(F.count_if(F.col("fetched")).alias("fetched"), F.count(F.lit(1)).alias("total"))
+    out = status.join(f, "site", "left").na.fill(0, ["fetched", "total"])
+    return out.select("site", "fetched", "total", "crawled", "remaining", "status")
+
+
 def crawl_round(frontier: DataFrame, crawled: DataFrame, corpus: DataFrame,
                 n: int, round_no: int, pattern: str = "", seeds: DataFrame | None = None,
                 strict: bool = True, same_host: bool = False,
-                persist=None) -> dict[str, DataFrame]:
+                persist=None, stored: bool = False) -> dict[str, DataFrame]:
     """One crawl round; returns batch, fetched, links, crawled, frontier, status.
 
     ``persist(name, df) -> df`` materialises an intermediate table (the crawl
@@ -107,7 +125,7 @@ def crawl_round(frontier: DataFrame, crawled: DataFrame, corpus: DataFrame,
     keep = persist or (lambda name, df: df)
     pool = with_seeds(frontier, seeds)
     batch = keep("batch", frontier_batch(pool, n))
-    fetched = keep("fetched", fetch(batch, corpus))
+    fetched = keep("fetched", fetch(batch, corpus, stored))
     pages = fetched.where("fetched").select("site", "url", "html")
     seen = crawled.select("site", "url")
     if strict:
@@ -124,7 +142,7 @@ def crawl_round(frontier: DataFrame, crawled: DataFrame, corpus: DataFrame,
     frontier_next = keep("frontier", union_urls(rest, found))
     return {"batch": batch, "fetched": fetched, "links": found,
             "crawled": crawled_next, "frontier": frontier_next,
-            "status": status(crawled_next, frontier_next)}
+            "status": round_summary(fetched, status(crawled_next, frontier_next))}
 
 
 def save_state(df: DataFrame, path: str) -> DataFrame:
@@ -150,3 +168,25 @@ def load_urls(spark: SparkSession, path: str, site: str) -> DataFrame:
 def save_urls(df: DataFrame, path: str) -> None:
     """The URL column as text lines (the crawl-state file format)."""
     df.select("url").write.mode("overwrite").text(path)
+
+
+def save_sites(df: DataFrame, path: str) -> None:
+    """S6 for all sites and rounds at once: ``path``/round=<n>/ holds lines of
+    a site key, a space and a URL, which ``load_sites`` reads back."""
+    line = F.concat_ws(" ", "site", "url").alias("value")
+    df.select(line, "round").write.mode("overwrite").partitionBy("round").text(path)
+
+
+def load_sites(spark: SparkSession, path: str) -> DataFrame:
+    """(site, url, round) of what ``save_sites`` wrote, each URL once with
+    its earliest round; a missing folder is an empty set."""
+    try:
+        lines = spark.read.schema("value string, round int").text(path)
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        return empty(spark)
+    cut = F.instr("value", " ")
+    rows = lines.where(cut > 1).select(F.expr("substring(value, 1, instr(value, ' ') - 1)").alias("site"),
+                                       F.expr("substring(value, instr(value, ' ') + 1)").alias("url"), "round")
+    return union_urls(rows)

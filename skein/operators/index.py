@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import collapse_ws, page_text
 from skein.functions.urls import doc_key, site_key
 from skein.operators.analyze import index_terms
-from skein.operators.partitioning import spread_small_input
+from skein.operators.broadcast import broadcast_if_small
 
 
 def docs_from_documents(documents: DataFrame, site_col: str = "source",
@@ -24,26 +24,24 @@ def docs_from_documents(documents: DataFrame, site_col: str = "source",
     ``source`` (or the single ``site`` given), key = doc_id."""
     key = F.col("doc_id").cast("string")
     site_c = F.lit(site) if site is not None else F.col(site_col)
-    docs = documents.select(site_c.alias("site"), key.alias("doc_key"), key.alias("url"),
+    return documents.select(site_c.alias("site"), key.alias("doc_key"), key.alias("url"),
                             collapse_ws(F.col("text")).alias("text"))
-    return spread_small_input(docs, "site", "doc_key")
 
 
 def docs_from_pages(pages: DataFrame, site_col: str | None = None) -> DataFrame:
     """Fetched pages as index input: site = sha256(host) (or the crawl's own
     ``site_col``), key = the whole quoted URL."""
     site = F.col(site_col) if site_col else site_key(F.col("url"))
-    docs = pages.select(site.alias("site"),
-                        doc_key(F.col("url")).alias("doc_key"),
+    return pages.select(site.alias("site"), doc_key(F.col("url")).alias("doc_key"),
                         F.col("url"), page_text(F.col("html")).alias("text"))
-    return spread_small_input(docs, "site", "doc_key")
 
 
-def term_freq(docs: DataFrame, stopwords="nltk") -> DataFrame:
+def term_freq(docs: DataFrame, stopwords="nltk", keys=("site", "doc_key")) -> DataFrame:
     """A1: postings.  Partial aggregation runs map-side, inside the task that
-    holds the document, so the shuffle carries one row per (doc, term)."""
-    return (index_terms(docs, stopwords)
-            .groupBy("site", "doc_key", "term")
+    holds the document, so the shuffle carries one row per (doc, term).
+    ``keys`` are the columns that name a document, carried along."""
+    return (index_terms(docs, stopwords, keys=keys)
+            .groupBy(*keys, "term")
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -85,16 +83,28 @@ def postings_map(postings: DataFrame) -> DataFrame:
                                 "e", lambda x: F.struct(x["term"], x["tf"]))).alias("terms")))
 
 
+def superseded(versions: DataFrame, order_col: str = "version") -> DataFrame:
+    """(site, doc_key, version) for which ``versions`` has a newer one; reads
+    key columns only."""
+    keys = ["site", "doc_key"]
+    pairs = versions.select(*keys, order_col)
+    several = pairs.groupBy(*keys).agg(F.max(order_col).alias("_newest"), F.min(order_col).alias("_oldest"))
+    several = several.where("_newest > _oldest").drop("_oldest")
+    old = pairs.join(broadcast_if_small(several), keys).where(F.col(order_col) < F.col("_newest"))
+    return old.select(*keys, order_col).distinct()
+
+
+def without(versions: DataFrame, old: DataFrame, order_col: str = "version") -> DataFrame:
+    """``versions`` less the ``old`` ones: where these are few they are sent to
+    the rows, so that no text is sorted or shuffled."""
+    return versions.join(broadcast_if_small(old), ["site", "doc_key", order_col], "left_anti")
+
+
 def latest_versions(versions: DataFrame, order_col: str = "version") -> DataFrame:
     """Keep the newest version of every (site, doc_key) - the overwrite rule
-    of a re-crawled page.  A max_by aggregation rather than a window: it
-    combines map-side, so a page re-sent a great many times is not sorted in
-    one task."""
-    rest = [c for c in versions.columns if c not in ("site", "doc_key")]
-    newest = (versions.groupBy("site", "doc_key")
-                      .agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_v")))
-    return newest.select(*[F.col(c) if c in ("site", "doc_key") else F.col("_v." + c).alias(c)
-                           for c in versions.columns])
+    of a re-crawled page.  A version has one row a page.  What is replaced is
+    found on the keys alone, so no text takes part in an aggregation."""
+    return without(versions, superseded(versions, order_col), order_col)
 
 
 def doc_freq_delta(new_postings: DataFrame, replaced_postings: DataFrame) -> DataFrame:

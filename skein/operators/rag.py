@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.broadcast import MAX_BROADCAST_ROWS, row_count_at_most
-from skein.operators.search import search_batch
+from skein.operators.search import search_batch, shared, with_folders
 
 # The two instruction texts that open a prompt.
 PROMPT_WEB = "You are an assistant providing answers based solely on context."
@@ -41,10 +41,11 @@ def rag_prompts(index: dict, queries: DataFrame, instruction: str = PROMPT_WEB,
     as context; a site without pages gives no row.  Every page found is a row
     of the index's docs, and there is one a query: where the queries are few
     enough the pages found are broadcast, and no text but theirs is moved."""
-    best = best_pages(index, queries, irregular)
+    best = with_folders(index, best_pages(index, queries, irregular), term=False)
     if row_count_at_most(queries, MAX_BROADCAST_ROWS):
         best = F.broadcast(best)
-    ctx = index["docs"].select("site", "doc_key", "text").join(best, ["site", "doc_key"])
+    docs = index["docs"].drop("url")
+    ctx = docs.join(best, shared(docs, best, "site", "doc_key"))
     q = queries.select("query_id", "query")
     return (ctx.join(q, "query_id", "inner")
                .select("query_id", "url",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.urls import host, site_hash
 
+# Fixed value: what a status ends in while its site is crawled.
 CRAWLING_SUFFIX = ", Crawling..."
 
 
@@ -61,15 +62,19 @@ def set_crawling(sites: DataFrame, pageids: DataFrame) -> DataFrame:
     status are kept as they are (leading spaces included) and ', Crawling...'
     appended.  A status with no comma (e.g. 'Pending') is left unchanged
     instead of failing."""
-    parts = F.split(F.col("status"), ",")
-    marked = F.concat(F.element_at(parts, 1), F.lit(", "), F.element_at(parts, 2),
-                      F.lit(CRAWLING_SUFFIX))
     hit = sites.join(pageids.select("pageid").distinct().withColumn("_hit", F.lit(True)),
                      "pageid", "left")
-    new_status = F.when(F.col("_hit") & (F.size(parts) >= 2), marked).otherwise(F.col("status"))
+    new_status = F.when(F.col("_hit"), crawling_status(F.col("status"))).otherwise(F.col("status"))
     return hit.select("pageid", "owner", "url", new_status.alias("status"))
 
 
+def crawling_status(status: F.Column) -> F.Column:
+    """The status of a site whose crawl goes on; one without a comma stays."""
+    parts = F.split(status, ",")
+    marked = F.concat(F.get(parts, F.lit(0)), F.lit(", "), F.get(parts, F.lit(1)), F.lit(CRAWLING_SUFFIX))
+    return F.when(F.size(parts) >= 2, marked).otherwise(status)
+
+
 def sites_of_owner(sites: DataFrame, owner: str) -> DataFrame:
     """(id, status, url) of an owner's sites."""
     return sites.where(F.col("owner") == owner).select(

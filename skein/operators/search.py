@@ -8,11 +8,17 @@ O2, W1, W3).
 
 Plan: the query side (query terms joined with their weights) is small and
 bounded by the query table, so it is broadcast after a size check and the
-postings stream past it with no shuffle; only matching postings survive.
-Beyond the bound the join is salted: a term's postings spread over SALTS
-tasks by document, and the query side is repeated once per salt.
+postings stream past it with no shuffle; only matching postings survive.  On a
+stored index the query side is written first and carries the folder columns of
+its sites and terms, so the scans of postings and document frequencies read
+those folders only.  Beyond the bound the join is salted: a term's
+postings spread over SALTS tasks by document, and the query side is repeated
+once per salt.
+
 Scores aggregate on (query, doc), spread over all tasks even when one query
-matches a third of the corpus.  Top-k per query is a row_number window that
+matches a third of the corpus.  A contribution is added as two whole numbers
+(units and 10^-12), so the sum, and with it the rank, does not depend on the
+order in which tasks deliver.  Top-k per query is a row_number window that
 Spark plans with a partial group limit before the shuffle, so at most k rows
 per query leave each task.  Zero-score padding never forms queries x docs: a
 query needs at most k filler pages, and the k smallest keys of its site always
@@ -21,16 +27,38 @@ contain enough unmatched ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.urls import unquote
+from skein.functions.urls import site_hash, unquote
 from skein.operators.analyze import query_terms
 from skein.operators.broadcast import (MAX_BROADCAST_ROWS, broadcast_if_small,
                                        row_count_at_most)
+from skein.operators.registry import is_indexed
+from skein.session import materialize
+from skein.sources.index_store import FIRST_KEYS, first_keys, site_bucket, with_buckets
 
 SCORE_DIGITS = 6
 SALTS = 64   # spread of one term's postings when the query side is not broadcast
+FRACTION = 1_000_000_000_000   # parts of a unit in which contributions are added
+
+
+def exact_sum(c: Column) -> Column:
+    """The sum of contributions, none below 0, independent of their order."""
+    whole = F.floor(c)
+    part = F.round((c - whole) * FRACTION).cast("long")
+    return F.sum(whole) + F.sum(part) / FRACTION
+
+
+def with_folders(index: dict, df: DataFrame, term: bool = True) -> DataFrame:
+    """``df`` (site, term) with the folder columns of a stored index."""
+    return with_buckets(df, index["layout"], term) if "layout" in index else df
+
+
+def shared(a: DataFrame, b: DataFrame, *keys: str) -> list[str]:
+    """The join columns of two tables: ``keys``, and the folder columns that
+    both have."""
+    return [c for c in ("sb", "tb") if c in a.columns and c in b.columns] + list(keys)
 
 
 def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
@@ -39,23 +67,34 @@ def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
     the queries use.  ``small``: the query terms are known to be broadcastable."""
     if small is None:
         small = row_count_at_most(qterms, MAX_BROADCAST_ROWS)
-    keys = qterms.select("site", "term").distinct()
+    keys = qterms.select(*shared(doc_freq, qterms, "site", "term")).distinct()
     keys = F.broadcast(keys) if small else keys
+    on = shared(doc_freq, keys, "site", "term")
     # at most one row per query term: as small as the keys it was cut to
-    dfq = doc_freq.join(keys, ["site", "term"], "inner")
+    dfq = doc_freq.join(keys, on, "inner")
     dfq = F.broadcast(dfq) if small else dfq
-    return (keys.join(dfq, ["site", "term"], "left")
-                .join(doc_count, "site", "inner")
-                .select("site", "term", "df", "n",
-                        (F.col("n") / F.coalesce(F.col("df"), F.col("n"))).alias("weight")))
+    return (keys.join(dfq, on, "left")
+                .join(doc_count, shared(doc_count, keys, "site"), "inner")
+                .select(*on, "df", "n", (F.col("n") / F.coalesce(F.col("df"), F.col("n"))).alias("weight")))
+
+
+def docs_of(index: dict, site: str) -> DataFrame:
+    """The docs of one site; of a stored index, only its folder is read."""
+    docs = index["docs"].where(F.col("site") == site)
+    return docs.where(F.col("sb") == site_bucket(F.lit(site), index["layout"][0])) if "layout" in index else docs
 
 
-def first_keys(docs: DataFrame, k: int) -> DataFrame:
-    """The k smallest doc_keys of every site (padding candidates)."""
-    w = Window.partitionBy("site").orderBy("doc_key")
-    return (docs.select("site", "doc_key")
-                .withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") <= k).drop("_rn"))
+def pad_keys(index: dict, queries: DataFrame, k: int) -> DataFrame:
+    """(site, doc_key): the ``k`` smallest keys of the sites that ``queries``
+    ask; a stored index has them at hand."""
+    sites = queries.select("site").distinct()
+    sites = broadcast_if_small(with_folders(index, sites, term=False))
+    if "keys" in index and k <= FIRST_KEYS:
+        keys = index["keys"].where(F.col("rank") <= k)
+        return keys.join(sites, shared(keys, sites, "site"), "left_semi").select("site", "doc_key")
+    docs = index["docs"]
+    docs = docs.join(sites, shared(docs, sites, "site"), "left_semi")
+    return first_keys(docs, k).select("site", "doc_key")
 
 
 def salted_join(postings: DataFrame, qw: DataFrame, salts: int) -> DataFrame:
@@ -65,7 +104,7 @@ def salted_join(postings: DataFrame, qw: DataFrame, salts: int) -> DataFrame:
     tasks and each still meets every query row exactly once."""
     p = postings.withColumn("_salt", F.pmod(F.hash("doc_key"), F.lit(salts)))
     q = qw.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return p.join(q, ["site", "term", "_salt"], "inner").drop("_salt")
+    return p.join(q, [*shared(p, q, "site", "term"), "_salt"], "inner").drop("_salt")
 
 
 def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
@@ -74,35 +113,49 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
                      salts: int = SALTS) -> DataFrame:
     """(query_id, site, doc_key, score) for every matched page, plus k
     zero-score candidates per query when ``k`` is given."""
-    qt = qterms if qterms is not None else query_terms(queries, irregular)
+    qt = query_side(index, with_folders(index, qterms if qterms is not None else query_terms(queries, irregular)))
     # the query side is bounded by the query table: size-check it there, not
     # after joining the index statistics (which would run the index build)
     small = row_count_at_most(qt, max_broadcast_rows)
-    weights = term_weights(index["doc_freq"], index["doc_count"], qt, small)
-    qw = (qt.join(weights, ["site", "term"], "inner")
-            .select("query_id", "site", "term", (F.col("qtf") * F.col("weight")).alias("qw")))
+    qw = query_side(index, weighted_terms(index, qt, small))
     if small:
-        joined = index["postings"].join(F.broadcast(qw), ["site", "term"], "inner")
+        post = index["postings"]
+        joined = post.join(F.broadcast(qw), shared(post, qw, "site", "term"), "inner")
     else:
         joined = salted_join(index["postings"], qw, salts)
     contrib = joined.select("query_id", "site", "doc_key", (F.col("tf") * F.col("qw")).alias("c"))
     if k is not None:
-        pads = broadcast_if_small(first_keys(index["docs"], k))
-        pad = (queries.select("query_id", "site").distinct()
-                      .join(pads, "site", "inner")
-                      .select("query_id", "site", "doc_key", F.lit(0.0).alias("c")))
-        contrib = contrib.unionByName(pad)
-    return (contrib.groupBy("query_id", "site", "doc_key")
-                   .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score")))
+        contrib = contrib.unionByName(padding(index, queries, k))
+    return scores_of(contrib)
 
 
-def search_batch(index: dict, queries: DataFrame, k: int = 10,
-                 irregular: bool = True, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Top-k pages for every query of a query table (query_id, site, query).
+def query_side(index: dict, terms: DataFrame) -> DataFrame:
+    """Query terms as the side that prunes the folders of a stored index: they
+    are written first (they are as small as the queries), since Spark prunes
+    at run time by a side whose plan it can recognise and that has a filter."""
+    return materialize(terms, "query-terms").where("term <> ''") if "layout" in index else terms
 
-    Returns (query_id, rank, doc_key, url, score, no_of_docs)."""
-    scores = score_candidates(index, queries, k, irregular,
-                              max_broadcast_rows=max_broadcast_rows)
+
+def weighted_terms(index: dict, qterms: DataFrame, small: bool | None = None) -> DataFrame:
+    """(query_id, site, term, qw): what one occurrence of a term adds."""
+    weights = term_weights(index["doc_freq"], index["doc_count"], qterms, small)
+    on = shared(qterms, weights, "site", "term")
+    return qterms.join(weights, on, "inner").select("query_id", *on, (F.col("qtf") * F.col("weight")).alias("qw"))
+
+
+def padding(index: dict, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, site, doc_key, c = 0): k fillers a query."""
+    pads = broadcast_if_small(pad_keys(index, queries, k))
+    return (queries.select("query_id", "site").distinct().join(pads, "site", "inner")
+                   .select("query_id", "site", "doc_key", F.lit(0.0).alias("c")))
+
+
+def scores_of(contrib: DataFrame) -> DataFrame:
+    return contrib.groupBy("query_id", "site", "doc_key").agg(F.round(exact_sum(F.col("c")), SCORE_DIGITS).alias("score"))
+
+
+def best_of(scores: DataFrame, index: dict, k: int) -> DataFrame:
+    """(query_id, rank, doc_key, url, score, no_of_docs) of the k best."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_key"))
     top = (scores.withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k))
@@ -112,6 +165,25 @@ def search_batch(index: dict, queries: DataFrame, k: int = 10,
                        "score", "no_of_docs"))
 
 
+def search_batch(index: dict, queries: DataFrame, k: int = 10,
+                 irregular: bool = True, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Top-k pages for every query of a query table (query_id, site, query).
+
+    Returns (query_id, rank, doc_key, url, score, no_of_docs)."""
+    scores = score_candidates(index, queries, k, irregular,
+                              max_broadcast_rows=max_broadcast_rows)
+    return best_of(scores, index, k)
+
+
+def search_indexed(index: dict, requests: DataFrame, sites: DataFrame, k: int = 10) -> DataFrame:
+    """The offline route: ``requests`` (query_id, host, query) whose host is in
+    the registry (``sites``) are answered from the host's pages, with query
+    words stemmed as the offline ranking does; the others get no rows."""
+    known = is_indexed(requests.select("host").distinct(), sites).where("indexed").select("host")
+    asked = requests.join(known, "host", "left_semi")
+    return search_batch(index, asked.select("query_id", site_hash(F.col("host")).alias("site"), "query"), k, irregular=False)
+
+
 def single_query(site: str, query: str, spark, query_id: int = 0) -> DataFrame:
     return spark.createDataFrame([(query_id, site, query)],
                                  "query_id bigint, site string, query string")
@@ -136,7 +208,7 @@ def search_all_docs(index: dict, site: str, query: str, irregular: bool = True)
     spark = index["docs"].sparkSession
     q = single_query(site, query, spark)
     scores = score_candidates(index, q, None, irregular).select("site", "doc_key", "score")
-    return (index["docs"].where(F.col("site") == site).select("site", "doc_key")
+    return (docs_of(index, site).select("site", "doc_key")
             .join(scores, ["site", "doc_key"], "left")
             .select("doc_key", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
 

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from skein.functions import urls
 from skein.functions.stem import with_stem
 from skein.functions.text import collapse_ws, page_text, strip_punct
-from skein.operators import analyze, frontier as fr, index as ix, links as lk, rag
+from skein.operators import analyze, frontier as fr, index as ix, links as lk, pruned, rag
 from skein.operators import registry as rg, search
-from skein.sources import tables
+from skein.plans import crawl
+from skein.session import scratch_path
+from skein.sources import bundle, corpus, index_store, registry_log, tables
+from skein.streaming import incremental
 
 ALL_SITE = "all"
 SINGLE_QUERY = "the en in"
@@ -271,9 +274,12 @@ def toggled_hosts(spark, sf_dir) -> DataFrame:
     """Hosts of every page plus the same host with 'www.' added or removed
     (those are mostly unregistered)."""
     h = urls.host(F.col("url"))
-    other = F.when(h.startswith("www."), h.substr(F.lit(5), F.length(h))).otherwise(F.concat(F.lit("www."), h))
     p = tables.pages(spark, sf_dir)
-    return p.select(h.alias("host")).unionByName(p.select(other.alias("host"))).distinct()
+    return p.select(h.alias("host")).unionByName(p.select(toggled(h).alias("host"))).distinct()
+
+
+def toggled(host):
+    return F.when(host.startswith("www."), host.substr(F.lit(5), F.length(host))).otherwise(F.concat(F.lit("www."), host))
 
 
 def q_site_registry(spark, sf_dir):
@@ -346,7 +352,188 @@ def q_postings_json(spark, sf_dir):
     return ix.postings_map(post).select("site", "doc_key", F.to_json("terms").alias("json"))
 
 
+# ---- stored index ------------------------------------------------------------
+def stored_index(spark, docs: DataFrame, stopwords="nltk") -> dict:
+    return index_store.build_and_store(docs, scratch_path(spark, "index"), stopwords)
+
+
+def q_index_stored(spark, sf_dir):
+    """S2 + S3: the postings, written and read back."""
+    return stored_index(spark, docs_by_source(spark, sf_dir))["postings"].select("site", "doc_key", "term", "tf")
+
+
+def q_index_bounds(spark, sf_dir):
+    """What the stored bounds say of each term: greatest tf and postings."""
+    b = stored_index(spark, docs_by_source(spark, sf_dir))["bounds"]
+    return b.groupBy("site", "term").agg(F.max("max_tf").alias("max_tf"), F.sum("n").alias("n"))
+
+
+def q_search_pruned(spark, sf_dir):
+    """W1 over a stored index, leaving out blocks below the k-th score."""
+    idx = stored_index(spark, docs_one_site(spark, sf_dir))
+    return pruned.search_batch(idx, benchmark_queries(spark, sf_dir), K).drop("url")
+
+
+def q_search_pruned_topk(spark, sf_dir):
+    idx = stored_index(spark, docs_one_site(spark, sf_dir), stopwords=None)
+    return pruned.search_topk(idx, ALL_SITE, SINGLE_QUERY, K).select("rank", "doc_key", "score")
+
+
+def page_docs(spark, sf_dir, site: str | None = ALL_SITE) -> DataFrame:
+    p = tables.pages(spark, sf_dir)
+    return ix.docs_from_pages(p.withColumn("site", F.lit(site)), site_col="site") if site else ix.docs_from_pages(p)
+
+
+def q_page_search(spark, sf_dir):
+    """HTML pages -> text -> stored index -> search, in one job."""
+    idx = stored_index(spark, page_docs(spark, sf_dir))
+    return pruned.search_batch(idx, benchmark_queries(spark, sf_dir), K)
+
+
+def q_search_extension(spark, sf_dir):
+    """The offline route: requests (host, query) are answered for indexed
+    hosts only, from the host's own pages; query words are stemmed as the
+    offline ranking does.  Each page asks for its host, and for the host with
+    'www.' toggled, one benchmark text."""
+    p = tables.pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"))
+    b = tables.benchmark(spark, sf_dir)
+    n = b.agg(F.count("*").alias("n"), F.min("item_id").alias("least"))
+    text = b.crossJoin(F.broadcast(n)).select((F.col("item_id") - F.col("least")).alias("k"), F.col("text").alias("query"))
+    p = p.crossJoin(F.broadcast(n)).withColumn("k", F.pmod("page_id", "n"))       # n is one row
+    asked = p.select((F.col("page_id") * 2).alias("query_id"), "host", "k").unionByName(
+        p.select((F.col("page_id") * 2 + 1).alias("query_id"), toggled(F.col("host")).alias("host"), "k"))
+    requests = asked.join(text, "k").select("query_id", "host", "query")
+    return search.search_indexed(stored_index(spark, page_docs(spark, sf_dir, None)), requests,
+                                 registry_sites(spark, sf_dir), K).drop("url")
+
+
+def q_bundle_round_trip(spark, sf_dir):
+    """S8 + S7: a site exported as a bundle and imported again."""
+    root = scratch_path(spark, "bundle")
+    bundle.export_bundle(one_site_index(spark, sf_dir), ALL_SITE, root)
+    return bundle.import_export(spark, root, ALL_SITE)["postings"].select("doc_key", "term", "tf")
+
+
+# ---- stored crawl state, many rounds --------------------------------------------
+ROUNDS_N = 12              # URLs per site and round of the many-round crawl
+
+
+def site_seeds(spark, sf_dir) -> DataFrame:
+    """The first page URL of every site."""
+    return page_sites(spark, sf_dir).groupBy("site").agg(F.min("url").alias("url"))
+
+
+def q_crawl_state(spark, sf_dir):
+    """S6 + S5: the frontier written as text lines and read back."""
+    path = scratch_path(spark, "crawl-state")
+    fr.save_sites(seed_frontier(spark, sf_dir), path)
+    return fr.load_sites(spark, path)
+
+
+def q_frontier_seeded(spark, sf_dir):
+    """Sites without a link that fits the pattern start from their seed."""
+    links = lk.in_scope(lk.resolved_links(page_sites(spark, sf_dir), keys=("site",)), LINK_PATTERN)
+    found = links.select("site", F.col("link").alias("url")).distinct().withColumn("round", F.lit(1))
+    return fr.with_seeds(found, site_seeds(spark, sf_dir))
+
+
+def q_crawl_rounds(spark, sf_dir):
+    """L8 + L9: from a frontier of all pages but the seeds, rounds of ROUNDS_N
+    URLs a site over a stored corpus until no site has any left; the seeds of
+    sites without a frontier come in as those run dry."""
+    seeds = site_seeds(spark, sf_dir)
+    pages = page_sites(spark, sf_dir).select("site", "url", F.lit(0).alias("round"))
+    state = scratch_path(spark, "crawl-start")
+    fr.save_sites(pages.join(seeds, ["site", "url"], "left_anti"), state)
+    out = crawl.crawl_until_done(spark, corpus.store_corpus(tables.pages(spark, sf_dir)), seeds, ROUNDS_N, LINK_PATTERN,
+                                 frontier=fr.load_sites(spark, state), stored=True)
+    return out["crawled"].join(out["tried"].select("site", "url", "fetched"), ["site", "url"])
+
+
+# ---- change log, stream ----------------------------------------------------------
+def registry_events(spark, sf_dir) -> DataFrame:
+    """Events of every page, ten sequence numbers apart: its host, its owner's
+    registration, and for some pages a status, a crawl or a deletion."""
+    p = tables.pages(spark, sf_dir)
+    p = p.select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.site_key(F.col("url")).alias("pageid"),
+                 F.concat(F.lit("user"), F.col("page_id") % 5).alias("owner"))
+    i = F.col("page_id")
+    make = lambda kind, at, rows, **c: registry_log.events(
+        rows, kind, F.concat(F.lit(kind + "-"), i), i * 10 + at, pageid=F.col("pageid"), **c)
+    told = F.format_string(fr.STATUS_FMT, i, i % 13)
+    out = make("register", 0, p, owner=F.col("owner"), url=F.col("url"), status=F.lit("Pending"))
+    for part in (make("site_key", 1, p, host=F.col("host")), make("status", 3, p.where(i % 4 == 1), status=told),
+                 make("crawling", 5, p.where(i % 7 == 2)), make("delete", 7, p.where(i % 11 == 3), owner=F.col("owner"))):
+        out = out.unionByName(part)
+    return out
+
+
+def registry_history(spark, sf_dir) -> dict[str, DataFrame]:
+    """The events in two batches; the first is compacted, then delivered again
+    along with the second; a third is left half-way, without its marker."""
+    root, log = scratch_path(spark, "registry-log"), registry_events(spark, sf_dir)
+    half = F.broadcast(log.agg((F.max("seq") / 2).alias("half")))       # one row
+    early = log.join(half, F.col("seq") < F.col("half")).drop("half")
+    registry_log.append(early, root, 1)
+    registry_log.compact(spark, root)
+    registry_log.append(log, root, 2)
+    early.withColumn("event_id", F.concat(F.lit("lost-"), "event_id")).write.parquet(f"{root}/events/batch=3")
+    return registry_log.load(spark, root)
+
+
+def q_registry_log(spark, sf_dir):
+    return registry_history(spark, sf_dir)["sites"]
+
+
+def q_registry_log_keys(spark, sf_dir):
+    return registry_history(spark, sf_dir)["site_keys"]
+
+
+def run_streams(spark, sf_dir) -> str:
+    """Two runs of one stream: the first round's documents, then the others
+    and the re-sent ones; the index so far is compacted in between."""
+    src, out = scratch_path(spark, "stream-source"), scratch_path(spark, "stream")
+    d = tables.documents(spark, sf_dir)
+    first = F.col("lang").isin(ROUND1_LANGS)
+    changed = d.where(F.col("lang") == RESENT_LANG).withColumn("text", F.replace("text", F.lit("e"), F.lit("a")))
+    for part in (d.where(first), d.where(~first | F.col("lang").isNull()).unionByName(changed)):
+        part.write.mode("append").parquet(src)
+        incremental.run_index_stream(spark, src, out, kind="documents", max_files_per_trigger=100_000)
+        incremental.compact(spark, out)
+    return out
+
+
+def q_stream_index(spark, sf_dir):
+    """T1 + A3: document frequency as the sum of the stream's deltas."""
+    return incremental.current_index(spark, run_streams(spark, sf_dir))["doc_freq"]
+
+
+def q_stream_progress(spark, sf_dir):
+    """T2 + T3: counts of each batch of a stream over what a crawl round
+    fetched (failed fetches have no HTML), then over all pages."""
+    src, out = scratch_path(spark, "stream-source"), scratch_path(spark, "stream")
+    got = one_round(spark, sf_dir)["fetched"].select(F.lit(None).cast("long").alias("page_id"), "url", "html")
+    for part in (got, tables.pages(spark, sf_dir)):
+        part.write.mode("append").parquet(src)
+        incremental.run_index_stream(spark, src, out, kind="pages", max_files_per_trigger=100_000)
+    return incremental.stored_progress(spark, out)
+
+
 QUERIES = {
+    "index_stored": q_index_stored,
+    "index_bounds": q_index_bounds,
+    "search_pruned": q_search_pruned,
+    "search_pruned_topk": q_search_pruned_topk,
+    "page_search": q_page_search,
+    "search_extension": q_search_extension,
+    "bundle_round_trip": q_bundle_round_trip,
+    "crawl_state": q_crawl_state,
+    "frontier_seeded": q_frontier_seeded,
+    "crawl_rounds": q_crawl_rounds,
+    "registry_log": q_registry_log,
+    "registry_log_keys": q_registry_log_keys,
+    "stream_index": q_stream_index,
+    "stream_progress": q_stream_progress,
     "latest_pages": q_latest_pages,
     "doc_freq_merged": q_doc_freq_merged,
     "postings_json": q_postings_json,

@@ -19,32 +19,80 @@ from skein.operators import index as ix
 from skein.session import scratch_path
 
 
+class Crawl:
+    """Rounds over stored state: frontier and crawled tables of the last round
+    and the folders of every round."""
+
+    def __init__(self, corpus: DataFrame, seeds: DataFrame, n: int, pattern: str = "", strict: bool = True,
+                 same_host: bool = False, frontier: DataFrame | None = None, crawled: DataFrame | None = None,
+                 root: str | None = None, stored: bool = False):
+        self.spark = corpus.sparkSession
+        self.corpus, self.seeds, self.n, self.stored = corpus, seeds, n, stored
+        self.rules = {"pattern": pattern, "strict": strict, "same_host": same_host}
+        self.frontier = frontier if frontier is not None else fr.empty(self.spark)
+        self.crawled = crawled if crawled is not None else fr.empty(self.spark)
+        self.root = root or scratch_path(self.spark, "crawl")
+        self.rounds = 0
+
+    def _dirs(self, name: str) -> list[str]:
+        return [os.path.join(self.root, f"round={r}", name) for r in range(1, self.rounds + 1)]
+
+    def round(self, seeds: DataFrame | None) -> DataFrame:
+        """One more round; returns its batch."""
+        r = self.rounds + 1
+        base = os.path.join(self.root, f"round={r}")
+        persist = lambda name, df: fr.save_state(df, os.path.join(base, name))
+        out = fr.crawl_round(self.frontier, self.crawled, self.corpus, self.n, r, seeds=seeds, persist=persist,
+                             stored=self.stored, **self.rules)
+        self.frontier, self.crawled = out["frontier"], out["crawled"]
+        persist("status", out["status"].withColumn("round", F.lit(r)))
+        self.rounds = r
+        return out["batch"]
+
+    def result(self) -> dict:
+        """frontier, crawled, fetched pages (site, url, round, html), every
+        page tried (site, url, round, fetched) and the status of every round;
+        fetched, tried and status are empty where no round was run."""
+        if not self.rounds:
+            none = lambda ddl: self.spark.createDataFrame([], ddl)
+            return {"frontier": self.frontier, "crawled": self.crawled, "rounds": 0,
+                    "fetched": none("site string, url string, round int, html string"),
+                    "tried": none("site string, url string, round int, fetched boolean"),
+                    "status": none("site string, fetched bigint, total bigint, crawled bigint, remaining bigint, "
+                                   "status string, round int")}
+        tried = self.spark.read.parquet(*self._dirs("fetched"))
+        return {"frontier": self.frontier, "crawled": self.crawled,
+                "fetched": tried.where("fetched").select("site", "url", "round", "html"),
+                "tried": tried.select("site", "url", "round", "fetched"),
+                "status": self.spark.read.parquet(*self._dirs("status")), "rounds": self.rounds}
+
+
 def crawl(spark: SparkSession, corpus: DataFrame, seeds: DataFrame, rounds: int,
-          n: int, pattern: str = "", strict: bool = True, same_host: bool = False,
-          frontier: DataFrame | None = None, crawled: DataFrame | None = None,
-          root: str | None = None) -> dict:
+          n: int, pattern: str = "", **kw) -> dict:
     """Run ``rounds`` rounds.  ``seeds`` (site, url); returns the final
     frontier, crawled set, fetched pages (site, url, round, html) and the
-    status of every round (site, round, crawled, remaining, status)."""
-    root = root or scratch_path(spark, "crawl")
-    frontier = frontier if frontier is not None else fr.empty(spark)
-    crawled = crawled if crawled is not None else fr.empty(spark)
-    fetched_dirs, status_dirs = [], []
-    for r in range(1, rounds + 1):
-        base = os.path.join(root, f"round={r}")
-
-        def persist(name, df, base=base):
-            return fr.save_state(df, os.path.join(base, name))
-
-        out = fr.crawl_round(frontier, crawled, corpus, n, r, pattern, seeds, strict,
-                             same_host, persist=persist)
-        frontier, crawled = out["frontier"], out["crawled"]
-        persist("status", out["status"].withColumn("round", F.lit(r)))
-        fetched_dirs.append(os.path.join(base, "fetched"))
-        status_dirs.append(os.path.join(base, "status"))
-    fetched = spark.read.parquet(*fetched_dirs).where("fetched").select("site", "url", "round", "html")
-    return {"frontier": frontier, "crawled": crawled, "fetched": fetched,
-            "status": spark.read.parquet(*status_dirs)}
+    status of every round."""
+    job = Crawl(corpus, seeds, n, pattern, **kw)
+    for _ in range(rounds):
+        job.round(seeds)
+    return job.result()
+
+
+def crawl_until_done(spark: SparkSession, corpus: DataFrame, seeds: DataFrame, n: int,
+                     pattern: str = "", **kw) -> dict:
+    """L8 + L9: rounds until no site has a frontier.  A site without one takes
+    its seed while that is not crawled; every round crawls URLs that were not,
+    so with finitely many in scope the rounds end.  As many rounds as the
+    longest site needs at ``n`` URLs a round.  Strict rule only: by the
+    original one a used seed comes back for ever."""
+    if not kw.get("strict", True):
+        raise ValueError("the original rule does not settle")
+    job = Crawl(corpus, seeds, n, pattern, **kw)
+    while True:
+        left = seeds.join(job.crawled.select("site", "url"), ["site", "url"], "left_anti")
+        if fr.with_seeds(job.frontier, left).isEmpty():
+            return job.result()
+        job.round(left)
 
 
 def index_fetched(fetched: DataFrame, stopwords="nltk") -> dict:

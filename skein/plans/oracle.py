@@ -61,31 +61,36 @@ def words_sql(docs: str) -> str:
             f"WHERE regexp_matches(token, '^\\p{{L}}+$')")
 
 
-def terms_ctes(one_site: bool, stop: bool, text: str = "text") -> str:
+def page_docs_sql(site: str) -> str:
+    """Pages as documents: (site, doc_key, text)."""
+    return f"SELECT {site} AS site, {doc_key_sql('url')} AS doc_key, {page_text_sql('html')} AS text FROM pages"
+
+
+def terms_ctes(one_site: bool, stop: bool, text: str = "text", docs: str | None = None) -> str:
     """CTEs words, vocab, terms (site, doc_key, term) for the documents."""
     where = f" WHERE v.term NOT IN ({STOP_LIST})" if stop else ""
-    return (f"words AS ({words_sql(docs_sql(one_site, text))}), "
+    return (f"words AS ({words_sql(docs or docs_sql(one_site, text))}), "
             f"vocab AS ({stem_sql('SELECT DISTINCT word FROM words', 'word')}), "
             f"terms AS (SELECT w.site, w.doc_key, v.term FROM words w JOIN vocab v "
             f"ON w.word = v.word{where})")
 
 
-def index_ctes(one_site: bool, stop: bool, text: str = "text") -> str:
+def index_ctes(one_site: bool, stop: bool, text: str = "text", docs: str | None = None) -> str:
     """+ post (site, doc_key, term, tf), dfreq (site, term, df), ndocs (site, n)."""
-    return (terms_ctes(one_site, stop, text) + ", "
+    return (terms_ctes(one_site, stop, text, docs) + ", "
             "post AS (SELECT site, doc_key, term, count(*) AS tf FROM terms "
             "GROUP BY site, doc_key, term), "
             "dfreq AS (SELECT site, term, count(*) AS df FROM post GROUP BY site, term), "
-            f"ndocs AS (SELECT site, count(*) AS n FROM ({docs_sql(one_site)}) GROUP BY site)")
+            f"ndocs AS (SELECT site, count(*) AS n FROM ({docs or docs_sql(one_site)}) GROUP BY site)")
 
 
-def query_terms_cte(queries: str, name: str = "qt") -> str:
+def query_terms_cte(queries: str, name: str = "qt", irregular: bool = True) -> str:
     """CTE ``name`` (query_id, site, term, qtf) for queries (query_id, site, query)."""
     toks = (f"SELECT query_id, site, lower(tok) AS tok FROM (SELECT query_id, site, "
             f"unnest(string_split({collapse(pyupper('query'))}, ' ')) AS tok FROM ({queries})) "
             f"WHERE tok <> ''")
     return (f"{name}_tok AS ({toks}), "
-            f"{name}_stem AS ({stem_sql(f'SELECT DISTINCT tok FROM {name}_tok', 'tok', irregular=True)}), "
+            f"{name}_stem AS ({stem_sql(f'SELECT DISTINCT tok FROM {name}_tok', 'tok', irregular=irregular)}), "
             f"{name} AS (SELECT t.query_id, t.site, s.term, count(*) AS qtf FROM {name}_tok t "
             f"JOIN {name}_stem s ON t.tok = s.tok GROUP BY t.query_id, t.site, s.term)")
 
@@ -96,16 +101,16 @@ BENCH_QUERIES = f"SELECT item_id AS query_id, {lit(ALL_SITE)} AS site, text AS q
 ONE_QUERY = f"SELECT CAST(0 AS BIGINT) AS query_id, {lit(ALL_SITE)} AS site, {lit(SINGLE_QUERY)} AS query"
 
 
-def scored_ctes(queries: str, stop: bool) -> str:
+def scored_ctes(queries: str, stop: bool, docs: str | None = None, irregular: bool = True) -> str:
     """+ scores (query_id, site, doc_key, score) for EVERY (query, document)."""
-    return (index_ctes(True, stop) + ", " + query_terms_cte(queries) + ", "
+    return (index_ctes(True, stop, docs=docs) + ", " + query_terms_cte(queries, irregular=irregular) + ", "
             "wt AS (SELECT k.site, k.term, n.n / coalesce(d.df, n.n) AS weight "
             "FROM (SELECT DISTINCT site, term FROM qt) k JOIN ndocs n ON k.site = n.site "
             "LEFT JOIN dfreq d ON d.site = k.site AND d.term = k.term), "
             "contrib AS (SELECT q.query_id, p.site, p.doc_key, sum(p.tf * (q.qtf * w.weight)) AS s "
             "FROM post p JOIN qt q ON p.site = q.site AND p.term = q.term "
             "JOIN wt w ON w.site = q.site AND w.term = q.term GROUP BY q.query_id, p.site, p.doc_key), "
-            f"alldocs AS (SELECT site, doc_key FROM ({docs_sql(True)})), "
+            f"alldocs AS (SELECT site, doc_key FROM ({docs or docs_sql(True)})), "
             f"qs AS (SELECT DISTINCT query_id, site FROM ({queries})), "
             "scores AS (SELECT q.query_id, a.site, a.doc_key, round(coalesce(c.s, 0.0), 6) AS score "
             "FROM qs q JOIN alldocs a ON a.site = q.site "
@@ -306,11 +311,14 @@ def build() -> dict[str, str]:
     q["frontier_next"] = f"{rc} SELECT * FROM frontier_next"
     q["crawled_next"] = f"{rc} SELECT * FROM crawled_next"
     q["crawl_status"] = (f"{rc}, c AS (SELECT site, count(*) AS crawled FROM crawled_next GROUP BY site), "
-                         "r AS (SELECT site, count(*) AS remaining FROM frontier_next GROUP BY site) "
-                         "SELECT coalesce(c.site, r.site) AS site, coalesce(c.crawled, 0) AS crawled, "
+                         "r AS (SELECT site, count(*) AS remaining FROM frontier_next GROUP BY site), "
+                         "f AS (SELECT site, count(*) FILTER (html IS NOT NULL) AS fetched, count(*) AS total FROM fetched GROUP BY site), "
+                         "s AS (SELECT coalesce(c.site, r.site) AS site, coalesce(c.crawled, 0) AS crawled, "
                          "coalesce(r.remaining, 0) AS remaining, "
                          "format('{} crawled, {} remaining, Stopped.', coalesce(c.crawled, 0), "
-                         "coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r ON c.site = r.site")
+                         "coalesce(r.remaining, 0)) AS status FROM c FULL OUTER JOIN r ON c.site = r.site) "
+                         "SELECT s.site, coalesce(fetched, 0) AS fetched, coalesce(total, 0) AS total, crawled, remaining, "
+                         "status FROM s LEFT JOIN f ON f.site = s.site")
 
     # index maintenance: the merged DF equals a rebuild over the latest versions
     q["doc_freq_merged"] = f"WITH {index_ctes(False, True, RESENT_TEXT)} SELECT site, term, df FROM dfreq"
@@ -359,6 +367,88 @@ def build() -> dict[str, str]:
         f"WITH {scored_ctes(CONV_QUERIES, True)}, {ranked} "
         "SELECT r.query_id, r.rank, r.doc_key, r.score, n.n AS no_of_docs "
         f"FROM ranked r JOIN ndocs n ON r.site = n.site{cond.replace('rank', 'r.rank')}")
+
+    # stored index and what runs on it
+    q["index_stored"] = q["term_freq"]
+    q["index_bounds"] = (f"WITH {index_ctes(False, True)} SELECT site, term, max(tf) AS max_tf, "
+                         "CAST(count(*) AS BIGINT) AS n FROM post GROUP BY site, term")
+    q["search_pruned"], q["search_pruned_topk"] = q["search_batch"], q["search_topk"]
+    q["page_search"] = (
+        f"WITH {scored_ctes(BENCH_QUERIES, True, page_docs_sql(lit(ALL_SITE)))}, {ranked} "
+        f"SELECT r.query_id, r.rank, r.doc_key, {unquote_sql('r.doc_key')} AS url, r.score, n.n AS no_of_docs "
+        f"FROM ranked r JOIN ndocs n ON r.site = n.site{cond.replace('rank', 'r.rank')}")
+    toggled = "CASE WHEN starts_with(host, 'www.') THEN substring(host, 5) ELSE 'www.' || host END"
+    asked = (f"SELECT query_id, sha256(host) AS site, query FROM ("
+             f"SELECT query_id, host, b.text AS query FROM ("
+             f"SELECT page_id * 2 AS query_id, host, k FROM ({{p}}) UNION ALL "
+             f"SELECT page_id * 2 + 1, {toggled}, k FROM ({{p}})) a JOIN ("
+             "SELECT item_id - (SELECT min(item_id) FROM benchmark) AS j, text FROM benchmark) b ON a.k = b.j) "
+             f"WHERE host IN (SELECT {host_sql('url')} FROM pages)").replace(
+        "{p}", f"SELECT page_id, {host_sql('url')} AS host, page_id % (SELECT count(*) FROM benchmark) AS k FROM pages")
+    q["search_extension"] = (
+        f"WITH {scored_ctes(asked, True, page_docs_sql(site_sql('url')), irregular=False)}, {ranked} "
+        "SELECT r.query_id, r.rank, r.doc_key, r.score, n.n AS no_of_docs "
+        f"FROM ranked r JOIN ndocs n ON r.site = n.site{cond.replace('rank', 'r.rank')}")
+    q["bundle_round_trip"] = f"WITH {index_ctes(True, True)} SELECT doc_key, term, tf FROM post"
+    q["postings_json"] = (
+        f"WITH {index_ctes(False, True)} SELECT site, doc_key, '{{' || string_agg(to_json(term) || ':' || tf, ',' "
+        "ORDER BY tf DESC, term) || '}' AS json FROM post GROUP BY site, doc_key")
+
+    # stored crawl state, many rounds
+    q["crawl_state"] = f"{rc} SELECT site, url, CAST(round AS INTEGER) AS round FROM seed"
+    seeds = f"seeds AS (SELECT site, min(url) AS url FROM ({SITE_PAGES}) GROUP BY site)"
+    q["frontier_seeded"] = (
+        f"WITH sp AS ({SITE_PAGES}), {links_ctes('sp', 'site')}, {seeds}, "
+        f"f AS (SELECT DISTINCT site, link AS url, 1 AS round FROM links WHERE {in_scope_sql(LINK_PATTERN)}) "
+        "SELECT * FROM f UNION ALL SELECT site, url, 0 FROM seeds WHERE site NOT IN (SELECT site FROM f)")
+    # state: every URL of a site with its round, and the round in which it was
+    # crawled; a seed waits (round null) until nothing else is left
+    q["crawl_rounds"] = (
+        f"WITH RECURSIVE sp AS ({SITE_PAGES}), {links_ctes('sp', 'site')}, {seeds}, "
+        f"pg AS (SELECT sp.site, sp.url, {crawlable_sql('sp.url')} AS ok, "
+        f"coalesce(list(DISTINCT l.link) FILTER ({in_scope_sql(LINK_PATTERN)}), []) AS found "
+        "FROM sp LEFT JOIN links l ON l.site = sp.site AND l.url = sp.url GROUP BY sp.site, sp.url), "
+        "st AS (SELECT 0 AS r, sp.site, sp.url, CASE WHEN s.url IS NULL THEN 0 END AS round, CAST(NULL AS INTEGER) AS crawled, "
+        "CAST(NULL AS BOOLEAN) AS fetched FROM sp LEFT JOIN seeds s ON s.site = sp.site AND s.url = sp.url "
+        "UNION ALL "
+        "SELECT r, site, x.url, min(x.round), max(x.crawled), bool_or(x.fetched) FROM (SELECT r + 1 AS r, site, unnest("
+        "[{'url': url, 'round': CASE WHEN hit THEN coalesce(round, 0) ELSE round END, 'crawled': CASE WHEN hit THEN r + 1 ELSE crawled END, "
+        "'fetched': CASE WHEN hit THEN coalesce(ok, false) ELSE fetched END}] || "
+        "list_transform(CASE WHEN hit AND ok THEN found ELSE [] END, lambda u: "
+        "{'url': u, 'round': r + 1, 'crawled': CAST(NULL AS INTEGER), 'fetched': CAST(NULL AS BOOLEAN)})) AS x "
+        "FROM (SELECT *, crawled IS NULL AND CASE WHEN round IS NULL THEN open = 0 ELSE rn <= " + str(12) + " END AS hit FROM ("
+        "SELECT st.*, pg.ok, coalesce(pg.found, []) AS found, "
+        "row_number() OVER (PARTITION BY st.site, crawled IS NULL AND round IS NOT NULL ORDER BY round, st.url) AS rn, "
+        "count(*) FILTER (crawled IS NULL AND round IS NOT NULL) OVER (PARTITION BY st.site) AS open, "
+        "count(*) FILTER (crawled IS NULL) OVER (PARTITION BY st.site) AS todo "
+        "FROM st LEFT JOIN pg ON pg.site = st.site AND pg.url = st.url)) WHERE todo > 0) GROUP BY r, site, x.url) "
+        "SELECT site, url, crawled AS round, fetched FROM st "
+        "QUALIFY r = max(r) OVER (PARTITION BY site)")
+
+    # change log: each pair's first registration since its last deletion, with
+    # the status told after it, or the mark of a crawl after both
+    ev = (f"p AS (SELECT page_id AS i, url, {host_sql('url')} AS host, {site_sql('url')} AS pageid, "
+          "'user' || CAST(page_id % 5 AS VARCHAR) AS owner FROM pages), "
+          "gone AS (SELECT pageid, owner, max(i * 10 + 7) AS gone FROM p WHERE i % 11 = 3 GROUP BY pageid, owner), "
+          "reg AS (SELECT p.pageid, p.owner, url, i * 10 AS seq, row_number() OVER (PARTITION BY p.pageid, p.owner ORDER BY i) AS rn "
+          "FROM p LEFT JOIN gone g ON g.pageid = p.pageid AND g.owner = p.owner WHERE gone IS NULL OR i * 10 > gone), "
+          "told AS (SELECT pageid, i * 10 + 3 AS at, format('{} crawled, {} remaining, Stopped.', i, i % 13) AS status FROM p WHERE i % 4 = 1), "
+          "mark AS (SELECT pageid, i * 10 + 5 AS at FROM p WHERE i % 7 = 2), "
+          "cur AS (SELECT reg.pageid, reg.owner, reg.url, coalesce(arg_max(told.status, told.at), 'Pending') AS status, "
+          "coalesce(max(told.at), any_value(reg.seq)) AS since FROM reg LEFT JOIN told ON told.pageid = reg.pageid AND told.at > reg.seq "
+          "WHERE rn = 1 GROUP BY ALL) ")
+    parts = "string_split(cur.status, ',')"
+    q["registry_log"] = (
+        f"WITH {ev} SELECT pageid, owner, url, CASE WHEN len({parts}) >= 2 AND EXISTS (SELECT 1 FROM mark WHERE mark.pageid = cur.pageid "
+        f"AND mark.at > cur.since) THEN {parts}[1] || ', ' || {parts}[2] || ', Crawling...' ELSE cur.status END AS status FROM cur")
+    q["registry_log_keys"] = f"WITH {ev} SELECT pageid AS hash, arg_max(host, i) AS host FROM p GROUP BY pageid"
+
+    # stream: the sum of the deltas equals a rebuild over the latest versions
+    q["stream_index"] = q["doc_freq_merged"]
+    q["stream_progress"] = (
+        f"{rc} SELECT CAST(0 AS BIGINT) AS version, count(*) FILTER (html IS NOT NULL) AS fetched, "
+        "count(*) FILTER (html IS NULL) AS failed, count(*) AS total FROM fetched "
+        "UNION ALL SELECT 1, count(html), count(*) - count(html), count(*) FROM pages")
     return q
 
 

@@ -1,7 +1,6 @@
 """Explicit schemas for every table the engine reads or writes (no inference)."""
 
-from pyspark.sql.types import (IntegerType, LongType, DoubleType, MapType,
-                               StringType, StructField, StructType)
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 PAGES = StructType([
     StructField("page_id", LongType()),
@@ -60,28 +59,6 @@ FRONTIER = StructType([
     StructField("round", IntegerType()),
 ])
 
-QUERIES = StructType([
-    StructField("query_id", LongType()),
-    StructField("site", StringType()),
-    StructField("query", StringType()),
-])
-
-QUERY_TERMS = StructType([
-    StructField("query_id", LongType()),
-    StructField("site", StringType()),
-    StructField("term", StringType()),
-    StructField("qtf", LongType()),
-])
-
-RESULTS = StructType([
-    StructField("query_id", LongType()),
-    StructField("rank", IntegerType()),
-    StructField("doc_key", StringType()),
-    StructField("url", StringType()),
-    StructField("score", DoubleType()),
-    StructField("no_of_docs", LongType()),
-])
-
 SITES = StructType([
     StructField("pageid", StringType()),
     StructField("owner", StringType()),
@@ -93,5 +70,3 @@ SITE_KEYS = StructType([
     StructField("hash", StringType()),
     StructField("host", StringType()),
 ])
-
-TERM_MAP = MapType(StringType(), LongType())
