@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import frontier as fr
 from skein.plans.crawl import crawl, index_fetched
+from skein.session import scratch_path
 
 PAGES = [(1, "https://h/s", '<a href="/a">a</a><a href="/b">b</a>'),
          (2, "https://h/a", '<a href="/b">b</a><a href="/c">c</a>'),
@@ -72,3 +73,50 @@ def test_crawl_state_files(spark, tmp_path):
     fr.save_urls(got, str(tmp_path / "out"))
     back = fr.load_urls(spark, str(tmp_path / "out"), "h")
     assert sorted(r.url for r in back.collect()) == ["https://h/a", "https://h/b"]
+
+
+def test_crawl_until_no_site_has_a_frontier(spark):
+    from skein.plans.crawl import crawl_until_done
+    from skein.sources.corpus import store_corpus
+    pages = [(f"https://h/{i}", f'<a href="/{i + 1}">n</a><a href="/{i + 2}">m</a>') for i in range(7)]
+    corpus = store_corpus(spark.createDataFrame([*pages, pages[3], ("https://k/", "<p>x</p>")], "url string, html string"), buckets=4)
+    seeds = spark.createDataFrame([("h", "https://h/0"), ("k", "https://k/"), ("z", "https://z/")], "site string, url string")
+    out = crawl_until_done(spark, corpus, seeds, 2, stored=True)
+    tried = {(r.site, r.url): r.fetched for r in out["tried"].collect()}
+    assert tried == {**{("h", f"https://h/{i}"): i < 7 for i in range(9)}, ("k", "https://k/"): True, ("z", "https://z/"): False}
+    assert out["frontier"].count() == 0 and out["rounds"] == 5
+    got = {(r.site, r["round"]): (r.fetched, r.total) for r in out["status"].collect()}
+    assert got["h", 1] == (1, 1) and got["h", 2] == (2, 2) and got["z", 1] == (0, 1) and got["k", 2] == (0, 0)
+    again = crawl_until_done(spark, corpus, seeds, 2, frontier=out["frontier"], crawled=out["crawled"], stored=True)
+    assert again["rounds"] == 0 and again["fetched"].count() == 0 and again["crawled"].count() == 11
+
+
+def test_fetch_from_a_stored_corpus_moves_no_html(spark):
+    from skein.sources.corpus import open_corpus, store_corpus
+    from test_plans import plan_of
+    path = scratch_path(spark, "test-corpus")
+    rows = [(f"https://h/{i}", "x" * 50 + str(i)) for i in range(200)] + [("https://h/7", "a"), (None, "z")]
+    corpus = store_corpus(spark.createDataFrame(rows, "url string, html string"), path=path, buckets=4)
+    batch = spark.createDataFrame([("h", f"https://h/{i}", 0) for i in range(190, 210)] + [("h", "https://h/7", 0), ("h", "https://h/a.pdf", 0)],
+                                  "site string, url string, round int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for c in (corpus, open_corpus(spark, path, 4)):
+            df = fr.fetch(batch, c, stored=True)
+            plan = plan_of(df)
+            html = plan[plan.index("Scan parquet"):]
+            assert "SelectedBucketsCount: 4 out of 4" in html
+            exchanges = [x for x in plan.split("\n\n") if "Exchange" in x.split("\n")[0] and "Input" in x]
+            assert exchanges and not any("html" in x for x in exchanges)
+            got = {r.url: (r.fetched, r.html) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert len(got) == 22 and got["https://h/7"] == (True, "a") and got["https://h/209"] == (False, None)
+    assert sum(f for f, _ in got.values()) == 11
+
+
+def test_state_of_all_sites_round_trip(spark, tmp_path):
+    rows = [("s1", "https://h/a b", 0), ("s2", "https://h/c", 3), ("s1", "https://h/c", 1)]
+    fr.save_sites(spark.createDataFrame([*rows, ("s1", "https://h/c", 2)], "site string, url string, round int"), str(tmp_path / "state"))
+    assert sorted(tuple(r) for r in fr.load_sites(spark, str(tmp_path / "state")).collect()) == sorted(rows)
+    assert fr.load_sites(spark, str(tmp_path / "none")).count() == 0

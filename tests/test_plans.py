@@ -27,8 +27,8 @@ def test_search_plan_streams_postings_past_broadcast(spark):
     p = plan_of(search.search_batch(idx, catalog.benchmark_queries(spark, SF_SMALL), k=10))
     assert "WindowGroupLimit" in p                       # partial top-k before the exchange
     assert "BroadcastHashJoin" in p
-    assert "ReadSchema: struct<doc_key:string,term:string,tf:bigint>" in p   # pruned scan
-    assert "PartitionFilters: [isnotnull(site" in p     # site partition pruning
+    assert "ReadSchema: struct<site:string,doc_key:string,term:string,tf:bigint>" in p   # pruned scan
+    assert "PartitionFilters: [isnotnull(sb" in p and "dynamicpruning" in p     # folders of sites and terms
 
 
 def test_frontier_batch_uses_group_limit(spark):
