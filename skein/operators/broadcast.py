@@ -5,18 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-# A side with at most this many rows is broadcast.  The sides this engine
-# broadcasts are narrow (a few short strings and numbers per row), so one
-# million rows stays in the tens of megabytes.
+# A side is broadcast with at most this many rows and this many bytes, both
+# counted: strings by their length, other columns and each row by FIXED.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 128 << 20
+FIXED = 16
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads at most limit+1."""
-    return df.limit(limit + 1).count() <= limit
+def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (columns of single values) is within both bounds; reads
+    at most ``max_rows`` + 1 rows."""
+    size = F.lit(FIXED * (len(df.columns) + 1))
+    for f in df.schema:
+        if isinstance(f.dataType, StringType | BinaryType):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is within ``max_rows``, else ``df``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    """``broadcast(df)`` when it is within the bounds, else ``df``."""
+    return F.broadcast(df) if fits(df, max_rows) else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.broadcast import MAX_BROADCAST_ROWS, row_count_at_most
+from skein.operators.broadcast import MAX_BROADCAST_ROWS, fits
 from skein.operators.search import search_batch, shared, with_folders
 
 # The two instruction texts that open a prompt.
@@ -42,7 +42,7 @@ def rag_prompts(index: dict, queries: DataFrame, instruction: str = PROMPT_WEB,
     of the index's docs, and there is one a query: where the queries are few
     enough the pages found are broadcast, and no text but theirs is moved."""
     best = with_folders(index, best_pages(index, queries, irregular), term=False)
-    if row_count_at_most(queries, MAX_BROADCAST_ROWS):
+    if fits(queries, MAX_BROADCAST_ROWS):
         best = F.broadcast(best)
     docs = index["docs"].drop("url")
     ctx = docs.join(best, shared(docs, best, "site", "doc_key"))

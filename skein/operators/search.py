@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from skein.functions.urls import site_hash, unquote
 from skein.operators.analyze import query_terms
 from skein.operators.broadcast import (MAX_BROADCAST_ROWS, broadcast_if_small,
-                                       row_count_at_most)
+                                       fits)
 from skein.operators.registry import is_indexed
 from skein.session import materialize
 from skein.sources.index_store import FIRST_KEYS, first_keys, site_bucket, with_buckets
@@ -66,7 +66,7 @@ def term_weights(doc_freq: DataFrame, doc_count: DataFrame, qterms: DataFrame,
     """(site, term, df, n, weight = n / coalesce(df, n)) for the terms
     the queries use.  ``small``: the query terms are known to be broadcastable."""
     if small is None:
-        small = row_count_at_most(qterms, MAX_BROADCAST_ROWS)
+        small = fits(qterms, MAX_BROADCAST_ROWS)
     keys = qterms.select(*shared(doc_freq, qterms, "site", "term")).distinct()
     keys = F.broadcast(keys) if small else keys
     on = shared(doc_freq, keys, "site", "term")
@@ -116,7 +116,7 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
     qt = query_side(index, with_folders(index, qterms if qterms is not None else query_terms(queries, irregular)))
     # the query side is bounded by the query table: size-check it there, not
     # after joining the index statistics (which would run the index build)
-    small = row_count_at_most(qt, max_broadcast_rows)
+    small = fits(qt, max_broadcast_rows)
     qw = query_side(index, weighted_terms(index, qt, small))
     if small:
         post = index["postings"]

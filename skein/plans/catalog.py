@@ -34,12 +34,18 @@ BATCH_N = 5                # URLs per site per round in the frontier keys
 
 
 # ---- shared inputs ---------------------------------------------------------
+def by_page(docs: DataFrame) -> DataFrame:
+    """Docs dealt by page, at every size: the tables are one row group each,
+    and counting the terms of a page then needs no exchange of its own."""
+    return docs.repartition("site", "doc_key")
+
+
 def docs_by_source(spark, sf_dir) -> DataFrame:
-    return ix.docs_from_documents(tables.documents(spark, sf_dir))
+    return by_page(ix.docs_from_documents(tables.documents(spark, sf_dir)))
 
 
 def docs_one_site(spark, sf_dir) -> DataFrame:
-    return ix.docs_from_documents(tables.documents(spark, sf_dir), site=ALL_SITE)
+    return by_page(ix.docs_from_documents(tables.documents(spark, sf_dir), site=ALL_SITE))
 
 
 def conversation_queries(spark, sf_dir) -> DataFrame:
