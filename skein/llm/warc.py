@@ -193,8 +193,10 @@ class Window:
         return head
 
     def take(self, n: int) -> bytes:
-        while len(self.buf) - self.at < n:
-            if not self.fill():
+        missing = n - (len(self.buf) - self.at)
+        if missing > 0:         # read in one call: a long block is not copied piece by piece
+            self.buf, self.at = self.buf[self.at:] + self.raw.read(missing), 0
+            if len(self.buf) < n:
                 raise ValueError("the archive ends within a record")
         return self.buf[self.at:self.at + n]
 
@@ -259,7 +261,8 @@ def archive(pages: DataFrame) -> DataFrame:
     id.  Rows that repeat a page_id with the same payload are the same record,
     written as often as there are rows, and count as one page: where it is the
     largest of its payload, all of them are responses.  Other columns are not
-    archived.  An empty table gives no archive and no rows.
+    archived.  An empty table gives no archive and no rows.  A very long
+    payload is read in one piece, in time linear in its length.
     """
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path)
