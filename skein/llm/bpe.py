@@ -77,6 +77,13 @@ class Vocabulary:
         self._words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
         self._path = path
 
+    @functools.cached_property
+    def by_rank(self) -> list[tuple[int, int, int]]:
+        """(left, right, made) of each rank."""
+        order = np.argsort(self.rank)
+        keys = self.keys[order]
+        return list(zip((keys // self.size).tolist(), (keys % self.size).tolist(), self.made[order].tolist()))
+
     @functools.cached_property
     def _library(self):
         from tokenizers import Tokenizer
