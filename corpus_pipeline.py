@@ -34,10 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, n_decoded): the ids of every document, and the
     length of what they decode to."""
-    path = bpe_codec.bpe.default_path()
-    e = bpe_codec.encode(docs, path).select(F.col(f"{common.ROW}.doc_id").alias("doc_id"), "ids")
-    return e.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                    F.length(bpe_codec.decode_column(F.col("ids"), path)).cast("long").alias("n_decoded"))
+    e = bpe_codec.encode_and_decode(docs)
+    return e.select(f"{common.ROW}.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "n_decoded")
 
 
 STAGES = [
