@@ -7,8 +7,9 @@ whole unlabelled pool.  Both are calibrated on a held-out fold of the labelled
 documents (Platt's logistic map of the margin), and the calibrated log-odds
 are added for the score of every document.
 
-Features and models are those of pyspark.ml: they are fitted by distributed
-gradients over stored feature rows and applied within the JVM.
+Features and models are those of pyspark.ml: texts are read once, for feature
+rows that are stored; models are fitted to those by distributed gradients and
+applied to them within the JVM.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ MAX_LABELLED = 20_000     # labelled documents a fit uses at most, about
 HOLDOUT = 5               # one in so many labelled documents calibrates
 TEXT_FEATURES = 1 << 14
 META_FEATURES = 1 << 8
+ITERATIONS = 25           # of one fit at most
 LIMIT = 0.5
 
 
@@ -70,7 +72,7 @@ def features(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _fit(rows: DataFrame, view: str):
-    lr = LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", regParam=0.003, maxIter=25,
+    lr = LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", regParam=0.003, maxIter=ITERATIONS,
                             standardization=False, probabilityCol="p", rawPredictionCol="m", predictionCol="c")
     return lr.fit(rows)
 
@@ -99,39 +101,55 @@ class CoTrained:
 
 
 def _calibrate(rows: DataFrame, view: str, model) -> tuple[float, float]:
-    """Platt's map, fitted to the margins of the held-out fold."""
+    """Platt's map, fitted to the margins of the held-out fold; the margins as
+    they are where the fold does not hold both classes."""
     m = margin(model, rows, view, "z").select("y", "w", F.array("z").alias("z"))
+    if m.select("y").distinct().count() < 2:
+        return 1.0, 0.0
     from pyspark.ml.functions import array_to_vector
     fit = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", regParam=0.001).fit(
         m.select("y", "w", array_to_vector("z").alias("v")))
     return float(fit.coefficients[0]), float(fit.intercept)
 
 
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS,
-             max_labelled: int = MAX_LABELLED) -> CoTrained:
-    """Fit on ``labels`` (doc_id, y in 0/1) and ``docs`` (doc_id, text, lang,
-    source).
+class OneClass(ValueError):
+    """There are no labelled documents of both classes to learn from."""
 
-    At most about ``max_labelled`` labelled documents take part, picked by a
-    hash of doc_id; they weigh as much as all labelled ones, so that their
-    balance with the pool does not depend on the size of the table.  The pool
-    is every document without a label: all are scored in each round, and every
-    sure pseudo-label is handed over.  Labels that are null or contradict each
-    other, and ids that are null, are left out.  With labels of one class only
-    there is nothing to tell apart: ValueError.
-    """
+
+def labelled_sample(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, float]:
+    """(doc_id, y) of about ``max_labelled`` labels at most, picked by a hash
+    of doc_id, and their share of all.  Labels that are null or contradict
+    each other, and ids that are null, are left out."""
     lab = (labels.where("doc_id is not null and y is not null").groupBy("doc_id")
            .agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("double")))
+    lab = common.store(lab, "co-labels")
     share = min(1.0, max_labelled / max(lab.count(), 1))
-    some = docs.where("doc_id is not null").join(lab, "doc_id", "left")
-    some = some.where(F.col("y").isNull() | (pick(F.col("doc_id"), 1 << 20) < F.lit(int(share * (1 << 20)))))
-    feats = common.store(features(some, ["doc_id", "y"]), "co-features")
+    return lab.where(pick(F.col("doc_id"), 1 << 20) < F.lit(int(share * (1 << 20)))), share
+
+
+def feature_rows(docs: DataFrame, lab: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, doc_id, y, text_view, meta_view) of every row of ``docs``,
+    stored.  The labels, a bounded sample, go to the rows: no text is moved."""
+    feats = features(docs, [*keys, "doc_id"]).join(F.broadcast(lab), "doc_id", "left")
+    return common.store(feats.select(*keys, "doc_id", "y", "text_view", "meta_view"), "co-features")
+
+
+def co_train(feats: DataFrame, share: float = 1.0, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on stored ``feature_rows``.
+
+    The labelled rows weigh as much as all labelled documents, of which they
+    are ``share``, so that their balance with the pool does not depend on the
+    size of the table.  The pool is every other document with a doc_id: all
+    are scored in each round, and every sure pseudo-label is handed over.
+    Without labels of both classes there is nothing to tell apart: OneClass.
+    """
+    feats = feats.where("doc_id is not null")
     labelled = F.col("y").isNotNull()
     held = labelled & (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(HOLDOUT)) == 0)
     train = feats.where(labelled & ~held)
-    tally = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}      # two rows
-    if len(tally) < 2:
-        raise ValueError("labels of both classes are needed")
+    tally = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}      # a row a class
+    if set(tally) != {0.0, 1.0}:
+        raise OneClass("labels of both classes are needed")
     weigh = lambda df, of=F.lit(1.0): df.withColumn("w", of * F.when(F.col("y") == 1, 0.5 / tally[1.0]).otherwise(0.5 / tally[0.0]) * sum(tally.values()))
     sure = F.lit(SURE / (1 - SURE))
     models = {v: _fit(weigh(train), v) for v in ("text_view", "meta_view")}
@@ -148,11 +166,25 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS,
     return CoTrained(models["text_view"], models["meta_view"], cal)
 
 
-def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, carry: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, carry: list[str] | None = None,
+             max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(__row, text_score, meta_score, score, kept) for every row of ``docs``;
-    ``labels`` are (doc_id, quality).  A null or empty text is scored by its
-    metadata and an empty text view; repeated rows score alike."""
-    model = co_train(docs.select("doc_id", "text", "lang", "source"), labels.select("doc_id", F.col("quality").alias("y")))
-    every = docs.select(common.pack(docs.select(carry or docs.columns)), "text", "lang", "source")
-    return (model.score(features(every, [common.ROW])).withColumn("kept", F.col("score") >= limit)
-            .select(common.ROW, "text_score", "meta_score", "score", "kept"))
+    ``labels`` are (doc_id, quality), of which about ``max_labelled`` at most
+    are used.
+
+    A null or empty text is scored by its metadata and an empty text view; a
+    row without doc_id is scored, too, but not learnt from.  Repeated rows
+    score alike, and a score that equals ``limit`` is kept.  Very long texts
+    are read whole.  Without labelled documents of both classes (an empty
+    table of labels, say) all scores are null and all rows kept; an empty
+    table of documents gives no rows.
+    """
+    lab, share = labelled_sample(labels.select("doc_id", F.col("quality").alias("y")), max_labelled)
+    every = docs.select(common.pack(docs.select(carry or docs.columns)), "doc_id", "text", "lang", "source")
+    feats = feature_rows(every, lab, [common.ROW])
+    try:
+        out = co_train(feats, share).score(feats).withColumn("kept", F.col("score") >= limit)
+    except OneClass:
+        none = F.lit(None).cast("double")
+        out = feats.withColumns({"text_score": none, "meta_score": none, "score": none, "kept": F.lit(True)})
+    return out.select(common.ROW, "text_score", "meta_score", "score", "kept")
