@@ -78,6 +78,14 @@ def text_key(text: Column) -> Column:
     return F.md5(common.utf8(text))
 
 
+def runs(at: Column) -> Column:
+    """The runs (s, e) of neighbouring numbers in a sorted column ``at``: each
+    number is looked at beside the one before and the one after."""
+    first = F.filter(at, lambda p, i: (i == 0) | (F.get(at, i - 1) < p - 1))
+    last = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) > p + 1))
+    return F.zip_with(first, last, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N,
                   carry: list[str] | None = None) -> DataFrame:
     """(__row, n_words, n_hit, items, spans, contaminated) for every row;
@@ -86,23 +94,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N,
     Rows with the same text share one verdict (the key is the text's MD5), so
     null or repeated ids do no harm.  Null, empty and wordless texts have no
     words and no hits.  ``spans`` are the merged hit runs as (first word, after
-    last).  An empty benchmark or table gives no hits.
+    last).  An empty benchmark or table gives no hits.  Very long texts, and
+    texts with very many hits, take time in proportion.
     """
     keyed = docs.select("text", text_key(F.col("text")).alias("key"))
     found = hits(keyed, benchmark, ["key"], n)
-    # per text: positions covered, as distinct window starts (bounded by the text) and items
+    # per text: the words covered (bounded by the text), in order, and the items
+    covered = F.flatten(F.transform(F.collect_set(F.struct("w0", "len")),
+                                    lambda x: F.sequence(x["w0"], x["w0"] + x["len"] - 1)))
     per = found.groupBy("key").agg(
-        F.collect_set(F.struct("w0", "len")).alias("at"),
+        F.array_sort(F.array_distinct(covered)).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    runs = F.aggregate(
-        F.array_sort("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["w0"] <= F.element_at(acc, -1)["e"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["s"].alias("s"),
-                F.greatest(F.element_at(acc, -1)["e"], x["w0"] + x["len"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["w0"].alias("s"), (x["w0"] + x["len"]).alias("e"))))))
-    per = common.store(per.select("key", "items", runs.alias("spans")), "decontam-hits")
+    per = common.store(per, "decontam-hits").select("key", "items", runs(F.col("at")).alias("spans"))
     rows = docs.select(common.pack(docs.select(carry or docs.columns)), text_key(F.col("text")).alias("key"),
                        F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(per, "key", "left")
@@ -113,15 +116,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N,
                       F.coalesce("items", none).alias("items"), "spans", (n_hit > 0).alias("contaminated"))
 
 
-def remove_spans(text: Column, spans: Column) -> Column:
-    """``text`` without the words of ``spans`` and what stands between them."""
+def with_spans_removed(df: DataFrame, text: Column, spans: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``text`` without the words of ``spans`` and what
+    stands between them.  Pieces to leave out are a set of numbers, so the
+    time is linear in the text."""
     pieces = F.regexp_extract_all(text, F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     lead = F.when(text.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
     # word k is piece 2k + lead; a run of words s..e-1 takes the pieces 2s+lead .. 2(e-1)+lead
-    keep = F.filter(pieces, lambda _, i: ~F.exists(
-        spans, lambda x: (i >= x["s"] * 2 + lead) & (i <= (x["e"] - 1) * 2 + lead)))
-    return F.when(F.size(F.coalesce(spans, F.expr("cast(array() as array<struct<s:int,e:int>>)"))) > 0,
-                  F.array_join(keep, "")).otherwise(text)
+    gone = F.flatten(F.transform(spans, lambda x: F.sequence(x["s"] * 2, (x["e"] - 1) * 2)))
+    # only hit texts are cut up; their pieces stand in a column of their own
+    hit = F.size(F.coalesce(spans, F.expr("cast(array() as array<struct<s:int,e:int>>)"))) > 0
+    cut = df.withColumns({"__pieces": F.when(hit, pieces), "__gone": F.when(hit, F.transform(gone, lambda i: i + lead))})
+    left = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), "__gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__pieces"), i)), "")
+    return cut.withColumn(name, F.when(F.col("__pieces").isNotNull(), kept).otherwise(text)).drop("__pieces", "__gone")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N) -> DataFrame:
@@ -132,5 +140,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return common.unpack(c.where(~F.col("contaminated")).select(common.ROW))
     if remove != "spans":
         raise ValueError(remove)
-    text = remove_spans(F.col(f"{common.ROW}.text"), F.col("spans"))
-    return common.unpack(c.select(F.col(common.ROW).withField("text", text).alias(common.ROW)))
+    c = with_spans_removed(c, F.col(f"{common.ROW}.text"), "spans", "__rest")
+    return common.unpack(c.select(F.col(common.ROW).withField("text", F.col("__rest")).alias(common.ROW)))
