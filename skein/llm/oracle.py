@@ -63,15 +63,17 @@ _FITS = " UNION ALL ".join(
     for r, v in url_filter.RULES for h, p in [url_filter.split_rule(r)])
 
 OP2 = rf"""
-WITH c AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-u AS (SELECT page_id,
+WITH c AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+u AS (SELECT page_id, html,
              coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM c),
 f AS ({_FITS}),
-r AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY 1)
-SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '{url_filter.SPAM_HOST}') THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN r USING (page_id)
+r AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY 1),
+l AS (SELECT DISTINCT host AS h, path AS p FROM u WHERE host <> ''
+      AND len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{WORDS}')) < {url_filter.LEAST_WORDS})
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '{url_filter.SPAM_HOST}') OR l.h IS NOT NULL
+                                                     THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN r USING (page_id) LEFT JOIN l ON l.h = u.host AND l.p = u.path
 """
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -19,8 +19,9 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
-    p = common.table(spark, sf_dir, "pages").select("page_id", "url")
-    out = url_filter.filter_urls(p, blocked_hosts=url_filter.spam_hosts(p))
+    p = common.table(spark, sf_dir, "pages")
+    out = url_filter.filter_urls(p.select("page_id", "url"), blocked_hosts=url_filter.spam_hosts(p),
+                                 blocked_pages=url_filter.thin_pages(p))
     return out.select(f"{common.ROW}.page_id", "host", "path", "rule", "verdict")
 
 

@@ -26,6 +26,7 @@ from skein.llm import common
 FIRST_BITS = 12          # bits a key at level 1: few of the universe pass
 LATER_BITS = 3           # bits a key at the later, small levels
 MAX_BITS = 1 << 28       # 32 MB a level: the proven bound of what is sent
+LEAST_WORDS = 100        # of a page that is not thin
 RULES = (("net/", "block"), ("example.net/en/", "allow"),
          ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -55,8 +56,6 @@ def build_level(keys: DataFrame, n: int, bits_per_key: int, seed: int) -> Level:
     """A filter of the ``n`` distinct ``keys`` (key)."""
     spark = keys.sparkSession
     bits = max(64, math.ceil(n * bits_per_key / 64) * 64)
-    if bits > MAX_BITS:
-        raise OverflowError(f"{n} keys need {bits} bits, over {MAX_BITS}")
     level = Level(None, bits, max(1, round(bits_per_key * math.log(2))), seed)
     pos = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
     set_words = pos.groupBy(F.call_function("shiftright", "p", F.lit(6)).alias("i")).agg(
@@ -73,8 +72,8 @@ def build_level(keys: DataFrame, n: int, bits_per_key: int, seed: int) -> Level:
 class Cascade:
     """Exact membership in ``listed`` (key) for every key of ``universe``
     (key): null keys belong to neither, repeated keys count once, listed keys
-    outside the universe cost space only.  A list whose first level would pass
-    MAX_BITS is kept as a table instead, and ``annotate`` then joins it."""
+    outside the universe cost space only.  A list of which some level would
+    pass MAX_BITS is kept as a table instead, and ``annotate`` then joins it."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, name: str = "cascade"):
         self.levels: list[Level] = []
@@ -90,6 +89,9 @@ class Cascade:
             self.levels[0].passes(F.col("key"))).distinct()
         inside, outside = self.listed, common.store(passed.join(self.listed, "key", "left_anti"), name)
         while n := outside.count():
+            if n * LATER_BITS > MAX_BITS:
+                self.as_table, self.levels = True, []
+                return
             self.levels.append(build_level(outside, n, LATER_BITS, len(self.levels)))
             inside, outside = outside, common.store(
                 inside.where(self.levels[-1].passes(F.col("key"))), name)
@@ -138,37 +140,44 @@ def candidates(host: Column, path: Column, rules) -> list[Column]:
     return out
 
 
-def filter_urls(pages: DataFrame, rules=RULES, blocked_hosts: DataFrame | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, blocked_hosts: DataFrame | None = None,
+                blocked_pages: DataFrame | None = None) -> DataFrame:
     """(__row, host, path, rule, verdict) for every row of ``pages`` (url and
     any other columns).
 
     ``rules`` are (host and path prefix, allow or block); the longest that fits
     the host or a parent of it decides.  Without a rule, a url whose host is in
-    ``blocked_hosts`` (host) is blocked, any other allowed.  Null urls and urls
-    without ``://`` have an empty host and path and are allowed; repeated rows
-    are judged alike; an empty table gives an empty result.  The rule list is a
-    short parameter; listed hosts may be many.
+    ``blocked_hosts`` (host), or whose host and path are in ``blocked_pages``
+    (host, path), is blocked, any other allowed.  Null urls and urls without
+    ``://`` have an empty host and path and are allowed, whatever is listed;
+    very long urls are keys like others; repeated rows are judged alike; an
+    empty table gives an empty result.  The rule list is a short parameter;
+    listed hosts and pages may be many.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     one = pages.select(common.pack(pages), host.alias("host"), path.alias("path"))
     cand = candidates(F.col("host"), F.col("path"), rules)
     host_key = F.concat(F.lit("host "), F.col("host"))      # rule keys hold a slash, and no space at 5
+    page_key = F.when(F.col("host") != "", F.concat(F.lit("page "), F.col("host"), F.lit(" "), F.col("path")))
     # the complete universe: all keys that any url of the corpus will look up
-    keys = one.select("host", "path").distinct().select(F.explode(F.array(*cand, host_key)).alias("key"))
+    keys = one.select("host", "path").distinct().select(F.explode(F.array(*cand, host_key, page_key)).alias("key"))
     universe = common.store(keys.where("key is not null").distinct(), "url-universe")
     lists = {v: spark.range(1).select(F.explode(F.lit([r for r, x in rules if x == v]).cast("array<string>")).alias("key"))
              for v in ("block", "allow")}
     if blocked_hosts is not None:
         lists["block"] = lists["block"].union(blocked_hosts.select(F.concat(F.lit("host "), F.col("host"))))
+    if blocked_pages is not None:
+        lists["block"] = lists["block"].union(blocked_pages.select(page_key))
     block, allow = (Cascade(lists[v], universe, f"url-{v}") for v in ("block", "allow"))
     out = one
     for i, c in enumerate(cand):
         out = out.withColumn(f"__c{i}", c)
         out = block.annotate(out, F.col(f"__c{i}"), f"__b{i}")
         out = allow.annotate(out, F.col(f"__c{i}"), f"__a{i}")
-    out = block.annotate(out, host_key, "__host")
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("__host"), "block").otherwise("allow")
+    out = block.annotate(block.annotate(out, host_key, "__host"), page_key, "__page")
+    listed = F.col("__host") | F.col("__page")
+    rule, verdict = F.lit(None).cast("string"), F.when(listed, "block").otherwise("allow")
     for i in reversed(range(len(cand))):
         rule = F.when(F.col(f"__b{i}") | F.col(f"__a{i}"), F.col(f"__c{i}")).otherwise(rule)
         verdict = F.when(F.col(f"__b{i}"), "block").when(F.col(f"__a{i}"), "allow").otherwise(verdict)
@@ -183,3 +192,13 @@ def spam_hosts(pages: DataFrame) -> DataFrame:
     blocks.  Any other list of hosts can take its place."""
     host, _ = url_parts(F.col("url"))
     return pages.select(host.alias("host")).where(F.col("host").rlike(SPAM_HOST)).distinct()
+
+
+def thin_pages(pages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(host, path) of pages whose html holds fewer than ``least`` words
+    outside its tags: a list that grows with the corpus.  A null html says
+    nothing about its page."""
+    host, path = url_parts(F.col("url"))
+    text = F.regexp_replace("html", r"<[^>]*>", " ")
+    words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return pages.where("html is not null").where(words < least).select(host.alias("host"), path.alias("path")).distinct()
