@@ -14,16 +14,22 @@ from skein.session import scratch_path
 ROW = "__row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = 16 << 20
+SMALL_BATCH = 4 << 20         # of jobs that keep much beside a batch
+#: Allocator settings of the Python workers.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """For jobs that run Python: bound the Arrow batches by bytes, so that very
-    long texts do not pile up in one (each holds one row at least), and tell
-    the workers where this package lies."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    long texts do not pile up in one (each holds one row at least), tell the
+    workers where this package lies, and let them give freed memory back: a
+    worker outlives its tasks, and what one job took is missing to the next."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +93,7 @@ def left_join(rows: DataFrame, side: DataFrame, on: str, share: int = 512, salts
     return left.join(right, [on, "__salt"], "left").drop("__salt")
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b), as rows
     (node, component) with the smallest node reachable.
 
@@ -95,13 +101,15 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     node seen, so that the paths shorten geometrically.  Every step is a
     grouped minimum (combined before the shuffle, so a node with millions of
     neighbours is no single task) and a join on the node; each round is
-    written to the shared folder.  Ends when a round changes nothing.
+    written to the shared folder.  Ends when a round changes nothing; until
+    then every round hangs some node on a smaller one, so the rounds end (in a
+    number that grows as the logarithm of the nodes).
     """
     spark = edges.sparkSession
     cur = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"),
                                              F.least("a", "b").alias("v")).distinct(), f"{name}-cc")
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u")
@@ -117,6 +125,4 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -32,6 +32,8 @@ is the exact set of components of the link graph.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,11 +48,11 @@ COMMON = 50_000                   # shingles that can be called common
 SEEN = 3                          # documents of the sample that hold a common shingle
 SMALL = 64                        # points of a region whose pairs are compared at once
 MAX_BROADCAST = 1_000_000         # ids that are sent to the tasks that read texts
-MAX_CACHE = 400_000               # words a worker remembers
+MAX_TEXTS = 16 << 20              # bytes of texts that are sent to the tasks that hold the other side
+MAX_CACHE = 100_000               # words a worker remembers
 MAX_SETS = 1 << 21                # shingles of sets a worker remembers
 LEAST_BITS = 64                   # of a set's bitmap; larger ones have a power of two
 BUCKET = 4096                     # rows of small regions that a task looks at together, about
-ROUNDS = 40
 WINDOW = 2                        # a window of sizes is this many steps of the similarity wide
 LENGTH_BITS = 6                   # of a shingle's hash, for the length of its words
 LENGTHS = 1 << LENGTH_BITS
@@ -136,8 +138,7 @@ SIGNATURE = "struct<n:bigint,a:bigint,b:bigint,first:array<bigint>,bits:binary>"
 
 def signature_column(text: Column, n: int, percent: int, common_shingles: np.ndarray) -> Column:
     """Set size, 128-bit digest of the set, its first shingles, its bitmap."""
-    @F.arrow_udf(SIGNATURE)
-    def udf(texts: pa.Array) -> pa.Array:
+    def signatures(texts: pa.Array) -> pa.Array:
         size, a, b, first, bits, cut = [], [], [], [], [], [0]
         for t in texts:
             s = shingles(t.as_buffer().to_pybytes(), n)
@@ -154,6 +155,11 @@ def signature_column(text: Column, n: int, percent: int, common_shingles: np.nda
             [pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
              pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)), pa.array(bits, pa.binary())],
             names=["n", "a", "b", "first", "bits"])
+
+    @F.arrow_udf(SIGNATURE)
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(signatures, batches)
+        _words.clear()          # the worker outlives the task
     return udf(common.utf8(text))
 
 
@@ -200,26 +206,35 @@ class _Sets(dict):
         if s is None:
             s = shingles(text, n)
             if self.held + len(s) > MAX_SETS:
-                self.clear()
-                self.held = 0
+                self.drop()
             self.held += len(s)
             self[n, text] = s
         return s
 
+    def drop(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 _sets = _Sets()
 
 
 def overlap_column(x: Column, y: Column, n: int) -> Column:
     """The exact overlap of the sets of two texts, and both sizes."""
-    @F.arrow_udf("struct<inter:bigint,nx:bigint,ny:bigint>")
-    def udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for p, q in zip(a, b):
             s, t = shingles(p.as_buffer().to_pybytes(), n), _sets.of(q.as_buffer().to_pybytes(), n)
             out.append((len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
         return pa.StructArray.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)],
                                           names=["inter", "nx", "ny"])
+
+    @F.arrow_udf("struct<inter:bigint,nx:bigint,ny:bigint>")
+    def udf(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield overlaps(a, b)
+        _words.clear()          # the worker outlives the task
+        _sets.drop()
     return udf(common.utf8(x), common.utf8(y))
 
 
@@ -261,7 +276,8 @@ class Links:
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """(x, y, inter, nx, ny) of the stored ``pairs``: the texts of x are
         sent to those of y, once a pair (texts compress, sets of hashes do
-        not)."""
+        not); where all texts of y take MAX_TEXTS bytes or fewer, those are
+        sent to every task instead."""
         ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
         ids, few = common.store(ids, "jaccard-need"), pairs.count() <= MAX_BROADCAST
         small = lambda df: F.broadcast(df) if few else df
@@ -269,7 +285,10 @@ class Links:
         own = common.store(own, "jaccard-texts")
         x = own.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")).join(small(pairs), "x")
         y = own.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-        y = y.join(small(pairs.select("y").distinct()), "y", "left_semi")
+        y = common.store(y.join(small(pairs.select("y").distinct()), "y", "left_semi"), "jaccard-other")
+        # pivots are few: their texts go to the points, whose own are not moved
+        if (y.agg(F.sum(F.octet_length("ty") + 32)).first()[0] or 0) <= MAX_TEXTS:
+            y = F.broadcast(y)
         return x.join(y, "y").select("x", "y", overlap_column(F.col("tx"), F.col("ty"), self.n).alias("o")).select("x", "y", "o.*")
 
     def verify(self, pairs: DataFrame) -> None:
@@ -425,7 +444,7 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     that share a doc_id and differ in text are joined through it.
     """
     spark = docs.sparkSession
-    common.prepare(spark)
+    common.prepare(spark, common.SMALL_BATCH)
     docs = docs.select("doc_id", "text")
     order = common_shingles(docs, n)
     sigs = docs.select("doc_id", signature_column(F.col("text"), n, percent, order).alias("g")).select("doc_id", "g.*")
@@ -453,10 +472,11 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     links.verify(first)
     links.verify(links.open(star.join(first, ["x", "y"], "left_anti")))
 
-    # further rounds: regions of several components, without their pivot
+    # further rounds: regions of several components, without their pivot; those
+    # that go on have at most 3/4 of their parent's points, so the rounds end
     members = members.join(pivots.select("region", F.col("y").alias("x")), ["region", "x"], "left_anti").select(
         "region", "x", "n", "pos", "weight")
-    for _ in range(ROUNDS):
+    while True:
         live = common.store(unsettled(members, links), "jaccard-open")
         if live.isEmpty():
             break
@@ -478,8 +498,6 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
         down = shape.where("shrunk").select(F.col("region").alias("parent"))
         members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", F.lit(0).cast("long").alias("pos"), "weight"),
                                "jaccard-next")
-    else:
-        raise RuntimeError("regions did not settle")
     out = sigs.select("doc_id", "a", "b", F.col("n").alias("n_shingles"))
     out = out.join(points.select("a", "b", "x"), ["a", "b"], "left")
     out = links.label(out, "x", "component")
