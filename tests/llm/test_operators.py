@@ -69,12 +69,19 @@ def brute_url(u):
 
 
 def test_urls_brute(spark):
-    data = URLS + URLS[5:8]
-    p = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(data)], "page_id bigint, url string, host string, verdict string")
-    out = url_filter.filter_urls(p, blocked_hosts=url_filter.spam_hosts(p))
-    assert got(out, f"{ROW}.page_id", "host", "path", "rule", "verdict") == sorted(
-        [(i, *brute_url(u)) for i, u in enumerate(data)], key=repr)
-    assert url_filter.filter_urls(p.limit(0)).count() == 0
+    html = [None, "<p>a few words</p>", "<p>" + "many words " * 60, "<a " + "x " * 200 + ">none</a>"]
+    data = [(i, u, "x", "y", html[i % 4]) for i, u in enumerate(URLS + URLS[5:8] + ["http://q.org/" + "p" * 9000] * 2)]
+    data += [(None, "http://n.org/", "x", "y", html[1]), data[5], (50, "http://z.org/x?y", "x", "y", html[1]), (51, "http://z.org/x#y", "x", "y", None)]
+    p = spark.createDataFrame(data, "page_id bigint, url string, host string, verdict string, html string")
+    out = url_filter.filter_urls(p, blocked_hosts=url_filter.spam_hosts(p), blocked_pages=url_filter.thin_pages(p))
+    thin = {brute_url(d[1])[:2] for d in data if d[4] in (html[1], html[3])}
+    want = []
+    for i, u, *_ in data:
+        host, path, rule, verdict = brute_url(u)
+        want.append((i, host, path, rule, "block" if rule is None and host and (host, path) in thin else verdict))
+    assert got(out, f"{ROW}.page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
+    assert sum(w[4] == "block" and w[3] is None for w in want) > 3
+    assert url_filter.filter_urls(p.limit(0)).count() == 0 and url_filter.thin_pages(p.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("listed,universe", [(300, 20000), (1, 50), (0, 10)])
@@ -87,9 +94,12 @@ def test_cascade_is_exact(spark, monkeypatch, listed, universe):
     assert out == {f"k{i * 7}" for i in range(listed) if i * 7 < universe}
 
 
-def test_cascade_beyond_its_bound_joins(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
-    u = spark.range(100).select(F.col("id").cast("string").alias("key"))
+@pytest.mark.parametrize("most,first", [(64, 12), (400, 4)])       # the first level, a later one
+def test_cascade_beyond_its_bound_joins(spark, monkeypatch, most, first):
+    monkeypatch.setattr(url_filter, "MAX_BITS", most)
+    monkeypatch.setattr(url_filter, "FIRST_BITS", first)
+    monkeypatch.setattr(url_filter, "LATER_BITS", 12)
+    u = spark.range(400).select(F.col("id").cast("string").alias("key"))
     c = url_filter.Cascade(u.where("key < '5'"), u)
     assert c.as_table
     assert c.annotate(u, F.col("key"), "in").where(F.col("in") != (F.col("key") < "5")).count() == 0
@@ -169,6 +179,18 @@ def test_decontamination_cuts_spans(spark):
     assert got(out, "doc_id", "text") == [(1, "Say: ! and more one two"), (2, ""), (3, None)]
 
 
+def test_decontamination_of_a_long_text_with_many_runs(spark):
+    import time
+    b = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    data = [(1, "! ".join(["one two three", "other words here"] * 16000), "en", "s", 1)]
+    start = time.monotonic()
+    out = decontam.decontaminate(docs(spark, data=data), b, remove="spans").first()
+    assert out["text"] == "! other words here! " * 15999 + "! other words here"
+    assert time.monotonic() - start < 60
+    c = decontam.contamination(docs(spark, data=data), b).select("n_words", "n_hit", F.size("spans")).first()
+    assert tuple(c) == (96000, 48000, 16000)
+
+
 # ---- 5 ------------------------------------------------------------------------
 @pytest.mark.parametrize("sites", [2, 4])
 def test_line_dedup_brute(spark, sites):
@@ -205,13 +227,91 @@ def test_classifier_learns_from_the_whole_pool(spark):
         F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 1, "a").otherwise("b").alias("source"))
     lab = spark.range(0, n, 10).select(F.col("id").alias("doc_id"), F.lit(0).alias("y")).union(
         spark.range(1, n, 10).select("id", F.lit(1)))
-    m = classifier.co_train(d, lab.where("doc_id % 750 <> 7"), rounds=1)
+    some, share = classifier.labelled_sample(lab.where("doc_id % 750 <> 7"), classifier.MAX_LABELLED)
+    m = classifier.co_train(classifier.feature_rows(d, some, []), share, rounds=1)
     tf = classifier.HashingTF(numFeatures=classifier.TEXT_FEATURES)
     usual = {tf.indexOf(w) for w in ("good", "fine", "bad", "poor", "plain")}
     at = {tf.indexOf(f"rare{i}") for i in range(7, n, 750)} - usual
     assert len(at) > 30 and all(m.text.coefficients[i] != 0 for i in at)
 
 
+def newton(x, y, w, reg):
+    """L2-penalised logistic regression with a free intercept, by Newton steps."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    r = np.diag([reg] * x.shape[1] + [0.0])
+    b = np.zeros(a.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-a @ b))
+        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a / w.sum() + r, a.T @ (w * (p - y)) / w.sum() + r @ b)
+        b -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return b
+
+
+def test_classifier_brute(spark, monkeypatch):
+    """Co-training on a small table against the same rounds in numpy."""
+    monkeypatch.setattr(classifier, "ITERATIONS", 500)         # fits that settle can be compared
+    import random
+    r = random.Random(12)
+    good, bad, any_ = ["fine", "clear", "useful", "solid"], ["spam", "junk", "buy", "now"], [f"w{i}" for i in range(12)]
+    data = []
+    for i in range(240):
+        kind = i % 2 if i % 9 else r.randrange(2)
+        text = " ".join(r.choices(any_, k=r.randrange(3, 14)) + r.choices(good if kind else bad, k=r.randrange(0, 3)))
+        data.append((i, text, ["en", "de"][r.randrange(2)], f"s{r.randrange(2) + 2 * kind}", len(text)))
+    labels = [(i, int(data[i][3] > "s1")) for i in range(240) if i % 4 < 2] + [(2, 0), (2, 1), (None, 1), (3, None)]
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    some, share = classifier.labelled_sample(lab.withColumnRenamed("quality", "y"), 1000)
+    assert share == 1.0 and some.count() == 120
+    d = docs(spark, clash=True, data=data + [data[0], (None, data[5][1], "en", "s0", 1)])
+    rows_ = sorted(classifier.feature_rows(d, some, []).where("doc_id is not null").withColumn(
+        "held", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(classifier.HOLDOUT)) == 0).collect(), key=lambda x: x["doc_id"])
+    y = np.array([np.nan if x["y"] is None else x["y"] for x in rows_])
+    views = {v: np.array([x[v].toArray() for x in rows_]) for v in ("text_view", "meta_view")}
+    views = {v: m[:, m.any(axis=0)] for v, m in views.items()}
+    held = np.array([x["held"] for x in rows_]) & ~np.isnan(y)
+    known = ~np.isnan(y) & ~held
+    tally = {c: (y[known] == c).sum() for c in (0, 1)}
+    weight = lambda t: np.where(t == 1, .5 / tally[1], .5 / tally[0]) * known.sum()
+    fit = {v: newton(m[known], y[known], weight(y[known]), .003) for v, m in views.items()}
+    odds = lambda v: views[v] @ fit[v][:-1] + fit[v][-1]
+    for _ in range(classifier.ROUNDS):
+        new = {}
+        for v, other in (("meta_view", "text_view"), ("text_view", "meta_view")):
+            z = odds(other)
+            use = ~held & (known | (np.abs(z) >= np.log(.95 / .05)))
+            t = np.where(known, y, z > 0)
+            new[v] = newton(views[v][use], t[use], weight(t[use]), .003)
+        fit = new
+    def platt(z, y, w):         # the penalty is on the standardised margin
+        mean = (w * z).sum() / w.sum()
+        std = np.sqrt((w * (z - mean) ** 2).sum() / (w.sum() - (w * w).sum() / w.sum()))
+        b = newton(z[:, None] / std, y, w, .001)
+        return b[0] / std, b[1]
+    cal = {v: platt(odds(v)[held], y[held], weight(y[held])) for v in views}
+    t, u = (odds(v) * cal[v][0] + cal[v][1] for v in ("text_view", "meta_view"))
+    want = {x["doc_id"]: 1 / (1 + np.exp(-(a + b) / 2)) for x, a, b in zip(rows_, t, u)}
+    out = classifier.classify(d, lab)
+    scores = [(r[0], r[1], r[2]) for r in out.select(f"{ROW}.doc_id", "score", "kept").collect()]
+    assert len(scores) == 242 and out.select(f"{ROW}.*").columns[5:] == CLASH
+    for i, s, kept in scores:
+        assert kept == (s >= classifier.LIMIT)
+        if i is not None:
+            assert abs(s - want[i]) < 0.03, (i, s, want[i])
+
+
+def test_classifier_without_both_classes(spark):
+    lab = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "doc_id bigint, quality int")
+    for labels in (lab, lab.limit(0)):
+        out = classifier.classify(docs(spark, clash=True), labels)
+        assert out.count() == len(rows()) and out.where("kept and score is null").count() == len(rows())
+    both = lab.union(spark.createDataFrame([(3, 0), (4, 0), (5, 0)], "doc_id bigint, quality int"))
+    assert classifier.classify(docs(spark, data=[]), both).count() == 0
+    few = classifier.classify(docs(spark), both)            # a fold that may lack a class
+    assert few.count() == len(rows())
+
+
 # ---- 8 ------------------------------------------------------------------------
 @pytest.mark.parametrize("length", [40, 400])
 def test_suffix_dedup_brute(spark, length):
@@ -323,3 +423,81 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(out) == sorted(x for x in firsts if x is not None)
     assert jaccard.near_duplicates(docs(spark, data=[])).count() == 0
     assert kept.columns[5:] == CLASH
+
+
+# ---- long inputs, hot keys ------------------------------------------------------
+def test_bpe_of_a_very_long_word():
+    import random
+    import time
+    r, t = random.Random(9), library()
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    some = [long, "x" + long[:70], "aaaa" * 40 + " the " + long[:200], "the" * 40, "é" * 500]
+    c = bpe_codec.Codec(bpe.default_path())
+    start = time.monotonic()
+    out = bpe_codec.encode_many(c, some)
+    assert time.monotonic() - start < 20
+    for ids, e in zip(out, t.encode_batch(some, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids
+    assert long not in c.known
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "MAX_CACHE", 3000)
+    c, t = bpe_codec.Codec(bpe.default_path()), library()
+    some = [" ".join(f"{a}{i}word" for i in range(40)) for a in "abcdefgh"]
+    for ids, e in zip([bpe_codec.encode_many(c, [x])[0] for x in some], t.encode_batch(some, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids and c.held <= 3000
+
+
+def test_codec_columns_agree(spark):
+    d = docs(spark, clash=True)
+    both = bpe_codec.encode_and_decode(d)
+    ids = bpe_codec.encode(d)
+    assert got(both, f"{ROW}.doc_id", "ids") == got(ids, f"{ROW}.doc_id", "ids")
+    text = bpe_codec.decode_column(F.col("ids"), bpe.default_path())
+    assert got(both, f"{ROW}.doc_id", "n_decoded") == got(ids.select(ROW, F.length(text).cast("long").alias("n")), f"{ROW}.doc_id", "n")
+    null = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert got(null.select(text.alias("t")), "t") == [("",), (None,)]
+
+
+def test_suffix_dedup_by_shuffles(spark, monkeypatch):
+    """Nothing is broadcast but hot keys; texts are hashed in small blocks, and
+    suffixes lie in many buckets."""
+    monkeypatch.setattr(suffix, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(suffix, "BLOCK", 128)
+    data = rows() + [(5000 + i, texts()[4], "en", "s", 1) for i in range(300)] + [(6000, texts()[4][:700] + " other end", "en", "s", 1)]
+    r = suffix.remove_repeats(docs(spark, data=data), length=40)
+    want = repeats([d[1] for d in data], 40)
+    assert got(r, F.coalesce(f"{ROW}.doc_id", F.lit(-1)), F.hex("kept"), "n_removed", "n_spans") == sorted(
+        [(-1 if d[0] is None else d[0], w[0].hex().upper(), *w[1:]) for d, w in zip(data, want)], key=repr)
+
+
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    text = (" ".join(texts()) + "z" * 900).encode()
+    whole = [x.tolist() for x in suffix.anchors(text, 40)]
+    for block in (1, 7, 64, 4096):
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        assert [x.tolist() for x in suffix.anchors(text, 40)] == whole
+    assert suffix.anchors(b"short", 40)[0].tolist() == []
+
+
+def test_joins_with_hot_keys(spark):
+    d = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    n = common.store(d.groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k % 2 = 0"), "test-keys")
+    semi = common.semi_join(d, n, ["k"], "n")
+    assert got(semi, "id") == got(d.where("k % 2 = 0"), "id")
+    side = spark.range(0, 9000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    left = common.left_join(d, side, "k")
+    assert got(left, "id", "v") == got(d.select("id", F.expr("if(k % 2 = 0, k * 2, null)").alias("v")), "id", "v")
+
+
+def test_warc_of_a_long_payload(spark):
+    import time
+    p = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), 4 << 20).alias("html"))
+    path = common.scratch_path(spark, "warc-long")
+    warc.write(p, path)
+    reader = warc.WarcReader(path, payload=True)
+    start = time.monotonic()
+    out = [x for part in reader.partitions() for x in reader.read(part)]
+    assert time.monotonic() - start < 20 and [len(x[-1]) for x in out] == [64 << 20]
