@@ -105,7 +105,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N,
     per = found.groupBy("key").agg(
         F.array_sort(F.array_distinct(covered)).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    per = common.store(per, "decontam-hits").select("key", "items", runs(F.col("at")).alias("spans"))
+    per = common.store(per, "decontam-hits")
+    # stored again: the join then knows its true size, and texts are not shuffled to it
+    per = common.store(per.select("key", "items", runs(F.col("at")).alias("spans")), "decontam-spans")
     rows = docs.select(common.pack(docs.select(carry or docs.columns)), text_key(F.col("text")).alias("key"),
                        F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(per, "key", "left")
