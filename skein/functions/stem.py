@@ -37,6 +37,8 @@ disjoint, so the regex engine cannot re-split a run).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,6 +233,99 @@ class SqlOps:
         return f"(CASE {body} ELSE {default} END)"
 
 
+class PyOps:
+    """Render rules as Python functions of a dict of columns, for the tasks
+    that stem each word of their pages once (``stemmer``)."""
+
+    def c(self, name):
+        return lambda row: row[name]
+
+    def lit(self, v):
+        return lambda row: v
+
+    def lower(self, x):
+        return lambda row: x(row).lower()
+
+    def ends(self, x, s):
+        def ends(row):
+            return x(row).endswith(s)
+        ends.of, ends.suffix = x, s
+        return ends
+
+    def rx(self, x, pattern):
+        search = re.compile(pattern).search
+        return lambda row: search(x(row)) is not None
+
+    def length(self, x):
+        return lambda row: len(x(row))
+
+    def cut(self, x, n):
+        return lambda row: x(row)[:-n]
+
+    def cat(self, x, s):
+        return lambda row: x(row) + s
+
+    def last_two_equal(self, x):
+        return lambda row: x(row)[-1:] == x(row)[-2:-1]
+
+    def eq(self, x, v):
+        return lambda row: x(row) == v
+
+    def le(self, x, v):
+        return lambda row: x(row) <= v
+
+    def gt(self, x, v):
+        return lambda row: x(row) > v
+
+    def ge(self, x, v):
+        return lambda row: x(row) >= v
+
+    def isin(self, x, values):
+        some = frozenset(values)
+        return lambda row: x(row) in some
+
+    def and_(self, *xs):
+        def all_of(row):
+            for x in xs:
+                if not x(row):
+                    return False
+            return True
+        return all_of
+
+    def or_(self, *xs):
+        def any_of(row):
+            for x in xs:
+                if x(row):
+                    return True
+            return False
+        return any_of
+
+    def not_(self, x):
+        return lambda row: not x(row)
+
+    def case(self, pairs, default):
+        if len(pairs) > 1 and all(hasattr(cond, "suffix") and cond.of is pairs[0][0].of for cond, _ in pairs):
+            # rules by suffix: most words have none of them
+            word, suffixes = pairs[0][0].of, tuple(cond.suffix for cond, _ in pairs)
+            values = [(cond.suffix, value) for cond, value in pairs]
+
+            def by_suffix(row):
+                w = word(row)
+                if w.endswith(suffixes):
+                    for suffix, value in values:
+                        if w.endswith(suffix):
+                            return value(row)
+                return default(row)
+            return by_suffix
+
+        def chosen(row):
+            for cond, value in pairs:
+                if cond(row):
+                    return value(row)
+            return default(row)
+        return chosen
+
+
 # ---- conditions (on the stem = word minus ``suffix``) ------------------------
 def _m_gt0(o, w, suffix=""):
     return o.rx(w, "^" + M1 + ".*" + suffix + "$")
@@ -390,6 +485,18 @@ def with_stem(df: DataFrame, word_col: str, out_col: str = "term",
     return cur.select(*keep, F.explode(F.array(F.col("__w"))).alias(out_col))
 
 
+def stemmer(nltk: bool = True, irregular: bool = False):
+    """The same rules as a function of one word."""
+    stages = [stage for parts in porter_stages(PyOps(), "word", nltk, irregular) for stage in parts]
+
+    def stem(word: str) -> str:
+        row = {"word": word}
+        for name, rule in stages:
+            row[name] = rule(row)
+        return row["__w"]
+    return stem
+
+
 def stem_sql(source_sql: str, word_col: str, nltk: bool = True,
              irregular: bool = False, out_col: str = "term") -> str:
     """SQL (DuckDB) of the same stemmer: a SELECT over ``source_sql`` adding

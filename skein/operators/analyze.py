@@ -5,19 +5,23 @@ upper/lower fold -> Porter stem -> drop stopword / punctuation stems.
 Query side: upper -> split -> lower -> Porter stem; no alphabetic filter, no
 stopword filter, duplicates kept (counted as ``qtf``).
 
-Stems are computed inline, per token, as column expressions: the stemmer is
-all JVM-side regex, so stemming costs no shuffle, whereas stemming a distinct
-vocabulary would need a shuffle for the distinct and another to join the
-stems back to every (document, word) pair.
+``index_terms`` states this word by word as column expressions.  The counts of
+an index (``term_counts``) come from the same rules, but a task works a token
+out once and remembers what became of it: texts repeat their words, and the
+rules cost far more than the look-up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skein.functions import stopwords as sw
-from skein.functions.stem import with_stem
+from skein.functions.stem import stemmer, with_stem
 from skein.functions.text import PUNCTUATION, collapse_ws, fold_case, is_alpha
 
 
@@ -51,6 +55,91 @@ def index_terms(docs: DataFrame, stopwords="nltk", text_col: str = "text",
     return drop_stop_terms(stemmed, stopwords)
 
 
+#: Tokens that a Python worker remembers, from task to task; then it starts anew.
+TOKENS_KEPT = 1_000_000
+KNOWN: dict[object, tuple] = {}
+#: Rows of a page's terms that are sent on at a time.
+ROWS_SENT = 50_000
+
+
+def term_of_token(stopwords="nltk"):
+    """X4-X9 as a function: the term of a token, None where it has none."""
+    words, stem = sw.resolve(stopwords), stemmer()
+    dropped = frozenset([*words, *PUNCTUATION] if words else [])
+
+    def term(token: str) -> str | None:
+        if not token.isalpha():
+            return None
+        found = stem(token.upper().lower())
+        return None if found in dropped else found
+    return term
+
+
+def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords) -> Iterator[pa.RecordBatch]:
+    """(keys..., term, tf) of rows (keys..., text) in which those with equal
+    keys follow each other: they are counted as one page."""
+    rule = stopwords if stopwords is None or isinstance(stopwords, str) else frozenset(stopwords)
+    if rule not in KNOWN:
+        KNOWN.clear()
+        KNOWN[rule] = term_of_token(stopwords), {}
+    term, known = KNOWN[rule]
+    page, tf = None, {}
+    at, terms, counts = [], [], []
+    schema = None
+
+    def close():
+        if tf:
+            at.extend([page] * len(tf))
+            terms.extend(tf.keys())
+            counts.extend(tf.values())
+
+    def rows():
+        columns = [pa.array([p[i] for p in at], schema.field(i).type) for i in range(len(keys))]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
+                                         names=[*keys, "term", "tf"])
+        at.clear(), terms.clear(), counts.clear()
+        return out
+
+    for batch in batches:
+        schema = batch.schema
+        columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+        for *key, text in zip(*columns, batch.column(len(keys)), strict=True):
+            if key != page:
+                close()
+                page, tf = key, {}
+                if len(terms) >= ROWS_SENT:
+                    yield rows()
+            text = text.as_py()
+            if not text:
+                continue
+            for token in text.split(" "):
+                try:
+                    t = known[token]
+                except KeyError:
+                    if len(known) >= TOKENS_KEPT:
+                        known.clear()
+                    t = known[token] = term(token)
+                if t is not None:
+                    tf[t] = tf.get(t, 0) + 1
+    close()
+    if terms:
+        yield rows()
+
+
+def term_counts(docs: DataFrame, stopwords="nltk", text_col: str = "text", keys=("site", "doc_key"),
+                once: bool = True) -> DataFrame:
+    """(keys..., term, tf) of ``index_terms``, counted page by page as the rows
+    stream through a task: nothing but one page's counts is held.  ``once``:
+    one row a page and term, also where a page's text comes in several rows;
+    for that rows are dealt and sorted by page."""
+    rows = docs.select(*keys, F.col(text_col).alias("text"))
+    if once:
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("term", StringType()), StructField("tf", LongType())])
+    names, words = tuple(keys), stopwords if stopwords is None or isinstance(stopwords, str) else list(stopwords)
+    return rows.mapInArrow(lambda batches: counted(batches, names, words), schema)
+
+
 def query_terms(queries: DataFrame, irregular: bool = True) -> DataFrame:
     """(query_id, site, term, qtf) for a query table (query_id, site, query).
 

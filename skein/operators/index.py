@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import collapse_ws, page_text
 from skein.functions.urls import doc_key, site_key
-from skein.operators.analyze import index_terms
+from skein.operators.analyze import term_counts
 from skein.operators.broadcast import broadcast_if_small
 
 
@@ -37,12 +37,10 @@ def docs_from_pages(pages: DataFrame, site_col: str | None = None) -> DataFrame:
 
 
 def term_freq(docs: DataFrame, stopwords="nltk", keys=("site", "doc_key")) -> DataFrame:
-    """A1: postings.  Partial aggregation runs map-side, inside the task that
-    holds the document, so the shuffle carries one row per (doc, term).
-    ``keys`` are the columns that name a document, carried along."""
-    return (index_terms(docs, stopwords, keys=keys)
-            .groupBy(*keys, "term")
-            .agg(F.count(F.lit(1)).alias("tf")))
+    """A1: postings, one row per (document, term).  Texts are dealt by document
+    and their terms counted as they stream by, so that no task holds more than
+    the texts it sorts.  ``keys`` are the columns that name a document."""
+    return term_counts(docs, stopwords, keys=keys)
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def doc_count(docs: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, stopwords="nltk") -> dict[str, DataFrame]:
     post = term_freq(docs, stopwords)
     return {"docs": docs, "postings": post, "doc_freq": doc_freq(post),
-            "doc_count": doc_count(docs)}
+            "doc_count": doc_count(docs), "counted": True}     # doc_freq counts these postings
 
 
 def top_terms(postings: DataFrame, k: int | None = None) -> DataFrame:

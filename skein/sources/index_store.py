@@ -32,6 +32,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from skein import schemas
 from skein.operators.broadcast import broadcast_if_small
+from skein.session import materialize
 from skein.sources.tables import is_missing
 
 SITE_BUCKETS, TERM_BUCKETS = 8, 16
@@ -118,10 +119,12 @@ def bounds(postings: DataFrame) -> DataFrame:
 
 def _finish(spark: SparkSession, root: str, docs: DataFrame, postings: DataFrame, doc_freq: DataFrame | None,
             doc_count: DataFrame, layout: tuple[int, int], mode: str) -> None:
-    from skein.operators import index as ix
-    post = _put(postings, root, "postings", layout, mode)
-    _put(bounds(post), root, "bounds", layout, mode)
-    _put(ix.doc_freq(post) if doc_freq is None else doc_freq, root, "doc_freq", layout, mode)
+    # range partitioning reads its input twice: what is computed is written first
+    post = _put(materialize(postings, "index-postings"), root, "postings", layout, mode)
+    least = _put(materialize(bounds(post), "index-bounds"), root, "bounds", layout, mode)
+    if doc_freq is None:      # each posting is counted in one block
+        doc_freq = materialize(least.groupBy("site", "term").agg(F.sum("n").alias("df")), "index-df")
+    _put(doc_freq, root, "doc_freq", layout, mode)
     _put(first_keys(docs, FIRST_KEYS), root, "keys", layout, mode)
     spark.range(1).select(F.lit(layout[0]).alias("site_buckets"), F.lit(layout[1]).alias("term_buckets")) \
          .write.mode("overwrite").parquet(os.path.join(root, "layout"))
