@@ -63,6 +63,25 @@ def frontier_batch(frontier: DataFrame, n: int) -> DataFrame:
                     .where(F.col("_rn") <= n).drop("_rn"))
 
 
+def frontier_stretch(pool: DataFrame, pace: DataFrame, n: int, most: int) -> DataFrame:
+    """O3 for several rounds of a site at once: ``pool`` rows with ``at``, the
+    round that takes them.  ``pace`` (site, done) has the rounds done so far.
+
+    URLs are taken by (round, url), and links found in a round carry its
+    number.  So they come after all URLs of earlier rounds, and the full
+    batches of those are known before anything is fetched; a batch that would
+    be filled up with new links waits for them.  A site without a full batch
+    takes what it has, as one round does.  At most ``most`` rounds a site,
+    which bounds the rows of a site that are ranked together."""
+    w = Window.partitionBy("site").orderBy("round", "url")
+    head = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n * most)
+    head = head.join(pace, "site", "left").withColumn("_next", F.coalesce(F.col("done"), F.lit(0)) + 1)
+    full = head.groupBy("site").agg((F.floor(F.count_if(F.col("round") < F.col("_next")) / n) * n).alias("_full"))
+    taken = head.join(broadcast_if_small(full), "site").where(F.col("_rn") <= F.when(F.col("_full") > 0, F.col("_full")).otherwise(n))
+    at = F.col("_next") + F.floor((F.col("_rn") - 1) / n)
+    return taken.select(*pool.columns, at.cast("int").alias("at"))
+
+
 def frontier_rest(frontier: DataFrame, batch: DataFrame) -> DataFrame:
     """What stays in the frontier after the batch is taken."""
     return frontier.join(batch.select("site", "url"), ["site", "url"], "left_anti")
@@ -83,8 +102,9 @@ def fetch(batch: DataFrame, corpus: DataFrame, stored: bool = False) -> DataFram
         pages = one_per_url(corpus.select("url", "html").join(want, "url", "left_semi"))
     out = batch.join(pages, "url", "left")
     html = F.when(is_crawlable(F.col("url")), F.col("html"))
+    more = [c for c in batch.columns if c not in ("site", "url", "round")]
     return out.select("site", "url", "round", html.alias("html"),
-                      html.isNotNull().alias("fetched"))
+                      html.isNotNull().alias("fetched"), *more)
 
 
 def union_urls(*frames: DataFrame) -> DataFrame:
