@@ -27,14 +27,12 @@ from pyspark.sql import functions as F
 
 from skein.operators.analyze import query_terms
 from skein.operators.broadcast import broadcast_if_small
-from skein.operators.search import (SCORE_DIGITS, best_of, exact_sum, padding, query_side, scores_of, shared,
+from skein.operators.search import (MARGIN, RELATIVE, best_of, exact_sum, padding, query_side, scores_of, shared,
                                     single_query, weighted_terms, with_folders)
 from skein.session import materialize
 
 #: Terms whose places in the sort order are put into the filter of the scan.
 FILTER_TERMS = 64
-#: Sums of doubles and rounded scores differ from exact ones by less than this.
-MARGIN, RELATIVE = 2 * 10 ** -SCORE_DIGITS, 1e-9
 
 
 def block_bounds(index: dict, qw: DataFrame) -> DataFrame:

@@ -34,12 +34,15 @@ from skein.functions.urls import site_hash, unquote
 from skein.operators.analyze import query_terms
 from skein.operators.broadcast import (MAX_BROADCAST_ROWS, broadcast_if_small,
                                        fits)
+from skein.operators.index import doc_freq
 from skein.operators.registry import is_indexed
 from skein.session import materialize
 from skein.sources.index_store import FIRST_KEYS, first_keys, site_bucket, with_buckets
 
 SCORE_DIGITS = 6
 SALTS = 64   # spread of one term's postings when the query side is not broadcast
+#: Sums of doubles and rounded scores differ from exact ones by less than this.
+MARGIN, RELATIVE = 2 * 10 ** -SCORE_DIGITS, 1e-9
 FRACTION = 1_000_000_000_000   # parts of a unit in which contributions are added
 
 
@@ -117,6 +120,8 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
     # the query side is bounded by the query table: size-check it there, not
     # after joining the index statistics (which would run the index build)
     small = fits(qt, max_broadcast_rows)
+    if "layout" not in index:
+        index = asked_part(index, qt, small, salts)
     qw = query_side(index, weighted_terms(index, qt, small))
     if small:
         post = index["postings"]
@@ -129,6 +134,19 @@ def score_candidates(index: dict, queries: DataFrame, k: int | None = 10,
     return scores_of(contrib)
 
 
+def asked_part(index: dict, qterms: DataFrame, small: bool, salts: int = SALTS) -> dict:
+    """The index with the postings of the terms asked, written once: what is
+    taken from them reads no text again.  Document frequencies are counted
+    from them where the index's own are such counts."""
+    post = index["postings"]
+    terms = qterms.select(*shared(post, qterms, "site", "term")).distinct()
+    found = post.join(F.broadcast(terms), shared(post, terms, "site", "term")) if small else salted_join(post, terms, salts)
+    found = materialize(found.select("site", "doc_key", "term", "tf"), "search-postings")
+    counted = index.get("counted")
+    out = {name: df for name, df in index.items() if name != "layout"}
+    return {**out, "postings": found, "doc_freq": doc_freq(found) if counted else index["doc_freq"]}
+
+
 def query_side(index: dict, terms: DataFrame) -> DataFrame:
     """Query terms as the side that prunes the folders of a stored index: they
     are written first (they are as small as the queries), since Spark prunes
@@ -170,6 +188,8 @@ def search_batch(index: dict, queries: DataFrame, k: int = 10,
     """Top-k pages for every query of a query table (query_id, site, query).
 
     Returns (query_id, rank, doc_key, url, score, no_of_docs)."""
+    if "layout" not in index:
+        return search_asked(index, queries, k, irregular, max_broadcast_rows)
     scores = score_candidates(index, queries, k, irregular,
                               max_broadcast_rows=max_broadcast_rows)
     return best_of(scores, index, k)
@@ -181,7 +201,101 @@ def search_indexed(index: dict, requests: DataFrame, sites: DataFrame, k: int =
     words stemmed as the offline ranking does; the others get no rows."""
     known = is_indexed(requests.select("host").distinct(), sites).where("indexed").select("host")
     asked = requests.join(known, "host", "left_semi")
-    return search_batch(index, asked.select("query_id", site_hash(F.col("host")).alias("site"), "query"), k, irregular=False)
+    return search_asked(index, asked.select("query_id", site_hash(F.col("host")).alias("site"), "query"), k, irregular=False)
+
+
+def profiles(queries: DataFrame, qterms: DataFrame) -> DataFrame:
+    """(query_id, profile): queries of one profile ask the same terms, each as
+    often, of the same sites, so they have one answer."""
+    asked = queries.select("query_id", "site", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("qtf"))
+    every = asked.distinct().unionByName(qterms.select(*asked.columns))
+    terms = F.sort_array(F.collect_list(F.struct("site", "term", "qtf")))
+    return every.groupBy("query_id").agg(F.sha2(F.to_json(terms), 256).alias("profile"))
+
+
+def search_asked(index: dict, queries: DataFrame, k: int, irregular: bool = True,
+                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """W1 with each profile of queries answered once, from the pages that can
+    be among its k best.  Each stage is written to the shared folder."""
+    qt = materialize(query_terms(queries, irregular), "query-terms")
+    named = materialize(profiles(queries, qt), "query-profiles")
+    some = broadcast_if_small(named, max_broadcast_rows)
+
+    def by_profile(df: DataFrame) -> DataFrame:
+        both = df.withColumnRenamed("query_id", "_id").join(some, F.col("_id").eqNullSafe(F.col("query_id")))
+        return both.drop("_id", "query_id").withColumnRenamed("profile", "query_id").distinct()
+
+    qt = materialize(by_profile(qt).select("query_id", "site", "term", "qtf"), "profile-terms")
+    asked = by_profile(queries.select("query_id", "site"))
+    scores = best_scores(index, qt, k, max_broadcast_rows)
+    pads = padding(index, asked, k).select("query_id", "site", "doc_key", F.col("c").alias("score"))
+    every = scores.unionByName(pads).groupBy("query_id", "site", "doc_key").agg(F.max("score").alias("score"))
+    top = materialize(best_of(every, index, k).withColumnRenamed("query_id", "profile"), "search-top")
+    return named.join(broadcast_if_small(top, max_broadcast_rows), "profile").select(
+        "query_id", *[c for c in top.columns if c != "profile"])
+
+
+def kth_score(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, kth): the k-th score of queries with that many pages."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("site"), F.asc("doc_key"))
+    return scores.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
+
+
+def reaches(most: Column) -> Column:
+    """Whether a page that scores ``most`` at most can be among the k best."""
+    return F.col("kth").isNull() | (most * (1 + RELATIVE) + MARGIN >= F.col("kth"))
+
+
+def best_scores(index: dict, qterms: DataFrame, k: int, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                salts: int = SALTS) -> DataFrame:
+    """(query_id, site, doc_key, score) of all pages that can be among the k
+    best of their query, and of others.
+
+    A term adds to a page at most its greatest tf times its weight.  The k
+    postings with the greatest tf of each term give a score that k pages reach;
+    the terms that add least, as long as all of them together stay below it,
+    cannot bring in a page by themselves.  So pages are looked up by the other
+    terms (the rare ones weigh most), and only pages that can still reach the
+    k-th score found then get the rest added.  Common terms, with postings in
+    much of the corpus, are mostly among those."""
+    qt = with_folders(index, qterms)
+    small = fits(qt, max_broadcast_rows)
+    part = asked_part(index, query_side(index, qt), small, salts)
+    post = part["postings"]
+    qw = weighted_terms(part, qterms if part.get("counted") else qt, small)
+    greatest = post.groupBy("site", "term").agg(F.max("tf").alias("max_tf"))
+    qw = materialize(qw.select("query_id", "site", "term", "qw").join(greatest, ["site", "term"]), "query-weights")
+    side = lambda df: F.broadcast(df) if small else df  # noqa: E731  at most as many rows as query terms
+
+    first = Window.partitionBy("site", "term").orderBy(F.desc("tf"), F.asc("doc_key"))
+    heads = materialize(post.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_rn"), "search-heads")
+    low = heads.join(side(qw), ["site", "term"]).groupBy("query_id", "site", "doc_key").agg(
+        F.sum(F.col("tf") * F.col("qw")).alias("score"))
+    kth = kth_score(low, k)
+
+    upto = Window.partitionBy("query_id").orderBy("_ub", "site", "term").rowsBetween(Window.unboundedPreceding, 0)
+    parts = qw.withColumn("_ub", F.col("max_tf") * F.col("qw")).withColumn("_cum", F.sum("_ub").over(upto))
+    parts = materialize(parts.join(kth, "query_id", "left").withColumn("leads", reaches(F.col("_cum"))), "query-parts")
+    leads, rest = parts.where("leads"), parts.where("not leads")
+    left = rest.groupBy("query_id").agg(F.max("_cum").alias("rest"))
+
+    c = F.col("tf") * F.col("qw")
+    sums = [F.sum(F.floor(c)).alias("whole"), F.sum(F.round((c - F.floor(c)) * FRACTION).cast("long")).alias("part")]
+    key = ["query_id", "site", "doc_key"]
+    lead = leads.select("query_id", "site", "term", "qw")
+    met = post.join(F.broadcast(lead), ["site", "term"]) if small else salted_join(post, lead, salts)
+    met = materialize(met.groupBy(*key).agg(*sums), "search-met")
+    score = F.col("whole") + F.col("part") / FRACTION
+    kth = kth_score(met.select(*key, score.alias("score")), k)
+    bar = materialize(left.join(kth, "query_id", "left"), "search-bar")
+    # queries without a rest are done
+    kept = met.join(broadcast_if_small(bar), "query_id", "left").where(reaches(score + F.coalesce(F.col("rest"), F.lit(0.0))))
+    kept = materialize(kept.select(*key, "whole", "part"), "search-kept")
+    more = kept.select(*key).join(side(rest.select("query_id", "site", "term", "qw")), ["query_id", "site"])
+    more = more.join(post, ["site", "doc_key", "term"]).groupBy(*key).agg(*sums)
+    return kept.unionByName(more).groupBy(*key).agg(
+        F.round(F.sum("whole") + F.sum("part") / FRACTION, SCORE_DIGITS).alias("score"))
 
 
 def single_query(site: str, query: str, spark, query_id: int = 0) -> DataFrame:

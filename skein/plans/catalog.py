@@ -41,11 +41,16 @@ def by_page(docs: DataFrame) -> DataFrame:
 
 
 def docs_by_source(spark, sf_dir) -> DataFrame:
-    return by_page(ix.docs_from_documents(tables.documents(spark, sf_dir)))
+    return by_page(source_docs(spark, sf_dir))
+
+
+def source_docs(spark, sf_dir) -> DataFrame:
+    """As read, for an index: that deals them by page itself."""
+    return ix.docs_from_documents(tables.documents(spark, sf_dir))
 
 
 def docs_one_site(spark, sf_dir) -> DataFrame:
-    return by_page(ix.docs_from_documents(tables.documents(spark, sf_dir), site=ALL_SITE))
+    return ix.docs_from_documents(tables.documents(spark, sf_dir), site=ALL_SITE)
 
 
 def conversation_queries(spark, sf_dir) -> DataFrame:
@@ -95,8 +100,8 @@ def q_stems(spark, sf_dir):
 
 
 def q_stop_filtered(spark, sf_dir):
-    terms = analyze.index_terms(docs_by_source(spark, sf_dir), stopwords="nltk")
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = analyze.term_counts(docs_by_source(spark, sf_dir), stopwords="nltk", once=False)
+    return terms.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 def q_query_terms(spark, sf_dir):
@@ -105,19 +110,19 @@ def q_query_terms(spark, sf_dir):
 
 # ---- index -----------------------------------------------------------------
 def q_term_freq(spark, sf_dir):
-    return ix.term_freq(docs_by_source(spark, sf_dir))
+    return ix.term_freq(source_docs(spark, sf_dir))
 
 
 def q_doc_freq(spark, sf_dir):
-    return ix.doc_freq(ix.term_freq(docs_by_source(spark, sf_dir)))
+    return ix.doc_freq(ix.term_freq(source_docs(spark, sf_dir)))
 
 
 def q_doc_count(spark, sf_dir):
-    return ix.doc_count(docs_by_source(spark, sf_dir))
+    return ix.doc_count(source_docs(spark, sf_dir))
 
 
 def q_top_terms(spark, sf_dir):
-    return ix.top_terms(ix.term_freq(docs_by_source(spark, sf_dir)))
+    return ix.top_terms(ix.term_freq(source_docs(spark, sf_dir)))
 
 
 def q_term_weights(spark, sf_dir):
@@ -354,7 +359,7 @@ def q_doc_freq_merged(spark, sf_dir):
 
 
 def q_postings_json(spark, sf_dir):
-    post = ix.term_freq(docs_by_source(spark, sf_dir))
+    post = ix.term_freq(source_docs(spark, sf_dir))
     return ix.postings_map(post).select("site", "doc_key", F.to_json("terms").alias("json"))
 
 
@@ -365,12 +370,12 @@ def stored_index(spark, docs: DataFrame, stopwords="nltk") -> dict:
 
 def q_index_stored(spark, sf_dir):
     """S2 + S3: the postings, written and read back."""
-    return stored_index(spark, docs_by_source(spark, sf_dir))["postings"].select("site", "doc_key", "term", "tf")
+    return stored_index(spark, source_docs(spark, sf_dir))["postings"].select("site", "doc_key", "term", "tf")
 
 
 def q_index_bounds(spark, sf_dir):
     """What the stored bounds say of each term: greatest tf and postings."""
-    b = stored_index(spark, docs_by_source(spark, sf_dir))["bounds"]
+    b = stored_index(spark, source_docs(spark, sf_dir))["bounds"]
     return b.groupBy("site", "term").agg(F.max("max_tf").alias("max_tf"), F.sum("n").alias("n"))
 
 
