@@ -97,11 +97,16 @@ def read_layout(spark: SparkSession, root: str) -> tuple[int, int]:
 
 # ---- writing -----------------------------------------------------------------
 def _put(df: DataFrame, root: str, name: str, layout: tuple[int, int], mode: str = "overwrite") -> DataFrame:
-    keys, folders = SORT_KEYS[name], [c for c in ("sb", "tb") if c in SORT_KEYS[name]]
-    df = with_buckets(df, layout, "tb" in folders).select(*TABLES[name].fieldNames())
+    df = with_buckets(df, layout, "tb" in SORT_KEYS[name]).select(*TABLES[name].fieldNames())
     # docs are left where they are: their rows are whole texts, and folders of sites are few
-    df = df.sortWithinPartitions(*keys) if name == "docs" else df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    (df.write.mode(mode).partitionBy(*folders).option("parquet.page.row.count.limit", str(PAGE_ROWS))
+    return _write(df if name == "docs" else df.repartitionByRange(*SORT_KEYS[name]), root, name, mode)
+
+
+def _write(df: DataFrame, root: str, name: str, mode: str) -> DataFrame:
+    """Rows that lie in the tasks that are to write them."""
+    keys, folders = SORT_KEYS[name], [c for c in ("sb", "tb") if c in SORT_KEYS[name]]
+    (df.select(*TABLES[name].fieldNames()).sortWithinPartitions(*keys)
+     .write.mode(mode).partitionBy(*folders).option("parquet.page.row.count.limit", str(PAGE_ROWS))
      .parquet(os.path.join(root, name)))
     return read_table(df.sparkSession, root, name)
 
@@ -112,20 +117,31 @@ def first_keys(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("site", "doc_key", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+def ranged(df: DataFrame, name: str, *aggs: Column) -> DataFrame:
+    """``df`` summed up by the sort key of the table ``name``.  Ranges of the
+    key never part a group, so the tasks that sum up also write: one exchange,
+    and nothing is written in between.  A group is small: a block has some
+    BLOCK_DOCS postings of a term, a term one bound a block."""
+    keys = SORT_KEYS[name]
+    return df.repartitionByRange(*keys).groupBy(*keys).agg(*aggs)
+
+
 def bounds(postings: DataFrame) -> DataFrame:
-    """(site, term, block, max_tf, n): what a block can add for a term at most."""
-    return postings.groupBy("site", "term", "block").agg(F.max("tf").alias("max_tf"), F.count("*").alias("n"))
+    """(sb, tb, site, term, block, max_tf, n): what a block can add for a term
+    at most."""
+    return ranged(postings, "bounds", F.max("tf").alias("max_tf"), F.count("*").alias("n"))
 
 
 def _finish(spark: SparkSession, root: str, docs: DataFrame, postings: DataFrame, doc_freq: DataFrame | None,
             doc_count: DataFrame, layout: tuple[int, int], mode: str) -> None:
     # range partitioning reads its input twice: what is computed is written first
     post = _put(materialize(postings, "index-postings"), root, "postings", layout, mode)
-    least = _put(materialize(bounds(post), "index-bounds"), root, "bounds", layout, mode)
+    least = _write(bounds(post), root, "bounds", mode)
     if doc_freq is None:      # each posting is counted in one block
-        doc_freq = materialize(least.groupBy("site", "term").agg(F.sum("n").alias("df")), "index-df")
-    _put(doc_freq, root, "doc_freq", layout, mode)
-    _put(first_keys(docs, FIRST_KEYS), root, "keys", layout, mode)
+        _write(ranged(least, "doc_freq", F.sum("n").alias("df")), root, "doc_freq", mode)
+    else:
+        _put(doc_freq, root, "doc_freq", layout, mode)
+    _put(materialize(first_keys(docs, FIRST_KEYS), "index-keys"), root, "keys", layout, mode)
     spark.range(1).select(F.lit(layout[0]).alias("site_buckets"), F.lit(layout[1]).alias("term_buckets")) \
          .write.mode("overwrite").parquet(os.path.join(root, "layout"))
 
