@@ -485,11 +485,20 @@ def with_stem(df: DataFrame, word_col: str, out_col: str = "term",
     return cur.select(*keep, F.explode(F.array(F.col("__w"))).alias(out_col))
 
 
+#: What a word must end with for any rule to change it.
+SUFFIXES = tuple(sorted({"s", "ed", "ing", "y", "alli", "e", "ll", STEP2_PAPER_BLI[0], *STEP4_SUFFIXES,
+                         *(rule[0] for rule in [*STEP2_RULES, *STEP2_EXTENDED, *STEP3_RULES])}))
+
+
 def stemmer(nltk: bool = True, irregular: bool = False):
     """The same rules as a function of one word."""
     stages = [stage for parts in porter_stages(PyOps(), "word", nltk, irregular) for stage in parts]
+    listed = frozenset(form for forms in IRREGULAR_FORMS.values() for form in forms)
 
     def stem(word: str) -> str:
+        lower = word.lower()
+        if not lower.endswith(SUFFIXES) and word not in listed:
+            return lower
         row = {"word": word}
         for name, rule in stages:
             row[name] = rule(row)

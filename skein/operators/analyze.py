@@ -13,9 +13,12 @@ rules cost far more than the look-up.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -55,11 +58,12 @@ def index_terms(docs: DataFrame, stopwords="nltk", text_col: str = "text",
     return drop_stop_terms(stemmed, stopwords)
 
 
-#: Tokens that a Python worker remembers, from task to task; then it starts anew.
+#: Tokens that a Python worker remembers, from task to task: half of them the
+#: latest ones, the others those before.
 TOKENS_KEPT = 1_000_000
-KNOWN: dict[object, tuple] = {}
-#: Rows of a page's terms that are sent on at a time.
-ROWS_SENT = 50_000
+KNOWN: dict[object, Terms] = {}
+#: Bytes of texts that are cut and counted at a time.
+SLICE_BYTES = 4 << 20
 
 
 def term_of_token(stopwords="nltk"):
@@ -75,55 +79,123 @@ def term_of_token(stopwords="nltk"):
     return term
 
 
-def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords) -> Iterator[pa.RecordBatch]:
-    """(keys..., term, tf) of rows (keys..., text) in which those with equal
-    keys follow each other: they are counted as one page."""
+class Terms:
+    """The terms of tokens, each worked out once while it is remembered.  What
+    is asked for again in time stays, however many others come."""
+
+    def __init__(self, stopwords):
+        self.rule, self.new, self.old = term_of_token(stopwords), {}, {}
+
+    def of(self, tokens: list[str]) -> list[str | None]:
+        out, new, old = [], self.new, self.old
+        for token in tokens:
+            if not token.isalpha():
+                out.append(None)
+                continue
+            try:
+                t = new[token]
+            except KeyError:
+                if len(new) >= TOKENS_KEPT // 2:
+                    self.old = old = new
+                    self.new = new = {}
+                try:
+                    t = old[token]
+                except KeyError:
+                    t = self.rule(token)
+                new[token] = t
+            out.append(t)
+        return out
+
+
+def known_terms(stopwords) -> Terms:
+    """The worker's memory for a list; it holds that of one list only."""
     rule = stopwords if stopwords is None or isinstance(stopwords, str) else frozenset(stopwords)
     if rule not in KNOWN:
         KNOWN.clear()
-        KNOWN[rule] = term_of_token(stopwords), {}
-    term, known = KNOWN[rule]
-    page, tf = None, {}
-    at, terms, counts = [], [], []
-    schema = None
-
-    def close():
-        if tf:
-            at.extend([page] * len(tf))
-            terms.extend(tf.keys())
-            counts.extend(tf.values())
-
-    def rows():
-        columns = [pa.array([p[i] for p in at], schema.field(i).type) for i in range(len(keys))]
-        out = pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
-                                         names=[*keys, "term", "tf"])
-        at.clear(), terms.clear(), counts.clear()
-        return out
+        KNOWN[rule] = Terms(stopwords)
+    return KNOWN[rule]
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about SLICE_BYTES of the texts in column ``text``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
+    for start, stop in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
+def pages_of(columns: list[pa.Array]) -> np.ndarray:
+    """The page of each row, from 0: rows with equal keys that follow each other."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        a, b = c[1:], c[:-1]
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def page_counts(texts: pa.Array, pages: np.ndarray, known: Terms) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(page, number of the term, the terms, tf), a row for each page and term,
+    by page."""
+    lists = pc.split_pattern(texts, " ")
+    tokens = pc.list_flatten(lists).dictionary_encode()
+    found = known.of(tokens.dictionary.to_numpy(zero_copy_only=False).tolist())
+    terms = pa.array(found, pa.string()).dictionary_encode()
+    n = len(terms.dictionary)
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return none, none, terms.dictionary, none
+    number = pc.fill_null(terms.indices, -1).to_numpy().astype(np.int64)[tokens.indices.to_numpy()]
+    at = pages[pc.list_parent_indices(lists).to_numpy()] * n + number
+    at = np.sort(at[number >= 0])
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first] // n, at[first] % n, terms.dictionary, np.diff(np.r_[first, len(at)])
+
+
+def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords) -> Iterator[pa.RecordBatch]:
+    """(keys..., term, tf) of rows (keys..., text) in which those with equal
+    keys follow each other: they are counted as one page.  The last page of a
+    slice stays open, as the next slice may go on with it."""
+    known, width = known_terms(stopwords), len(keys)
+    last, tf = None, {}                     # the open page: its row of keys, its counts
+
+    def rows(columns, terms, counts):
+        return pa.RecordBatch.from_arrays([*columns, terms, pa.array(counts, pa.int64())], names=[*keys, "term", "tf"])
+
+    def closed():
+        at = pa.array(np.zeros(len(tf), np.int64))
+        return rows([c.take(at) for c in last], pa.array(list(tf), pa.string()), list(tf.values()))
 
     for batch in batches:
-        schema = batch.schema
-        columns = [batch.column(i).to_pylist() for i in range(len(keys))]
-        for *key, text in zip(*columns, batch.column(len(keys)), strict=True):
-            if key != page:
-                close()
-                page, tf = key, {}
-                if len(terms) >= ROWS_SENT:
-                    yield rows()
-            text = text.as_py()
-            if not text:
-                continue
-            for token in text.split(" "):
-                try:
-                    t = known[token]
-                except KeyError:
-                    if len(known) >= TOKENS_KEPT:
-                        known.clear()
-                    t = known[token] = term(token)
-                if t is not None:
-                    tf[t] = tf.get(t, 0) + 1
-    close()
-    if terms:
-        yield rows()
+        for part in slices(batch, width):
+            columns = [part.column(i) for i in range(width)]
+            pages = pages_of(columns)
+            page, number, terms, counts = page_counts(part.column(width), pages, known)
+            if last is not None and any(a[0].as_py() != b[0].as_py() for a, b in zip(last, columns, strict=True)):
+                if tf:
+                    yield closed()
+                tf = {}
+            elif tf and pages[-1] > 0:      # its end is in this slice
+                here = page == 0
+                merge(tf, terms, number[here], counts[here])
+                page, number, counts = page[~here], number[~here], counts[~here]
+                yield closed()
+                tf = {}
+            whole = page < pages[-1]
+            if whole.any():
+                at = pa.array(np.searchsorted(pages, page[whole]))     # a page's first row
+                yield rows([c.take(at) for c in columns], terms.take(pa.array(number[whole])), counts[whole])
+            merge(tf, terms, number[~whole], counts[~whole])
+            last = [c.slice(len(c) - 1) for c in columns]
+    if tf:
+        yield closed()
+
+
+def merge(tf: dict[str, int], terms: pa.Array, number: np.ndarray, counts: np.ndarray) -> None:
+    """Add the counts of some terms to ``tf``."""
+    for t, n in zip(terms.take(pa.array(number)).to_pylist(), counts.tolist(), strict=True):
+        tf[t] = tf.get(t, 0) + n
 
 
 def term_counts(docs: DataFrame, stopwords="nltk", text_col: str = "text", keys=("site", "doc_key"),
