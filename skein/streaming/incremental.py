@@ -235,7 +235,7 @@ def current_index(spark: SparkSession, out_root: str) -> dict:
     """The index as of the last commit: newest version of each page, its
     postings, and DF / N as sums of deltas."""
     v = Versions(spark, out_root)
-    old = v.superseded()
+    old = materialize(v.superseded(), "superseded")       # asked for by every table
     live = lambda name: ix.without(v.table(name), old).drop("version")
     total = lambda name, keys, c: v.table(name).groupBy(*keys).agg(F.sum(c).alias(c)).where(F.col(c) > 0)
     return {"docs": live("docs"), "postings": live("postings"),
@@ -249,7 +249,7 @@ def compact(spark: SparkSession, out_root: str) -> None:
     v = Versions(spark, out_root)
     if not v.later:
         return
-    old = v.superseded()
+    old = materialize(v.superseded(), "superseded")
     tables = {name: ix.without(v.table(name), old) for name in ("docs", "postings")}
     for name, keys, c in (("df_delta", ["site", "term"], "df"), ("n_delta", ["site"], "n")):
         sums = v.table(name).groupBy(*keys).agg(F.sum(c).alias(c)).where(F.col(c) != 0)
