@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from skein.functions import stopwords as sw
 from skein.functions.stem import stemmer, with_stem
@@ -63,7 +63,7 @@ def index_terms(docs: DataFrame, stopwords="nltk", text_col: str = "text",
 TOKENS_KEPT = 1_000_000
 KNOWN: dict[object, Terms] = {}
 #: Bytes of texts that are cut and counted at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 
 
 def term_of_token(stopwords="nltk"):
@@ -153,19 +153,17 @@ def page_counts(texts: pa.Array, pages: np.ndarray, known: Terms) -> tuple[np.nd
     return at[first] // n, at[first] % n, terms.dictionary, np.diff(np.r_[first, len(at)])
 
 
-def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords) -> Iterator[pa.RecordBatch]:
-    """(keys..., term, tf) of rows (keys..., text) in which those with equal
-    keys follow each other: they are counted as one page.  The last page of a
-    slice stays open, as the next slice may go on with it."""
-    known, width = known_terms(stopwords), len(keys)
+def counts_by_page(batches: Iterable[pa.RecordBatch], width: int, stopwords) -> Iterator[tuple]:
+    """(key columns, row of each count in them, terms, number of the term of
+    each count, counts) of rows (keys..., text), ``width`` keys, in which those
+    with equal keys follow each other: they are counted as one page.  The last
+    page of a slice stays open, as the next slice may go on with it."""
+    known = known_terms(stopwords)
     last, tf = None, {}                     # the open page: its row of keys, its counts
 
-    def rows(columns, terms, counts):
-        return pa.RecordBatch.from_arrays([*columns, terms, pa.array(counts, pa.int64())], names=[*keys, "term", "tf"])
-
     def closed():
-        at = pa.array(np.zeros(len(tf), np.int64))
-        return rows([c.take(at) for c in last], pa.array(list(tf), pa.string()), list(tf.values()))
+        n = len(tf)
+        return last, np.zeros(n, np.int64), pa.array(list(tf), pa.string()), np.arange(n), np.fromiter(tf.values(), np.int64, n)
 
     for batch in batches:
         for part in slices(batch, width):
@@ -184,14 +182,22 @@ def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords)
                 tf = {}
             whole = page < pages[-1]
             if whole.any():
-                at = pa.array(np.searchsorted(pages, page[whole]))     # a page's first row
-                yield rows([c.take(at) for c in columns], terms.take(pa.array(number[whole])), counts[whole])
+                at = np.searchsorted(pages, page[whole])               # a page's first row
+                yield columns, at, terms, number[whole], counts[whole]
             merge(tf, terms, number[~whole], counts[~whole])
             last = [c.slice(len(c) - 1) for c in columns]
     if tf:
         yield closed()
 
 
+def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords) -> Iterator[pa.RecordBatch]:
+    """(keys..., term, tf) of rows (keys..., text), as ``counts_by_page``."""
+    for columns, at, terms, number, counts in counts_by_page(batches, len(keys), stopwords):
+        at = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*[c.take(at) for c in columns], terms.take(pa.array(number)), pa.array(counts, pa.int64())],
+                                         names=[*keys, "term", "tf"])
+
+
 def merge(tf: dict[str, int], terms: pa.Array, number: np.ndarray, counts: np.ndarray) -> None:
     """Add the counts of some terms to ``tf``."""
     for t, n in zip(terms.take(pa.array(number)).to_pylist(), counts.tolist(), strict=True):
@@ -208,10 +214,57 @@ def term_counts(docs: DataFrame, stopwords="nltk", text_col: str = "text", keys=
     if once:
         rows = rows.repartition(*keys).sortWithinPartitions(*keys)
     schema = StructType([*rows.select(*keys).schema.fields, StructField("term", StringType()), StructField("tf", LongType())])
-    names, words = tuple(keys), stopwords if stopwords is None or isinstance(stopwords, str) else list(stopwords)
+    names, words = tuple(keys), sendable(stopwords)
     return rows.mapInArrow(lambda batches: counted(batches, names, words), schema)
 
 
+def sendable(stopwords):
+    return stopwords if stopwords is None or isinstance(stopwords, str) else list(stopwords)
+
+
+def page_forms(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(keys..., e) of postings (keys..., term, tf) in which those of a page
+    follow each other; e: its terms by falling tf, then term.  One page stays
+    open from batch to batch."""
+    held = []
+
+    def forms():
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = t.columns[:width]
+        pages = pages_of(keys)
+        order = pc.sort_indices(pa.table({"page": pages, "term": t.column(width), "tf": t.column(width + 1)}),
+                                [("page", "ascending"), ("tf", "descending"), ("term", "ascending")], null_placement="at_start")
+        entries = pa.StructArray.from_arrays([t.column(width).take(order), t.column(width + 1).take(order)], names=["term", "tf"])
+        first = np.flatnonzero(np.r_[True, np.diff(pages) > 0])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pages)], pa.int32()), entries)
+        return pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in keys], lists], names=[*t.schema.names[:width], "e"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(width)):
+            yield forms()
+            held = []
+        pages = pages_of(batch.columns[:width])
+        cut = int(np.searchsorted(pages, pages[-1]))        # where the last page starts
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield forms()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield forms()
+
+
+def page_entries(postings: DataFrame, keys=("site", "doc_key")) -> DataFrame:
+    """(keys..., e array<struct<term, tf>>) of postings of which those of a
+    page follow each other in a task; see ``page_forms``."""
+    rows = postings.select(*keys, "term", "tf")
+    e = ArrayType(StructType([rows.schema["term"], rows.schema["tf"]]))
+    schema, width = StructType([*rows.select(*keys).schema.fields, StructField("e", e)]), len(keys)
+    return rows.mapInArrow(lambda batches: page_forms(batches, width), schema)
+
+
 def query_terms(queries: DataFrame, irregular: bool = True) -> DataFrame:
     """(query_id, site, term, qtf) for a query table (query_id, site, query).
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import collapse_ws, page_text
 from skein.functions.urls import doc_key, site_key
-from skein.operators.analyze import term_counts
+from skein.operators.analyze import page_entries, term_counts
 from skein.operators.broadcast import broadcast_if_small
 
 
@@ -69,16 +69,15 @@ def top_terms(postings: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def postings_map(postings: DataFrame) -> DataFrame:
+def postings_map(postings: DataFrame, by_page: bool = False) -> DataFrame:
     """(site, doc_key, terms map<string,bigint>) - the per-page document
-    form; entries sorted by tf desc then term for a stable JSON rendering."""
-    entries = F.sort_array(F.collect_list(F.struct(
-        (-F.col("tf")).alias("neg_tf"), F.col("term"), F.col("tf"))))
-    return (postings.groupBy("site", "doc_key")
-                    .agg(entries.alias("e"))
-                    .select("site", "doc_key",
-                            F.map_from_entries(F.transform(
-                                "e", lambda x: F.struct(x["term"], x["tf"]))).alias("terms")))
+    form; entries sorted by tf desc then term for a stable JSON rendering.
+    Pages are formed as their postings stream by, one held at a time.
+    ``by_page``: those of a page follow each other in a task, as ``term_freq``
+    gives them; others are dealt and sorted by page."""
+    if not by_page:
+        postings = postings.repartition("site", "doc_key").sortWithinPartitions("site", "doc_key")
+    return page_entries(postings).select("site", "doc_key", F.map_from_entries("e").alias("terms"))
 
 
 def superseded(versions: DataFrame, order_col: str = "version") -> DataFrame:

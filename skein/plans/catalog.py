@@ -360,7 +360,7 @@ def q_doc_freq_merged(spark, sf_dir):
 
 def q_postings_json(spark, sf_dir):
     post = ix.term_freq(source_docs(spark, sf_dir))
-    return ix.postings_map(post).select("site", "doc_key", F.to_json("terms").alias("json"))
+    return ix.postings_map(post, by_page=True).select("site", "doc_key", F.to_json("terms").alias("json"))
 
 
 # ---- stored index ------------------------------------------------------------
