@@ -198,6 +198,36 @@ def counted(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], stopwords)
                                          names=[*keys, "term", "tf"])
 
 
+#: Rows (site, term, df) that a task adds up before it hands them on.
+PAGES_HELD = 1 << 20
+
+
+def pages_counted(batches: Iterable[pa.RecordBatch], stopwords) -> Iterator[pa.RecordBatch]:
+    """(site, term, df) of rows (site, doc_key, text), as ``counts_by_page``:
+    the pages of a site with a term, added up as far as PAGES_HELD allows."""
+    held, n = [], 0
+
+    def added():
+        t = pa.concat_tables(held).group_by(["site", "term"]).aggregate([("df", "sum")])
+        return t.rename_columns({"df_sum": "df"}).select(["site", "term", "df"])
+
+    for (sites, _), at, terms, number, _ in counts_by_page(batches, 2, stopwords):
+        sites = sites.dictionary_encode(null_encoding="encode")
+        of_site = sites.indices.to_numpy().astype(np.int64)
+        pair, df = np.unique(of_site[at] * len(terms) + number, return_counts=True)
+        held.append(pa.table([sites.dictionary.take(pa.array(pair // len(terms))), terms.take(pa.array(pair % len(terms))),
+                              pa.array(df, pa.int64())], names=["site", "term", "df"]))
+        n += len(pair)
+        if n >= PAGES_HELD:
+            held = [added()]
+            n = len(held[0])
+            if n >= PAGES_HELD // 2:
+                yield from held[0].combine_chunks().to_batches()
+                held, n = [], 0
+    if held:
+        yield from added().combine_chunks().to_batches()
+
+
 def merge(tf: dict[str, int], terms: pa.Array, number: np.ndarray, counts: np.ndarray) -> None:
     """Add the counts of some terms to ``tf``."""
     for t, n in zip(terms.take(pa.array(number)).to_pylist(), counts.tolist(), strict=True):
@@ -222,6 +252,17 @@ def sendable(stopwords):
     return stopwords if stopwords is None or isinstance(stopwords, str) else list(stopwords)
 
 
+def term_pages(docs: DataFrame, stopwords="nltk", text_col: str = "text") -> DataFrame:
+    """(site, term, df): pages of a site with a term, to be summed up.  Pages
+    are those of ``term_counts``; each task counts its own, so that a row stands
+    for many postings and no posting leaves the task."""
+    rows = docs.select("site", "doc_key", F.col(text_col).alias("text"))
+    rows = rows.repartition("site", "doc_key").sortWithinPartitions("site", "doc_key")
+    schema = StructType([rows.schema["site"], StructField("term", StringType()), StructField("df", LongType())])
+    words = sendable(stopwords)
+    return rows.mapInArrow(lambda batches: pages_counted(batches, words), schema)
+
+
 def page_forms(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(keys..., e) of postings (keys..., term, tf) in which those of a page
     follow each other; e: its terms by falling tf, then term.  One page stays

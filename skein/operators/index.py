@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import collapse_ws, page_text
 from skein.functions.urls import doc_key, site_key
-from skein.operators.analyze import page_entries, term_counts
+from skein.operators.analyze import page_entries, term_counts, term_pages
 from skein.operators.broadcast import broadcast_if_small
 
 
@@ -55,9 +55,14 @@ def doc_count(docs: DataFrame) -> DataFrame:
     return docs.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
 
 
+def page_freq(docs: DataFrame, stopwords="nltk") -> DataFrame:
+    """A2 from the docs themselves: ``doc_freq`` of their ``term_freq``, with
+    the pages of a term counted where its postings are made."""
+    return term_pages(docs, stopwords).groupBy("site", "term").agg(F.sum("df").alias("df"))
+
+
 def build_index(docs: DataFrame, stopwords="nltk") -> dict[str, DataFrame]:
-    post = term_freq(docs, stopwords)
-    return {"docs": docs, "postings": post, "doc_freq": doc_freq(post),
+    return {"docs": docs, "postings": term_freq(docs, stopwords), "doc_freq": page_freq(docs, stopwords),
             "doc_count": doc_count(docs), "counted": True}     # doc_freq counts these postings
 
 
