@@ -37,6 +37,7 @@ disjoint, so the regex engine cannot re-split a run).
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -96,7 +97,7 @@ STEP4_SUFFIXES = [
 ]
 
 
-# ---- two renderings of the same small operator set ---------------------------
+# ---- renderings of the same small operator set ---------------------------
 class ColumnOps:
     """Render rules as Spark Columns."""
 
@@ -234,8 +235,7 @@ class SqlOps:
 
 
 class PyOps:
-    """Render rules as Python functions of a dict of columns, for the tasks
-    that stem each word of their pages once (``stemmer``)."""
+    """Render rules as Python functions of a dict of columns."""
 
     def c(self, name):
         return lambda row: row[name]
@@ -326,6 +326,79 @@ class PyOps:
         return chosen
 
 
+class SourceOps:
+    """Render rules as Python source over variables of a function: what
+    ``stemmer`` compiles.  ``patterns`` are the searches that it calls."""
+
+    class Ends(str):
+        """A condition on a suffix, for ``case``."""
+
+    def __init__(self):
+        self.patterns = {}
+
+    def c(self, name):
+        return name
+
+    def lit(self, v):
+        return repr(v)
+
+    def lower(self, x):
+        return f"{x}.lower()"
+
+    def ends(self, x, s):
+        cond = self.Ends(f"{x}.endswith({s!r})")
+        cond.of, cond.suffix = x, s
+        return cond
+
+    def rx(self, x, pattern):
+        name = self.patterns.setdefault(pattern, f"search{len(self.patterns)}")
+        return f"({name}({x}) is not None)"
+
+    def length(self, x):
+        return f"len({x})"
+
+    def cut(self, x, n):
+        return f"{x}[:-{n}]"
+
+    def cat(self, x, s):
+        return f"({x} + {s!r})"
+
+    def last_two_equal(self, x):
+        return f"({x}[-1:] == {x}[-2:-1])"
+
+    def eq(self, x, v):
+        return f"({x} == {v!r})"
+
+    def le(self, x, v):
+        return f"({x} <= {v!r})"
+
+    def gt(self, x, v):
+        return f"({x} > {v!r})"
+
+    def ge(self, x, v):
+        return f"({x} >= {v!r})"
+
+    def isin(self, x, values):
+        return f"({x} in {tuple(values)!r})"
+
+    def and_(self, *xs):
+        return f"({' and '.join(xs)})"
+
+    def or_(self, *xs):
+        return f"({' or '.join(xs)})"
+
+    def not_(self, x):
+        return f"(not {x})"
+
+    def case(self, pairs, default):
+        body = "".join(f"{v} if {cond} else " for cond, v in pairs) + default
+        if len(pairs) > 1 and all(isinstance(cond, self.Ends) and cond.of == pairs[0][0].of for cond, _ in pairs):
+            # rules by suffix: most words have none of them
+            suffixes = tuple(cond.suffix for cond, _ in pairs)
+            return f"(({body}) if {pairs[0][0].of}.endswith({suffixes!r}) else {default})"
+        return f"({body})"
+
+
 # ---- conditions (on the stem = word minus ``suffix``) ------------------------
 def _m_gt0(o, w, suffix=""):
     return o.rx(w, "^" + M1 + ".*" + suffix + "$")
@@ -490,19 +563,22 @@ SUFFIXES = tuple(sorted({"s", "ed", "ing", "y", "alli", "e", "ll", STEP2_PAPER_B
                          *(rule[0] for rule in [*STEP2_RULES, *STEP2_EXTENDED, *STEP3_RULES])}))
 
 
+@functools.cache
 def stemmer(nltk: bool = True, irregular: bool = False):
     """The same rules as a function of one word."""
-    stages = [stage for parts in porter_stages(PyOps(), "word", nltk, irregular) for stage in parts]
+    o = SourceOps()
+    stages = porter_stages(o, "word", nltk, irregular)
+    lines = ["def rules(word):", *[f" {name} = {rule}" for parts in stages for name, rule in parts], " return __w"]
+    names = {name: re.compile(pattern).search for pattern, name in o.patterns.items()}
+    exec("\n".join(lines), names)
+    rules = names["rules"]
     listed = frozenset(form for forms in IRREGULAR_FORMS.values() for form in forms)
 
     def stem(word: str) -> str:
         lower = word.lower()
         if not lower.endswith(SUFFIXES) and word not in listed:
             return lower
-        row = {"word": word}
-        for name, rule in stages:
-            row[name] = rule(row)
-        return row["__w"]
+        return rules(word)
     return stem
 
 

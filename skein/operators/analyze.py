@@ -87,25 +87,22 @@ class Terms:
         self.rule, self.new, self.old = term_of_token(stopwords), {}, {}
 
     def of(self, tokens: list[str]) -> list[str | None]:
-        out, new, old = [], self.new, self.old
-        for token in tokens:
-            if not token.isalpha():
-                out.append(None)
-                continue
-            try:
-                t = new[token]
-            except KeyError:
-                if len(new) >= TOKENS_KEPT // 2:
-                    self.old = old = new
-                    self.new = new = {}
-                try:
-                    t = old[token]
-                except KeyError:
-                    t = self.rule(token)
-                new[token] = t
-            out.append(t)
+        get = self.new.get
+        out = [get(t, self) if t.isalpha() else None for t in tokens]      # self: not among the latest
+        for i in [i for i, t in enumerate(out) if t is self]:
+            out[i] = self.term(tokens[i])
         return out
 
+    def term(self, token: str) -> str | None:
+        if len(self.new) >= TOKENS_KEPT // 2:
+            self.old, self.new = self.new, {}
+        try:
+            t = self.old[token]
+        except KeyError:
+            t = self.rule(token)
+        self.new[token] = t
+        return t
+
 
 def known_terms(stopwords) -> Terms:
     """The worker's memory for a list; it holds that of one list only."""
