@@ -60,10 +60,10 @@ def index_terms(docs: DataFrame, stopwords="nltk", text_col: str = "text",
 
 #: Tokens that a Python worker remembers, from task to task: half of them the
 #: latest ones, the others those before.
-TOKENS_KEPT = 1_000_000
+TOKENS_KEPT = 300_000
 KNOWN: dict[object, Terms] = {}
 #: Bytes of texts that are cut and counted at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def term_of_token(stopwords="nltk"):
