@@ -22,12 +22,13 @@ other.  So the Voronoi regions are seeded where documents can be near at all:
    Large ones draw about sqrt(m) pivots, every point goes to its nearest and,
    by the triangle inequality, to each other whose distance is within twice
    the radius of that; the new regions recur.  A region that this does not
-   shrink (all distances alike) is compared in blocks.
+   shrink (all distances alike) is compared in blocks, as is one of a block.
 
-Distances are counted on whole shingle sets.  Before that most pairs are ruled
+Links are counted on whole shingle sets.  Before that most pairs are ruled
 out by bitmaps: each shingle of a set flips one bit of its map, so two sets
-differ in at least as many shingles as their maps differ in bits.  The result
-is the exact set of components of the link graph.
+differ in at least as many shingles as their maps differ in bits.  The number
+of these bits is a metric, too: it is the distance of step 4, which so needs
+no texts.  The result is the exact set of components of the link graph.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +49,14 @@ SAMPLE = 2000                     # documents the order of shingles is learnt fr
 COMMON = 50_000                   # shingles that can be called common
 SEEN = 3                          # documents of the sample that hold a common shingle
 SMALL = 64                        # points of a region whose pairs are compared at once
+BLOCK = 8                         # a block of a large region has about this many times the points of a small one
+CHUNK = 4096                      # points that are held against the pivots of a region at once, about
 MAX_BROADCAST = 1_000_000         # ids that are sent to the tasks that read texts
 MAX_TEXTS = 16 << 20              # bytes of texts that are sent to the tasks that hold the other side
 MAX_CACHE = 100_000               # words a worker remembers
 MAX_SETS = 1 << 21                # shingles of sets a worker remembers
 LEAST_BITS = 64                   # of a set's bitmap; larger ones have a power of two
+COMPARE = 1 << 22                 # bytes of bitmaps that are compared at once, about
 BUCKET = 4096                     # rows of small regions that a task looks at together, about
 WINDOW = 2                        # a window of sizes is this many steps of the similarity wide
 LENGTH_BITS = 6                   # of a shingle's hash, for the length of its words
@@ -120,17 +125,47 @@ def bitmap(s: np.ndarray, percent: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _fold(v: int, bits: int, to: int) -> int:
-    while bits > to:
-        bits //= 2
-        v = (v >> bits) ^ (v & ((1 << bits) - 1))
-    return v
-
-
-def least_difference(p: int, bits_p: int, q: int, bits_q: int) -> int:
-    """At least so many shingles are in one of two sets only, by their maps."""
-    to = min(bits_p, bits_q)
-    return (_fold(p, bits_p, to) ^ _fold(q, bits_q, to)).bit_count()
+class Maps:
+    """The bitmaps of many sets as arrays of 64-bit words: by the number of
+    words, those of this size and the larger ones, folded to it."""
+
+    def __init__(self, bits: pa.Array | pa.ChunkedArray):
+        raw = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
+        size = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
+        self.words, start = size // 8, np.cumsum(size) // 8 - size // 8
+        self.place: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        w, least = int(self.words.max(initial=0)), int(self.words.min(initial=1))
+        rows, m = np.zeros(0, np.int64), np.zeros((0, w), np.uint64)
+        while w >= least:
+            own = np.flatnonzero(self.words == w)
+            rows = np.concatenate([rows, own])
+            m = np.concatenate([m, flat[start[own][:, None] + np.arange(w)]])
+            self.place[w] = place = np.zeros(len(size), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.maps[w] = m
+            m, w = m[:, :w // 2] ^ m[:, w // 2:], w // 2
+
+    def folded(self, words: int) -> np.ndarray:
+        """The maps of all rows, in ``words`` words or fewer than any has."""
+        least = int(self.words.min())
+        m = self.maps[least][self.place[least]]
+        while m.shape[1] > words:
+            m = m[:, :m.shape[1] // 2] ^ m[:, m.shape[1] // 2:]
+        return m
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair of rows: at least so many shingles are in one of the
+        two sets only."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.words[i], self.words[j])
+        for w in np.unique(least).tolist():
+            at, m, place = np.flatnonzero(least == w), self.maps[w], self.place[w]
+            step = max(1, COMPARE // (8 * w))
+            for c in range(0, len(at), step):
+                k = at[c:c + step]
+                out[k] = np.bitwise_count(m[place[i[k]]] ^ m[place[j[k]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 SIGNATURE = "struct<n:bigint,a:bigint,b:bigint,first:array<bigint>,bits:binary>"
@@ -187,8 +222,8 @@ def bounded_pairs(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame
     (x, n, bits)."""
     @F.arrow_udf("bigint")
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([least_difference(int.from_bytes(p, "little"), 8 * len(p), int.from_bytes(q, "little"), 8 * len(q))
-                         for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+        i = np.arange(len(a))
+        return pa.array(Maps(pa.chunked_array([a, b])).differ(i, i + len(a)), pa.int64())
     h = heads.select("x", F.col("n").alias("nx"), F.col("bits").alias("bx"))
     g = heads.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
@@ -299,6 +334,13 @@ class Links:
         got = self.overlaps(pairs).where(similar(self.percent)).select("x", "y")
         self.add(common.store(got, "jaccard-links"))
 
+    def settle(self, pairs: DataFrame) -> None:
+        """Link the stored ``pairs`` that are similar: one of each point first,
+        then those of the rest whose components differ still."""
+        first = pairs.groupBy("x").agg(F.min("y").alias("y"))
+        self.verify(first)
+        self.verify(self.open(pairs.join(first, ["x", "y"], "left_anti")))
+
 
 def components_of(edges: DataFrame) -> DataFrame:
     return common.components(edges, "jaccard").select(F.col("node").alias("x"), F.col("component").alias("label"))
@@ -363,8 +405,7 @@ def near_pairs(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("region")
         region, x, n, label, pos = (t[c].to_numpy() for c in ("region", "x", "n", "label", "pos"))
-        raw = t["bits"].to_pylist()
-        maps, size = [int.from_bytes(r, "little") for r in raw], [8 * len(r) for r in raw]
+        maps = Maps(t["bits"])
         a, b = [], []
         for d in range(1, len(x)):
             i = np.flatnonzero(region[d:] == region[:-d])
@@ -374,9 +415,8 @@ def near_pairs(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
             total = n[i] + n[j]
             fit = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             fit &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= total * percent
-            i, j, most = i[fit], j[fit], (total[fit] * (100 - percent)) // (100 + percent)
-            near = np.array([least_difference(maps[p], size[p], maps[q], size[q]) <= m
-                             for p, q, m in zip(i.tolist(), j.tolist(), most.tolist())], bool)
+            i, j = i[fit], j[fit]
+            near = maps.differ(i, j) * (100 + percent) <= total[fit] * (100 - percent)
             a.append(x[i[near]])
             b.append(x[j[near]])
         pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.zeros((2, 0), np.int64)
@@ -388,47 +428,88 @@ def near_pairs(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 
 def families(members: DataFrame) -> DataFrame:
-    """Large regions that have points in common, as one region each: the
-    many first shingles that a family of near copies shares are then met
-    once."""
-    low = members.groupBy("region").agg(F.min("x").alias("b"))
-    edges = members.join(low, "region").select(F.col("x").alias("a"), "b")
-    fam = components_of(edges).union(edges.select(F.col("b").alias("x"), F.col("b").alias("label"))).groupBy("x").agg(
-        F.min("label").alias("region"))
-    fam = common.store(members.select("x", "n", "weight").distinct().join(fam, "x"), "jaccard-families")
-    size = fam.groupBy("region").agg(F.count("*").alias("m"))
-    return fam.join(size, "region").select("region", "x", "n", "weight", "m")
-
-
-def block_pairs(members: DataFrame, small: int) -> DataFrame:
-    """Regions whose distances are all alike: their points in blocks of about
-    ``small``, and one region for each pair of blocks."""
-    n = F.ceil(F.col("m") / small).cast("long")
+    """Large regions (region, x, n, weight): those with the same least point
+    as one region, where all their points together make fewer pairs than the
+    regions do one by one.  The many first shingles that a family of near
+    copies shares are then met once; regions that have but a few points in
+    common stay apart."""
+    low = members.groupBy("region").agg(F.min("x").alias("b"), F.count("*").alias("m"))
+    low = common.store(low, "jaccard-least")
+    every = members.select("region", "x", "n", "weight").join(low, "region")
+    fam = common.store(every.select("b", "x", "n", "weight").distinct(), "jaccard-families")
+    size = fam.groupBy("b").agg(F.count("*").alias("u"))
+    apart = low.groupBy("b").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    size = common.store(size.join(apart, "b").select("b", "u", (F.col("u") * F.col("u") <= F.col("apart")).alias("whole")),
+                        "jaccard-whole")
+    whole = fam.join(size.where("whole"), "b").select(
+        F.xxhash64("b", F.lit("family")).alias("region"), "x", "n", "weight", F.col("u").alias("m"))
+    single = every.join(size.where("not whole"), "b", "left_semi").select("region", "x", "n", "weight", "m")
+    return whole.union(single)
+
+
+def block_pairs(members: DataFrame, size: int) -> DataFrame:
+    """Regions that do not recur: their points in blocks of about ``size``,
+    and one region for each pair of blocks."""
+    n = F.ceil(F.col("m") / size).cast("long")
     block = F.pmod(F.xxhash64("x", F.lit("block")), n)
     each = members.withColumn("blk", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return each.select(F.xxhash64("region", F.least("blk", "other"), F.greatest("blk", "other")).alias("region"),
                        "x", "label", F.lit(0).cast("long").alias("pos"))
 
 
-def voronoi(members: DataFrame, links: Links, percent: int) -> DataFrame:
-    """One recursion of large regions (region, x, n, weight, m): links to
-    their pivots are added to ``links``; gives the points in their new regions
-    (region, x, n, weight, parent)."""
-    k = F.ceil(F.sqrt("m")).cast("long")
-    drawn = members.where(F.pmod(F.xxhash64("x", F.lit("pivot")), k) == 0)
-    heavy = members.withColumn("pos", F.lit(0)).groupBy("region").agg(pivot_of()).select("region", "pivot.x")
-    pivots = drawn.select("region", F.col("x").alias("y")).union(heavy).distinct()
-    met = members.select("region", "x", "n", "weight").join(pivots, "region")
-    ask = common.store(met.where("x <> y").select("x", "y").distinct(), "jaccard-ask")
-    dist = links.overlaps(ask)
-    dist = common.store(dist.withColumn("d", 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))), "jaccard-dist")
-    links.add(common.store(dist.where(similar(percent)).select("x", "y"), "jaccard-links"))
-    met = met.join(dist.select("x", "y", "d"), ["x", "y"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    home = met.groupBy("region", "x").agg(F.min("d").alias("home"))
-    near = met.join(home, ["region", "x"]).where(F.col("d") <= F.col("home") + 2 * (1 - percent / 100) + 1e-9)
-    # pairs with a pivot are done, so pivots need not come along
-    near = near.join(pivots.select("region", F.col("y").alias("x")), ["region", "x"], "left_anti")
-    return near.select(F.xxhash64("region", "y").alias("region"), "x", "n", "weight", F.col("region").alias("parent"))
+def voronoi(members: DataFrame, heads: DataFrame, links: Links, percent: int) -> DataFrame:
+    """One recursion of large regions (region, x, weight, m): links to their
+    pivots are added to ``links``; gives the points in their new regions
+    (region, x, n, weight, parent).  The distance is that of the bitmaps, all
+    folded to the least size in the region; similar sets are at most
+    n * (100 - percent) / percent apart, n being the size of either."""
+    def measured(t: pa.Table, p: pa.Table) -> pa.Table:
+        if not len(t) or not len(p):
+            return pa.table({c: pa.array([], kind) for c, kind in cells})
+        x, n, weight, y, m = (c.to_numpy() for c in (t["x"], t["n"], t["weight"], p["y"], p["m"]))
+        maps = Maps(pa.chunked_array(t["bits"].chunks + p["far"].chunks))
+        words = t["words"][0].as_py()
+        every = maps.folded(words)
+        own, pivots = every[:len(x)], every[len(x):]
+        known, found = np.isin(x, y), []
+        step = max(1, COMPARE // (8 * words * len(y)))
+        for c in range(0, len(x), step):
+            s = slice(c, c + step)
+            d = np.bitwise_count(own[s, None] ^ pivots).sum(axis=2, dtype=np.int64)
+            # pairs with a pivot are asked for, so pivots need not come along
+            cell = (d - d.min(axis=1, keepdims=True)) * percent <= 2 * n[s, None] * (100 - percent)
+            cell &= ~known[s, None]
+            total = n[s, None] + m
+            ask = (d * (100 + percent) <= total * (100 - percent)) & np.where(known[s, None], x[s, None] < y, True)
+            ask &= 100 * np.minimum(n[s, None], m) >= percent * np.maximum(n[s, None], m)
+            i, j = np.nonzero(cell | ask)
+            cell, ask = cell[i, j], ask[i, j]
+            i += c
+            at = np.flatnonzero(ask)
+            ask[at] = maps.differ(i[at], len(x) + j[at]) * (100 + percent) <= (n[i[at]] + m[j[at]]) * (100 - percent)
+            found.append((i[cell | ask], j[cell | ask], cell[cell | ask], ask[cell | ask]))
+        i, j, cell, ask = (np.concatenate(f) for f in zip(*found))
+        region = np.full(len(i), t["region"][0].as_py())
+        return pa.table([pa.array(c, kind) for c, (_, kind) in zip((region, x[i], y[j], n[i], weight[i], cell, ask), cells)],
+                        names=[c for c, _ in cells])
+
+    cells = [(c, pa.int64()) for c in ("region", "x", "y", "n", "weight")] + [("cell", pa.bool_()), ("ask", pa.bool_())]
+    held = common.store(members.select("region", "x", "weight", "m").join(heads, "x"), "jaccard-held")
+    most = held.groupBy("region").agg(F.max_by("x", F.struct("weight", -F.col("x"))).alias("heavy"),
+                                      F.floor(F.min(F.octet_length("bits")) / 8).alias("words"))
+    drawn = F.pmod(F.xxhash64("x", F.lit("pivot")), F.ceil(F.sqrt("m")).cast("long")) == 0
+    chunks = F.ceil(F.col("m") / CHUNK).cast("long")
+    left = held.join(most, "region")
+    right = left.where(drawn | (F.col("x") == F.col("heavy")))
+    left = left.withColumn("chunk", F.pmod(F.xxhash64("x", F.lit("chunk")), chunks)).select(
+        "region", "chunk", "x", "n", "weight", "bits", "words")
+    right = right.select(F.col("region").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("part"),
+                         F.col("x").alias("y"), F.col("n").alias("m"), F.col("bits").alias("far"))
+    met = left.groupBy("region", "chunk").cogroup(right.groupBy("of", "part")).applyInArrow(
+        measured, "region bigint, x bigint, y bigint, n bigint, weight bigint, cell boolean, ask boolean")
+    met = common.store(met, "jaccard-dist")
+    links.settle(common.store(links.open(met.where("ask").select("x", "y").distinct()), "jaccard-ask"))
+    return met.where("cell").select(F.xxhash64("region", "y").alias("region"), "x", "n", "weight", F.col("region").alias("parent"))
 
 
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
@@ -468,14 +549,13 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
     star = members.join(pivots, "region").where("x <> y").where(can_be_first("n", "pos", "m", "at", percent))
     star = star.select("x", "y").distinct()
     star = common.store(bounded_pairs(star, heads, percent), "jaccard-star")
-    first = star.groupBy("x").agg(F.min("y").alias("y"))
-    links.verify(first)
-    links.verify(links.open(star.join(first, ["x", "y"], "left_anti")))
+    links.settle(star)
 
     # further rounds: regions of several components, without their pivot; those
     # that go on have at most 3/4 of their parent's points, so the rounds end
     members = members.join(pivots.select("region", F.col("y").alias("x")), ["region", "x"], "left_anti").select(
         "region", "x", "n", "pos", "weight")
+    parted = False          # whether the regions are cells of larger ones
     while True:
         live = common.store(unsettled(members, links), "jaccard-open")
         if live.isEmpty():
@@ -485,17 +565,18 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small:
         large = live.where(F.col("m") > small)
         if large.isEmpty():
             break
-        large = common.store(families(large), "jaccard-large")
-        cells = common.store(voronoi(large, links, percent), "jaccard-cells")
+        large = large.select("region", "x", "n", "weight", "m")
+        large = common.store(large if parted else families(large), "jaccard-large")
+        cells = common.store(voronoi(large, heads, links, percent), "jaccard-cells")
         # parents of one component are done; so are cells that became small enough to go on with
         live = common.store(unsettled(large.select("region", "x", "n", "weight"), links), "jaccard-open")
         most = cells.groupBy("parent", "region").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
         shape = live.select("region", "m").distinct().join(most, F.col("region") == F.col("parent"), "left")
-        shape = common.store(shape.select("region", (F.coalesce("c", F.lit(0)) <= 0.75 * F.col("m")).alias("shrunk")), "jaccard-shape")
-        alike = block_pairs(live.join(shape.where(~F.col("shrunk")), "region", "left_semi"), small)
+        shape = common.store(shape.select("region", ((F.col("m") > BLOCK * small) & (F.coalesce("c", F.lit(0)) <= 0.75 * F.col("m"))).alias("shrunk")), "jaccard-shape")
+        alike = block_pairs(live.join(shape.where(~F.col("shrunk")), "region", "left_semi"), BLOCK * small)
         rest = common.store(near_pairs(common.store(alike, "jaccard-alike"), heads, percent), "jaccard-blocks")
-        links.verify(links.open(rest))
-        down = shape.where("shrunk").select(F.col("region").alias("parent"))
+        links.settle(rest)
+        parted, down = True, shape.where("shrunk").select(F.col("region").alias("parent"))
         members = common.store(cells.join(down, "parent", "left_semi").select("region", "x", "n", F.lit(0).cast("long").alias("pos"), "weight"),
                                "jaccard-next")
     out = sigs.select("doc_id", "a", "b", F.col("n").alias("n_shingles"))
