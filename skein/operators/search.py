@@ -27,6 +27,8 @@ contain enough unmatched ones.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ SALTS = 64   # spread of one term's postings when the query side is not broadcas
 #: Sums of doubles and rounded scores differ from exact ones by less than this.
 MARGIN, RELATIVE = 2 * 10 ** -SCORE_DIGITS, 1e-9
 FRACTION = 1_000_000_000_000   # parts of a unit in which contributions are added
+CHUNK_PAGES, CHUNK_POSTINGS = 4096, 1 << 20   # of an index, scored at once, about
+GROUP_QUERIES = 1 << 16   # queries that a chunk meets at once, about
 
 
 def exact_sum(c: Column) -> Column:
@@ -242,9 +246,80 @@ def kth_score(scores: DataFrame, k: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
 
 
-def reaches(most: Column) -> Column:
-    """Whether a page that scores ``most`` at most can be among the k best."""
-    return F.col("kth").isNull() | (most * (1 + RELATIVE) + MARGIN >= F.col("kth"))
+def scored(postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """(q, page, whole, part): of each query the pages of a chunk that can be
+    among its ``k`` best, with the sums of their contributions.  ``postings``
+    (t, page, tf): pages are numbered in the order of their keys; ``queries``
+    (q, kth, terms): terms as (t, qw).  A query that no page of the chunk can
+    reach ``kth`` in is left out, by the greatest tf of its terms here."""
+    found: list[list] = [[], [], [], []]
+    if len(postings) and len(queries):
+        t, page, tf = (postings[c].to_numpy() for c in ("t", "page", "tf"))
+        order = np.lexsort((page, t))
+        t, page, tf = t[order], page[order], tf[order]
+        pages, at_page = np.unique(page, return_inverse=True)
+        known, first = np.unique(t, return_index=True)
+        last = np.append(first[1:], len(t))
+        pair = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (page[1:] != page[:-1])))
+        most = np.maximum.reduceat(np.add.reduceat(tf, pair), np.searchsorted(pair, first))
+        lists = queries["terms"].combine_chunks()
+        cut, flat = np.append(0, np.cumsum(lists.value_lengths().to_numpy())), lists.flatten()
+        term, qw = flat.field("t").to_numpy(), flat.field("qw").to_numpy()
+        at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        held = known[at] == term
+        row = np.repeat(np.arange(len(queries)), np.diff(cut))[held]
+        at, qw, cut = at[held], qw[held], np.append(0, np.cumsum(np.bincount(row, minlength=len(queries))))
+        reach = np.bincount(row, most[at] * qw, len(queries)) * (1 + RELATIVE) + MARGIN
+        kth = queries["kth"].to_numpy()          # null: nan, which no comparison holds for
+        for r in np.flatnonzero((np.diff(cut) > 0) & ~(reach < kth)).tolist():
+            here = at[cut[r]:cut[r + 1]]
+            many = last[here] - first[here]
+            posting = np.arange(many.sum()) + np.repeat(first[here] - np.cumsum(many) + many, many)
+            c = tf[posting] * np.repeat(qw[cut[r]:cut[r + 1]], many)
+            floor = np.floor(c)
+            rest = (c - floor) * FRACTION
+            half = np.floor(rest)
+            half += rest - half >= 0.5
+            whole, part = np.zeros(len(pages), np.int64), np.zeros(len(pages), np.int64)
+            p = at_page[posting]
+            np.add.at(whole, p, floor.astype(np.int64))
+            np.add.at(part, p, half.astype(np.int64))
+            score = whole + part / FRACTION
+            seen = np.zeros(len(pages), bool)
+            seen[p] = True
+            best = np.flatnonzero(seen)
+            if len(best) > k:
+                low = np.partition(score[best], -k)[-k]
+                # rounding may make scores equal; of equal ones the first keys are the best
+                best = best[score[best] >= low - MARGIN - abs(low) * RELATIVE]
+                best = best[np.lexsort((best, -score[best]))]
+                n = np.arange(len(best))
+                same = np.append(False, score[best[1:]] == score[best[:-1]])
+                best = best[n - np.maximum.accumulate(np.where(same, 0, n)) < k]
+            for out, x in zip(found, (np.full(len(best), r), pages[best], whole[best], part[best])):
+                out.append(x)
+    r, *rest = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+    q = queries["q"].to_numpy()[r] if len(r) else r
+    return pa.table([pa.array(c, pa.int64()) for c in (q, *rest)], names=["q", "page", "whole", "part"])
+
+
+def chunked(postings: DataFrame) -> DataFrame:
+    """(site, doc_key, page, size, part): the pages, numbered in the order of
+    their keys, in chunks of about CHUNK_PAGES or CHUNK_POSTINGS.  A chunk of a
+    site with more holds pages of like length, so that the greatest tf of its
+    terms bounds them well."""
+    pages = postings.groupBy("site", "doc_key").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("length"))
+    pages = pages.withColumn("size", F.floor(F.log2(F.greatest(F.col("length"), F.lit(1))))).drop("length")
+    pages = materialize(pages.orderBy("site", "doc_key").withColumn("page", F.monotonically_increasing_id()), "search-pages")
+    parts = lambda n, terms: F.ceil(F.greatest(n / CHUNK_PAGES, terms / CHUNK_POSTINGS))
+    sizes = pages.groupBy("site", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("terms").alias("m"))
+    site = Window.partitionBy("site")
+    sizes = sizes.select("site", "size", parts(F.col("n"), F.col("m")).alias("parts"),
+                         (parts(F.sum("n").over(site), F.sum("m").over(site)) <= 1).alias("one"))
+    sizes = broadcast_if_small(materialize(sizes, "search-sizes"))
+    return pages.join(sizes, ["site", "size"]).select(
+        "site", "doc_key", "page", F.when(F.col("one"), F.lit(-1)).otherwise(F.col("size")).alias("size"),
+        F.pmod(F.xxhash64("page"), F.when(F.col("one"), F.lit(1)).otherwise(F.col("parts"))).alias("part"))
 
 
 def best_scores(index: dict, qterms: DataFrame, k: int, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
@@ -252,20 +327,17 @@ def best_scores(index: dict, qterms: DataFrame, k: int, max_broadcast_rows: int
     """(query_id, site, doc_key, score) of all pages that can be among the k
     best of their query, and of others.
 
-    A term adds to a page at most its greatest tf times its weight.  The k
-    postings with the greatest tf of each term give a score that k pages reach;
-    the terms that add least, as long as all of them together stay below it,
-    cannot bring in a page by themselves.  So pages are looked up by the other
-    terms (the rare ones weigh most), and only pages that can still reach the
-    k-th score found then get the rest added.  Common terms, with postings in
-    much of the corpus, are mostly among those."""
+    The k postings with the greatest tf of each term give a score that k pages
+    reach.  Pages are scored by the chunk: its postings, sorted by term, meet
+    the queries of its site, and of each query the pages that can be among its
+    k best there are kept; so what leaves a task grows with the queries and
+    chunks, not with the pages that a query's terms meet."""
     qt = with_folders(index, qterms)
     small = fits(qt, max_broadcast_rows)
     part = asked_part(index, query_side(index, qt), small, salts)
     post = part["postings"]
     qw = weighted_terms(part, qterms if part.get("counted") else qt, small)
-    greatest = post.groupBy("site", "term").agg(F.max("tf").alias("max_tf"))
-    qw = materialize(qw.select("query_id", "site", "term", "qw").join(greatest, ["site", "term"]), "query-weights")
+    qw = materialize(qw.select("query_id", "site", "term", "qw"), "query-weights")
     side = lambda df: F.broadcast(df) if small else df  # noqa: E731  at most as many rows as query terms
 
     first = Window.partitionBy("site", "term").orderBy(F.desc("tf"), F.asc("doc_key"))
@@ -274,28 +346,26 @@ def best_scores(index: dict, qterms: DataFrame, k: int, max_broadcast_rows: int
         F.sum(F.col("tf") * F.col("qw")).alias("score"))
     kth = kth_score(low, k)
 
-    upto = Window.partitionBy("query_id").orderBy("_ub", "site", "term").rowsBetween(Window.unboundedPreceding, 0)
-    parts = qw.withColumn("_ub", F.col("max_tf") * F.col("qw")).withColumn("_cum", F.sum("_ub").over(upto))
-    parts = materialize(parts.join(kth, "query_id", "left").withColumn("leads", reaches(F.col("_cum"))), "query-parts")
-    leads, rest = parts.where("leads"), parts.where("not leads")
-    left = rest.groupBy("query_id").agg(F.max("_cum").alias("rest"))
-
-    c = F.col("tf") * F.col("qw")
-    sums = [F.sum(F.floor(c)).alias("whole"), F.sum(F.round((c - F.floor(c)) * FRACTION).cast("long")).alias("part")]
-    key = ["query_id", "site", "doc_key"]
-    lead = leads.select("query_id", "site", "term", "qw")
-    met = post.join(F.broadcast(lead), ["site", "term"]) if small else salted_join(post, lead, salts)
-    met = materialize(met.groupBy(*key).agg(*sums), "search-met")
-    score = F.col("whole") + F.col("part") / FRACTION
-    kth = kth_score(met.select(*key, score.alias("score")), k)
-    bar = materialize(left.join(kth, "query_id", "left"), "search-bar")
-    # queries without a rest are done
-    kept = met.join(broadcast_if_small(bar), "query_id", "left").where(reaches(score + F.coalesce(F.col("rest"), F.lit(0.0))))
-    kept = materialize(kept.select(*key, "whole", "part"), "search-kept")
-    more = kept.select(*key).join(side(rest.select("query_id", "site", "term", "qw")), ["query_id", "site"])
-    more = more.join(post, ["site", "doc_key", "term"]).groupBy(*key).agg(*sums)
-    return kept.unionByName(more).groupBy(*key).agg(
-        F.round(F.sum("whole") + F.sum("part") / FRACTION, SCORE_DIGITS).alias("score"))
+    # terms and queries by number, a row a query
+    terms = materialize(qw.select("site", "term").distinct().withColumn("t", F.monotonically_increasing_id()), "search-terms")
+    asked = qw.join(side(terms), ["site", "term"]).groupBy("query_id", "site").agg(
+        F.collect_list(F.struct("t", "qw")).alias("terms")).join(kth, "query_id", "left")
+    asked = materialize(asked.withColumn("q", F.monotonically_increasing_id()), "search-asked")
+    groups = F.lit(asked.count() // GROUP_QUERIES + 1)
+    pages = materialize(chunked(post), "search-chunks")
+    some = broadcast_if_small(pages.select(F.col("site").alias("_site"), F.col("doc_key").alias("_key"), "page", "size", "part"))
+    left = post.join(side(terms), ["site", "term"])
+    left = left.join(some, (F.col("site") == F.col("_site")) & F.col("doc_key").eqNullSafe(F.col("_key")))
+    left = left.select("site", "size", "part", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), "t", "page", "tf")
+    chunks = pages.select("site", "size", "part").distinct().toDF("on", "chunk", "slice")
+    right = asked.join(broadcast_if_small(chunks), F.col("site") == F.col("on")).select(
+        "on", "chunk", "slice", F.pmod(F.xxhash64("q"), groups).cast("int").alias("h"), "q", "kth", "terms")
+    keys = ("site", "size", "part", "g"), ("on", "chunk", "slice", "h")
+    met = left.groupBy(*keys[0]).cogroup(right.groupBy(*keys[1])).applyInArrow(
+        lambda x, y: scored(x, y, k), "q bigint, page bigint, whole bigint, part bigint")
+    met = materialize(met, "search-met").join(broadcast_if_small(asked.select("q", "query_id")), "q")
+    met = met.join(broadcast_if_small(pages.select("page", "site", "doc_key")), "page")
+    return met.select("query_id", "site", "doc_key", F.round(F.col("whole") + F.col("part") / FRACTION, SCORE_DIGITS).alias("score"))
 
 
 def single_query(site: str, query: str, spark, query_id: int = 0) -> DataFrame:
